@@ -1,0 +1,26 @@
+"""Shared folder for tables that several outputs read."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; ``fallback`` only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and lets every later pass read only its own columns.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, fallback)}/settled-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
