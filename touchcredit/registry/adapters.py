@@ -190,8 +190,9 @@ def event_eligibility(spark: SparkSession) -> DataFrame:
     return spark.sql(
         """
         SELECT concat(kind, '-w', week) AS campaign, 5L * k + week AS pos,
-               'purchase' AS order_type, 1 AS eligible
-        FROM VALUES ('view', 0), ('click', 1), ('signup', 2) AS t(kind, k)
+               order_type, 1 AS eligible
+        FROM VALUES ('view', 0, 'purchase'), ('click', 1, 'purchase'), ('signup', 2, 'purchase')
+          AS t(kind, k, order_type)
         LATERAL VIEW explode(sequence(0, 4)) w AS week
         """
     )

@@ -56,12 +56,11 @@ def eligibility(index: DataFrame, order_types: list[str] | None = None) -> DataF
     an order of such a type is tracked and has opened none.
     """
     types = order_types or [name for name in index.columns if name not in NAME_COLUMNS]
-    marks = index.select(
-        F.col("short_name").alias("campaign"),
-        "pos",
-        *[F.col(f"`{name}`").isNotNull().cast("int").alias(name) for name in types],
-    )
-    return marks.unpivot(["campaign", "pos"], [f"`{name}`" for name in types], "order_type", "eligible")
+    marks = [
+        F.struct(F.lit(name).alias("order_type"), F.col(f"`{name}`").isNotNull().cast("int").alias("eligible"))
+        for name in types
+    ]
+    return index.select(F.col("short_name").alias("campaign"), "pos", F.inline(F.array(*marks)))
 
 
 def campaign_groups(campaign_table: DataFrame) -> DataFrame:
