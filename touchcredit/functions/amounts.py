@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .predicates import matches_any
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# A cast to double also takes words and type suffixes such as 12d, so no letter may end a number.
+LETTER_AT_END = r"\p{L}\s*$"
 
 
 def round4(col: Column) -> Column:
@@ -18,10 +19,6 @@ def round4(col: Column) -> Column:
     return F.rint(col * 10000) / 10000
 
 
-def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
-
-
 def is_zero(text: Column, zero: str = C.ZERO_AMOUNT) -> Column:
     return text == F.lit(zero)
 
@@ -36,6 +33,7 @@ def parse_amount(text: Column, mark: str = C.CONVERTED_MARK, rate: float = C.CON
     The home currency has a one-character sign. The converted currency is recognised by ``mark``
     anywhere in the text, is written with one more character, and is multiplied by ``rate``.
     """
-    converted = round4(_number(F.substr(text, F.lit(len(mark) + 2))) * F.lit(rate))
-    home = round4(_number(F.substr(text, F.lit(2))))
-    return F.when(text.contains(mark), converted).otherwise(home)
+    converted = F.substr(text, F.lit(len(mark) + 2)).try_cast("double") * F.lit(rate)
+    home = F.substr(text, F.lit(2)).try_cast("double")
+    amount = round4(F.when(text.contains(mark), converted).otherwise(home))
+    return F.when(~text.rlike(LETTER_AT_END), amount)

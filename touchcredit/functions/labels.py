@@ -12,10 +12,10 @@ from .. import constants as C
 
 def line_code(line: Column, codes: Mapping[str, str] = C.LINE_CODES) -> Column:
     """Short code of a line of business; a line without a code keeps its long name."""
-    out = None
-    for name, code in codes.items():
-        out = F.when(line == name, code) if out is None else out.when(line == name, code)
-    return line if out is None else out.otherwise(line)
+    if not codes:
+        return line
+    table = F.create_map(*[F.lit(part) for pair in codes.items() for part in pair])
+    return F.coalesce(F.element_at(table, line), line)
 
 
 def customer_key(email: Column, code: Column) -> Column:

@@ -3,6 +3,8 @@
 One customer may hold a large share of all orders or of all touches, so no operator here brings a whole
 customer into one task: lists are reduced to distinct members before they are joined, and the as-of
 lookup works on distinct instants in fixed slices of time.
+
+Customer keys are expected in lower case on both sides; readers and `enrich_orders` see to that once.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..functions import minute_number
 
 def list_members(touches: DataFrame, keep_fanout: bool = False) -> DataFrame:
     """One row per campaign and recipient; with ``keep_fanout`` also ``copies``, the rows it had."""
-    pairs = touches.select("campaign", F.lower("recipient").alias("recipient"))
+    pairs = touches.select("campaign", "recipient")
     if keep_fanout:
         return pairs.groupBy("campaign", "recipient").agg(F.count(F.lit(1)).alias("copies"))
     return pairs.distinct()
@@ -57,7 +59,7 @@ def list_weights(touches: DataFrame, keep_fanout: bool = False) -> DataFrame:
     Joined to orders this weighs all sources in one pass, where by_list and by_click need one join each.
     """
     rows = touches.where("recipient IS NOT NULL").select(
-        "campaign", F.lower("recipient").alias("recipient"), F.coalesce("clicked", F.lit(False)).alias("clicked")
+        "campaign", "recipient", F.coalesce("clicked", F.lit(False)).alias("clicked")
     )
     per_list = rows.groupBy("campaign", "recipient").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("clicked").alias("click_rows")
@@ -79,7 +81,7 @@ def touch_matrix(orders: DataFrame, touches: DataFrame, names: Sequence[str]) ->
     """
     wide = (
         touches.where("recipient IS NOT NULL")
-        .groupBy(F.lower("recipient").alias("recipient"))
+        .groupBy("recipient")
         .pivot("campaign", list(names))
         .agg(F.max("sent_at"))
     )
@@ -135,8 +137,12 @@ def latest_touch(
     marks = (
         touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
         .join(pairs, "campaign")
-        .select(F.lower("recipient").alias("customer"), "order_type", F.col("sent_at").alias("ts"),
-                F.col("pos").cast("long").alias("pos"))
+        .select(
+            F.col("recipient").alias("customer"),
+            "order_type",
+            F.col("sent_at").alias("ts"),
+            F.col("pos").cast("long").alias("pos"),
+        )
     )
     asks = (
         orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
@@ -189,7 +195,7 @@ def latest_touch(
         return orders.join(credit, same).drop(*lookup).withColumnRenamed("__campaign", "recent_open")
     touched = (
         touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
-        .select(F.lower("recipient").alias("__touched"))
+        .select(F.col("recipient").alias("__touched"))
         .distinct()
     )
     known_types = tracked.select(F.col("order_type").alias("__tracked"))

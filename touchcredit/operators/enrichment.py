@@ -13,11 +13,9 @@ from ..functions import confirmed, customer_key, line_code, quote_based
 
 def enrich_orders(df: DataFrame, codes: Mapping[str, str] = C.LINE_CODES) -> DataFrame:
     """Add ``lob`` and ``email_lob`` and put the email in lower case."""
-    code = line_code(F.col("lob_type"), codes)
-    return df.withColumns(
+    return df.withColumn("lob", line_code(F.col("lob_type"), codes)).withColumns(
         {
-            "lob": code,
-            "email_lob": customer_key(F.col("customer_email"), code),
+            "email_lob": customer_key(F.col("customer_email"), F.col("lob")),
             "customer_email": F.lower("customer_email"),
         }
     )

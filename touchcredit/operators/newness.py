@@ -26,8 +26,8 @@ def known_customers(orders: DataFrame, history: DataFrame, before: Column | None
     earlier = orders.where(F.col("created_date") < before) if before is not None else orders
     seen = earlier.select("customer_email", "email_lob", "created_date", F.lit(False).alias("listed")).unionByName(
         history.select(
-            F.lower("customer_email").alias("customer_email"),
-            F.lower("email_lob").alias("email_lob"),
+            "customer_email",
+            "email_lob",
             F.lit(None).cast("timestamp_ntz").alias("created_date"),
             F.lit(True).alias("listed"),
         )

@@ -6,11 +6,14 @@ way that SQL engines agree on. Every adapter reads its tables whole.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import at
 from ..operators import CleaningRules, clean_orders, enrich_orders
+from ..session import settle
 from ..sources import campaigns, eligibility
 
 CODES = {"L0": "c0", "L1": "c1", "L2": "c2", "L3": "c3", "L4": "c4", "L5": "c5"}  # L6 keeps its name
@@ -30,172 +33,184 @@ FLASH_START = "1997-01-01 00:00:00"
 ORDER_TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order, as the raw export would hold it."""
-    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    key, third = F.col("o_orderkey"), F.col("o_orderkey") % 3
-    status = (
-        F.when(F.col("o_orderstatus") == "F", F.when(third == 0, "Ready To Order").otherwise("Complete"))
-        .when(F.col("o_orderstatus") == "O", F.when(third == 0, "Cart").otherwise("In Process"))
-        .when(third == 0, "Draft")
-        .when(third == 1, "Pending Quote")
-        .otherwise("Discard")
-    )
-    tenth, twentieth = key % 10, F.col("o_custkey") % 20
-    code = (
-        F.when(tenth <= 2, F.concat(F.lit("FLASH-"), tenth.cast("string")))
-        .when(tenth <= 5, F.concat(F.lit("NGS-"), tenth.cast("string")))
-    )
-    sign = (
-        F.when(twentieth == 0, "JPY.￥").when(twentieth == 1, "£").when(twentieth == 2, "€")
-        .when(twentieth == 3, "AU$").otherwise("$")
-    )
-    number = F.when(key % 50 == 7, "0.0000").otherwise(
-        F.col("o_totalprice").cast("decimal(18,4)").cast("string")
-    )
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("order_id"),
-            F.col("o_orderdate").alias("created_date"),
-            F.col("c_name").alias("customer_email"),
-            F.col("c_name").alias("user_name"),
-            F.col("n_name").alias("institution"),
-            F.col("n_name").alias("territory"),
-            F.concat(F.lit("L"), (key % 8).cast("string")).alias("lob_type"),
-            F.col("o_orderpriority").alias("order_type"),
-            F.col("o_orderpriority").alias("priority"),
-            status.alias("order_status"),
-            F.when(key % 5 < 2, key.cast("string")).alias("quotation_number"),
-            code.alias("promotion_code"),
-            F.concat(sign, number).alias("billing_amount"),
-        )
-    )
+LINES = ["L0", "L1", "L2", "L3", "L4", "L5", "L6", "L7"]
+PROMOTION_CODES = ["FLASH-0", "FLASH-1", "FLASH-2", "NGS-3", "NGS-4", "NGS-5"]
+SIGNS = ["JPY.￥", "£", "€", "AU$"]
+STATUSES = [
+    "Ready To Order", "Complete", "Complete",
+    "Cart", "In Process", "In Process",
+    "Draft", "Pending Quote", "Discard",
+]
 
 
-def all_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cleaned and enriched orders, old and current."""
-    clean, _ = clean_orders(raw_sales(spark, sf_dir), RULES)
-    return enrich_orders(clean, CODES)
+def _pick(values: list[str], place: Column) -> Column:
+    """The value at a place of a constant array, null beyond it; shorter code than a chain of CASE."""
+    return F.get(F.array(*[F.lit(v) for v in values]), place.cast("int"))
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The historical customer list: cleaned orders before the current table begins."""
-    old = all_sales(spark, sf_dir).where(F.col("created_date") < at(HISTORY_END))
-    return old.select("customer_email", "email_lob")
+def _recipient(key: Column) -> Column:
+    digits = key.cast("string")
+    return F.concat(F.lit("customer#"), F.lpad(digits, F.greatest(F.length(digits), F.lit(9)), F.lit("0")))
 
 
-def current_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current order table."""
-    return all_sales(spark, sf_dir).where(F.col("created_date") >= at(HISTORY_END))
+class Given:
+    """The tables of one folder; every derived table is built once per instance."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
 
-def _recipient(key: Column) -> Column:
-    return F.format_string("customer#%09d", key)
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._table("orders")
 
-def touches_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two open lists from events: strong views and strong clicks."""
-    return (
-        table(spark, sf_dir, "events")
-        .where("event_type IN ('view', 'click') AND value > 150")
-        .select(
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._table("events")
+
+    @cached_property
+    def raw_sales(self) -> DataFrame:
+        """One row per order, as the raw export would hold it."""
+        customer, nation = self._table("customer"), self._table("nation")
+        key = F.col("o_orderkey")
+        status = _pick(STATUSES, (F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1) * 3 + key % 3)
+        sign = F.coalesce(_pick(SIGNS, F.col("o_custkey") % 20), F.lit("$"))
+        number = F.when(key % 50 == 7, "0.0000").otherwise(
+            F.col("o_totalprice").cast("decimal(18,4)").cast("string")
+        )
+        return (
+            self.orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(
+                key.alias("order_id"),
+                F.col("o_orderdate").alias("created_date"),
+                F.col("c_name").alias("customer_email"),
+                F.col("c_name").alias("user_name"),
+                F.col("n_name").alias("institution"),
+                F.col("n_name").alias("territory"),
+                _pick(LINES, key % 8).alias("lob_type"),
+                F.col("o_orderpriority").alias("order_type"),
+                F.col("o_orderpriority").alias("priority"),
+                status.alias("order_status"),
+                F.when(key % 5 < 2, key.cast("string")).alias("quotation_number"),
+                _pick(PROMOTION_CODES, key % 10).alias("promotion_code"),
+                F.concat(sign, number).alias("billing_amount"),
+            )
+        )
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return clean_orders(self.raw_sales, RULES)[0]
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """All cleaned and enriched orders, old and current."""
+        return enrich_orders(self.cleaned, CODES)
+
+    @cached_property
+    def ready(self) -> DataFrame:
+        """The same as a written table, for queries that pass over it several times."""
+        return settle(self.sales)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """The historical customer list: cleaned orders before the current table begins."""
+        old = self.ready.where(F.col("created_date") < at(HISTORY_END))
+        return old.select("customer_email", "email_lob")
+
+    @cached_property
+    def current(self) -> DataFrame:
+        """The current order table."""
+        return self.ready.where(F.col("created_date") >= at(HISTORY_END))
+
+    @cached_property
+    def touches_lists(self) -> DataFrame:
+        """Two open lists from events: strong views and strong clicks."""
+        return self.events.where("event_type IN ('view', 'click') AND value > 150").select(
             F.col("event_type").alias("campaign"),
             _recipient(F.col("user_id")).alias("recipient"),
             F.col("ts").alias("sent_at"),
             (F.col("value") > 250).alias("clicked"),
         )
-    )
-
-
-def touches_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three campaigns from shipments, at day grain, so that ties occur."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat(F.lit("camp_"), F.lower("l_returnflag")).alias("campaign"),
-        _recipient(F.col("o_custkey")).alias("recipient"),
-        F.col("l_shipdate").alias("sent_at"),
-        F.lit(None).cast("boolean").alias("clicked"),
-    )
-
-
-def ship_index(spark: SparkSession) -> DataFrame:
-    """The wide index of the shipment campaigns, with marks per order type."""
-    return spark.sql(
-        """
-        SELECT * FROM VALUES
-          ('Camp A', 'camp_a', 'ship_an', TIMESTAMP_NTZ'1996-01-01 00:00:00', 0L, 'x', NULL, 'x'),
-          ('Camp N', 'camp_n', 'ship_an', TIMESTAMP_NTZ'1996-07-01 00:00:00', 1L, 'x', 'x', NULL),
-          ('Camp R', 'camp_r', 'ship_r', TIMESTAMP_NTZ'1997-01-01 00:00:00', 2L, NULL, 'x', 'x')
-        AS t(long_name, short_name, combined_name, sent_date, pos, `1-URGENT`, `2-HIGH`, `3-MEDIUM`)
-        """
-    )
-
-
-def ship_campaigns(spark: SparkSession) -> DataFrame:
-    return campaigns(ship_index(spark))
-
-
-def ship_eligibility(spark: SparkSession) -> DataFrame:
-    return eligibility(ship_index(spark), ORDER_TYPES)
-
-
-def plain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order table without cleaning: key, customer, time, type."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        _recipient(F.col("o_custkey")).alias("customer_email"),
-        F.col("o_orderdate").alias("created_date"),
-        F.col("o_orderpriority").alias("order_type"),
-    )
-
-
-def touches_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifteen campaigns from events: three types by week of month, at microsecond grain."""
-    week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
-    return (
-        table(spark, sf_dir, "events")
-        .where("event_type IN ('view', 'click', 'signup')")
-        .select(
+
+    @cached_property
+    def touches_ship(self) -> DataFrame:
+        """Three campaigns from shipments, at day grain, so that ties occur."""
+        lines = self._table("lineitem")
+        return lines.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.concat(F.lit("camp_"), F.lower("l_returnflag")).alias("campaign"),
+            _recipient(F.col("o_custkey")).alias("recipient"),
+            F.col("l_shipdate").alias("sent_at"),
+            F.lit(None).cast("boolean").alias("clicked"),
+        )
+
+    @cached_property
+    def plain_orders(self) -> DataFrame:
+        """The order table without cleaning: key, customer, time, type."""
+        return self.orders.select(
+            F.col("o_orderkey").alias("order_id"),
+            _recipient(F.col("o_custkey")).alias("customer_email"),
+            F.col("o_orderdate").alias("created_date"),
+            F.col("o_orderpriority").alias("order_type"),
+        )
+
+    @cached_property
+    def touches_events(self) -> DataFrame:
+        """Fifteen campaigns from events: three types by week of month, at microsecond grain."""
+        week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
+        return self.events.where("event_type IN ('view', 'click', 'signup')").select(
             F.concat("event_type", F.lit("-w"), week).alias("campaign"),
             F.col("user_id").cast("string").alias("recipient"),
             F.col("ts").alias("sent_at"),
             F.lit(None).cast("boolean").alias("clicked"),
         )
-    )
 
-
-def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as orders."""
-    return (
-        table(spark, sf_dir, "events")
-        .where("event_type = 'purchase'")
-        .select(
+    @cached_property
+    def event_orders(self) -> DataFrame:
+        """Purchases as orders."""
+        return self.events.where("event_type = 'purchase'").select(
             F.col("event_id").alias("order_id"),
             F.col("user_id").cast("string").alias("customer_email"),
             F.col("ts").alias("created_date"),
             F.col("event_type").alias("order_type"),
             F.col("value").alias("billing_amount"),
         )
-    )
-
-
-def event_eligibility(spark: SparkSession) -> DataFrame:
-    """Every event campaign is eligible for purchases."""
-    return spark.sql(
-        """
-        SELECT concat(kind, '-w', week) AS campaign, 5L * k + week AS pos,
-               order_type, 1 AS eligible
-        FROM VALUES ('view', 0, 'purchase'), ('click', 1, 'purchase'), ('signup', 2, 'purchase')
-          AS t(kind, k, order_type)
-        LATERAL VIEW explode(sequence(0, 4)) w AS week
-        """
-    )
+
+    @cached_property
+    def ship_index(self) -> DataFrame:
+        """The wide index of the shipment campaigns, with marks per order type."""
+        return self.spark.sql(
+            """
+            SELECT * FROM VALUES
+              ('Camp A', 'camp_a', 'ship_an', TIMESTAMP_NTZ'1996-01-01 00:00:00', 0L, 'x', NULL, 'x'),
+              ('Camp N', 'camp_n', 'ship_an', TIMESTAMP_NTZ'1996-07-01 00:00:00', 1L, 'x', 'x', NULL),
+              ('Camp R', 'camp_r', 'ship_r', TIMESTAMP_NTZ'1997-01-01 00:00:00', 2L, NULL, 'x', 'x')
+            AS t(long_name, short_name, combined_name, sent_date, pos, `1-URGENT`, `2-HIGH`, `3-MEDIUM`)
+            """
+        )
+
+    @cached_property
+    def ship_campaigns(self) -> DataFrame:
+        return campaigns(self.ship_index)
+
+    @cached_property
+    def ship_eligibility(self) -> DataFrame:
+        return eligibility(self.ship_index, ORDER_TYPES)
+
+    @cached_property
+    def event_eligibility(self) -> DataFrame:
+        """Every event campaign is eligible for purchases."""
+        return self.spark.sql(
+            """
+            SELECT concat(kind, '-w', week) AS campaign, 5L * k + week AS pos, order_type, 1 AS eligible
+            FROM VALUES ('view', 0, 'purchase'), ('click', 1, 'purchase'), ('signup', 2, 'purchase')
+              AS t(kind, k, order_type)
+            LATERAL VIEW explode(sequence(0, 4)) w AS week
+            """
+        )
 
 
 def spine(spark: SparkSession, names: list[str]) -> DataFrame:

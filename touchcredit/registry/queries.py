@@ -39,6 +39,7 @@ from ..operators.attribution import list_weights
 from ..operators.cleaning import clean_amounts, internal_rule, remap_lines, status_rule, territory_rule
 from ..sources import campaign_groups
 from . import adapters as A
+from .adapters import Given
 
 CELL_COLUMNS = ["recent_open", "customer_email", "email_lob", "lob_type", "lob"]
 SHIP_NAMES = ["camp_a", "camp_n", "camp_r"]
@@ -57,53 +58,53 @@ def money(df: DataFrame) -> DataFrame:
 # ---- cleaning -------------------------------------------------------------------------------------
 
 
-def clean_status_rules(spark: SparkSession, d: str) -> DataFrame:
-    kept = A.raw_sales(spark, d).where(status_rule(A.RULES))
+def clean_status_rules(g: Given) -> DataFrame:
+    kept = g.raw_sales.where(status_rule(A.RULES))
     return kept.select("order_id", "lob_type", "order_status", "quotation_number")
 
 
-def clean_territory(spark: SparkSession, d: str) -> DataFrame:
-    return A.raw_sales(spark, d).where(territory_rule(A.RULES)).select("order_id", "territory")
+def clean_territory(g: Given) -> DataFrame:
+    return g.raw_sales.where(territory_rule(A.RULES)).select("order_id", "territory")
 
 
-def clean_amount_text(spark: SparkSession, d: str) -> DataFrame:
-    clean, _ = clean_amounts(A.raw_sales(spark, d), A.RULES)
+def clean_amount_text(g: Given) -> DataFrame:
+    clean, _ = clean_amounts(g.raw_sales, A.RULES)
     return clean.select("order_id", "billing_amount")
 
 
-def clean_internal_accounts(spark: SparkSession, d: str) -> DataFrame:
+def clean_internal_accounts(g: Given) -> DataFrame:
     rules = replace(A.RULES, internal_emails=("9.9$", "#0+1.7"))
-    kept = A.raw_sales(spark, d).where(internal_rule(rules))
+    kept = g.raw_sales.where(internal_rule(rules))
     return remap_lines(kept, rules.remapped_lines).select("order_id", "institution", "lob_type")
 
 
-def clean_all_rules(spark: SparkSession, d: str) -> DataFrame:
-    clean, _ = clean_orders(A.raw_sales(spark, d), A.RULES)
+def clean_all_rules(g: Given) -> DataFrame:
+    clean, _ = clean_orders(g.raw_sales, A.RULES)
     return clean
 
 
 # ---- derived columns ------------------------------------------------------------------------------
 
 
-def enrich_lob_key(spark: SparkSession, d: str) -> DataFrame:
-    return enrich_orders(A.raw_sales(spark, d), A.CODES).select("order_id", "customer_email", "lob", "email_lob")
+def enrich_lob_key(g: Given) -> DataFrame:
+    return enrich_orders(g.raw_sales, A.CODES).select("order_id", "customer_email", "lob", "email_lob")
 
 
-def order_flags(spark: SparkSession, d: str) -> DataFrame:
-    orders = A.all_sales(spark, d)
+def order_flags(g: Given) -> DataFrame:
+    orders = g.sales
     three_way = add_confirmed(orders, A.QUOTE_LINES)
     two_way = add_confirmed(three_way.withColumnRenamed("confirmed", "confirmed_by_quote"), None)
     return two_way.select("order_id", "quote_based", "confirmed_by_quote", "confirmed")
 
 
-def scope_filter(spark: SparkSession, d: str) -> DataFrame:
-    return A.all_sales(spark, d).where(in_scope(*SCOPE)).select("order_id", "lob", "priority")
+def scope_filter(g: Given) -> DataFrame:
+    return g.sales.where(in_scope(*SCOPE)).select("order_id", "lob", "priority")
 
 
-def eligibility_unpivot(spark: SparkSession, d: str) -> DataFrame:
+def eligibility_unpivot(g: Given) -> DataFrame:
     """Orders and revenue each campaign could be credited with by order type alone."""
-    pairs = A.ship_eligibility(spark).where("eligible = 1")
-    joined = A.all_sales(spark, d).join(pairs, "order_type")
+    pairs = g.ship_eligibility.where("eligible = 1")
+    joined = g.sales.join(pairs, "order_type")
     return money(
         joined.groupBy("campaign", "order_type").agg(
             F.count(F.lit(1)).alias("orders"), F.sum("billing_amount").alias("revenue")
@@ -114,66 +115,66 @@ def eligibility_unpivot(spark: SparkSession, d: str) -> DataFrame:
 # ---- attribution ----------------------------------------------------------------------------------
 
 
-def _flash_orders(spark: SparkSession, d: str) -> DataFrame:
-    orders = A.all_sales(spark, d).where(F.col("created_date") >= at(A.FLASH_START))
+def _flash_orders(sales: DataFrame) -> DataFrame:
+    orders = sales.where(F.col("created_date") >= at(A.FLASH_START))
     return add_confirmed(orders.where(contains_word(F.col("promotion_code"), "flash")), A.QUOTE_LINES)
 
 
-def _flash_labelled(spark: SparkSession, d: str) -> DataFrame:
-    return by_list(_flash_orders(spark, d), A.touches_lists(spark, d))
+def _flash_labelled(g: Given, sales: DataFrame) -> DataFrame:
+    return by_list(_flash_orders(sales), g.touches_lists)
 
 
-def list_attribution(spark: SparkSession, d: str) -> DataFrame:
-    return _flash_labelled(spark, d).select("order_id", "recent_open", "confirmed", "billing_amount")
+def list_attribution(g: Given) -> DataFrame:
+    return _flash_labelled(g, g.sales).select("order_id", "recent_open", "confirmed", "billing_amount")
 
 
-def list_attribution_fanout(spark: SparkSession, d: str) -> DataFrame:
+def list_attribution_fanout(g: Given) -> DataFrame:
     """Duplicate list entries kept as weights: orders and revenue as if every copy were a row."""
-    labelled = by_list(_flash_orders(spark, d), A.touches_lists(spark, d), keep_fanout=True)
+    labelled = by_list(_flash_orders(g.sales), g.touches_lists, keep_fanout=True)
     cells = order_cells(labelled, ["recent_open", "customer_email"], copies_col="copies")
     return money(campaign_metrics(cells, total_measures() + unique_measure(), orders_col="orders"))
 
 
-def click_attribution(spark: SparkSession, d: str) -> DataFrame:
-    labelled = by_click(_flash_orders(spark, d), A.touches_lists(spark, d))
+def click_attribution(g: Given) -> DataFrame:
+    labelled = by_click(_flash_orders(g.sales), g.touches_lists)
     return labelled.select("order_id", "recent_open", "billing_amount")
 
 
-def touch_matrix_query(spark: SparkSession, d: str) -> DataFrame:
-    return touch_matrix(A.plain_orders(spark, d), A.touches_ship(spark, d), SHIP_NAMES).select(
+def touch_matrix_query(g: Given) -> DataFrame:
+    return touch_matrix(g.plain_orders, g.touches_ship, SHIP_NAMES).select(
         "order_id", *SHIP_NAMES
     )
 
 
-def _window_labelled(spark: SparkSession, d: str, scope: Column) -> DataFrame:
-    touches = A.touches_ship(spark, d).where("campaign = 'camp_r'")
-    return by_window(A.all_sales(spark, d), touches, at("7/1/1997"), scope=scope)
+def _window_labelled(g: Given, sales: DataFrame, scope: Column) -> DataFrame:
+    touches = g.touches_ship.where("campaign = 'camp_r'")
+    return by_window(sales, touches, at("7/1/1997"), scope=scope)
 
 
-def window_attribution_lob(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _window_labelled(spark, d, F.col("lob_type").isin("L2", "L3"))
+def window_attribution_lob(g: Given) -> DataFrame:
+    labelled = _window_labelled(g, g.sales, F.col("lob_type").isin("L2", "L3"))
     return labelled.select("order_id", "recent_open", "created_date", "lob")
 
 
-def window_attribution_priority(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _window_labelled(spark, d, F.col("priority").isin("1-URGENT"))
+def window_attribution_priority(g: Given) -> DataFrame:
+    labelled = _window_labelled(g, g.sales, F.col("priority").isin("1-URGENT"))
     return labelled.select("order_id", "recent_open", "created_date", "priority")
 
 
-def latest_touch_query(spark: SparkSession, d: str) -> DataFrame:
-    labelled = latest_touch(A.plain_orders(spark, d), A.touches_ship(spark, d), A.ship_eligibility(spark))
+def latest_touch_query(g: Given) -> DataFrame:
+    labelled = latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility)
     return labelled.select("order_id", "recent_open")
 
 
-def latest_touch_events(spark: SparkSession, d: str) -> DataFrame:
-    labelled = latest_touch(A.event_orders(spark, d), A.touches_events(spark, d), A.event_eligibility(spark))
+def latest_touch_events(g: Given) -> DataFrame:
+    labelled = latest_touch(g.event_orders, g.touches_events, g.event_eligibility)
     return labelled.select("order_id", "recent_open")
 
 
-def latest_touch_complete(spark: SparkSession, d: str) -> DataFrame:
+def latest_touch_complete(g: Given) -> DataFrame:
     """Every order with a touch of any campaign, with all three outcomes."""
     labelled = latest_touch(
-        A.current_sales(spark, d), A.touches_ship(spark, d), A.ship_eligibility(spark), complete=True
+        g.current, g.touches_ship, g.ship_eligibility, complete=True
     )
     return labelled.select("order_id", "order_type", "recent_open")
 
@@ -181,30 +182,30 @@ def latest_touch_complete(spark: SparkSession, d: str) -> DataFrame:
 # ---- new customers --------------------------------------------------------------------------------
 
 
-def _known(spark: SparkSession, d: str, before: str) -> object:
-    return known_customers(A.current_sales(spark, d), A.history(spark, d), at(before))
+def _known(g: Given, before: str) -> object:
+    return known_customers(g.current, g.history, at(before))
 
 
-def new_to_company(spark: SparkSession, d: str) -> DataFrame:
+def new_to_company(g: Given) -> DataFrame:
     """One fixed cut-off, as for a campaign whose mails all left on one day."""
-    flagged = flag_new(_flash_labelled(spark, d), _known(spark, d, A.FLASH_START), cutoff=at(A.FLASH_START))
+    flagged = flag_new(_flash_labelled(g, g.ready), _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
     return flagged.select("order_id", "recent_open", "new_to_company", "new_to_lob")
 
 
-def _touch_labelled(spark: SparkSession, d: str, scope: Column | None = None) -> DataFrame:
-    orders = A.current_sales(spark, d)
+def _touch_labelled(g: Given, scope: Column | None = None) -> DataFrame:
+    orders = g.current
     if scope is not None:
         orders = orders.where(scope)
-    return latest_touch(orders, A.touches_ship(spark, d), A.ship_eligibility(spark))
+    return latest_touch(orders, g.touches_ship, g.ship_eligibility)
 
 
-def _touch_flagged(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
-    return flag_new(df, _known(spark, d, "1997-01-01 00:00:00"), A.ship_campaigns(spark))
+def _touch_flagged(g: Given, df: DataFrame) -> DataFrame:
+    return flag_new(df, _known(g, "1997-01-01 00:00:00"), g.ship_campaigns)
 
 
-def new_to_lob(spark: SparkSession, d: str) -> DataFrame:
+def new_to_lob(g: Given) -> DataFrame:
     """One cut-off per campaign."""
-    return _touch_flagged(spark, d, _touch_labelled(spark, d)).select(
+    return _touch_flagged(g, _touch_labelled(g)).select(
         "order_id", "recent_open", "new_to_company", "new_to_lob"
     )
 
@@ -212,9 +213,9 @@ def new_to_lob(spark: SparkSession, d: str) -> DataFrame:
 # ---- reports --------------------------------------------------------------------------------------
 
 
-def _flash_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = order_cells(_flash_labelled(spark, d), [*CELL_COLUMNS, "confirmed"])
-    return flag_new(cells, _known(spark, d, A.FLASH_START), cutoff=at(A.FLASH_START))
+def _flash_cells(g: Given) -> DataFrame:
+    cells = order_cells(_flash_labelled(g, g.ready), [*CELL_COLUMNS, "confirmed"])
+    return flag_new(cells, _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
 
 
 def _bundle() -> list:
@@ -227,75 +228,75 @@ def _bundle() -> list:
     )
 
 
-def flash_metrics(spark: SparkSession, d: str) -> DataFrame:
+def flash_metrics(g: Given) -> DataFrame:
     metrics = campaign_metrics(
-        _flash_cells(spark, d), _bundle(), spine=A.spine(spark, FLASH_NAMES), orders_col="orders"
+        _flash_cells(g), _bundle(), spine=A.spine(g.spark, FLASH_NAMES), orders_col="orders"
     )
     return money(metrics)
 
 
-def _touch_cells(spark: SparkSession, d: str) -> DataFrame:
+def _touch_cells(g: Given) -> DataFrame:
     """Cells of all current orders credited to the shipment campaigns, flagged."""
-    labelled = add_confirmed(_touch_labelled(spark, d), A.QUOTE_LINES)
-    return _touch_flagged(spark, d, order_cells(labelled, [*CELL_COLUMNS, "confirmed"]))
+    labelled = add_confirmed(_touch_labelled(g), A.QUOTE_LINES)
+    return _touch_flagged(g, order_cells(labelled, [*CELL_COLUMNS, "confirmed"]))
 
 
-def _touch_metrics(spark: SparkSession, d: str, measures: list) -> DataFrame:
-    cells = _touch_cells(spark, d)
+def _touch_metrics(g: Given, measures: list) -> DataFrame:
+    cells = _touch_cells(g)
     return money(
-        campaign_metrics(cells, measures, spine=A.spine(spark, SHIP_NAMES), orders_col="orders")
+        campaign_metrics(cells, measures, spine=A.spine(g.spark, SHIP_NAMES), orders_col="orders")
     )
 
 
-def research_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _touch_metrics(spark, d, _bundle())
+def research_metrics(g: Given) -> DataFrame:
+    return _touch_metrics(g, _bundle())
 
 
-def combined_metrics(spark: SparkSession, d: str) -> DataFrame:
+def combined_metrics(g: Given) -> DataFrame:
     """The bundle per roll-up name; distinct customers are counted anew, not summed."""
-    dims = A.ship_campaigns(spark)
-    cells = add_combined_name(_touch_cells(spark, d), dims)
+    dims = g.ship_campaigns
+    cells = add_combined_name(_touch_cells(g), dims)
     groups = campaign_groups(dims).withColumnRenamed("combined_name", "combined_email")
     return money(
         campaign_metrics(cells, _bundle(), key="combined_email", spine=groups, orders_col="orders")
     )
 
 
-def quote_metrics(spark: SparkSession, d: str) -> DataFrame:
-    labelled = add_confirmed(_touch_labelled(spark, d), A.QUOTE_LINES)
+def quote_metrics(g: Given) -> DataFrame:
+    labelled = add_confirmed(_touch_labelled(g), A.QUOTE_LINES)
     return money(
-        campaign_metrics(labelled, quote_measures(A.QUOTE_LABELS), spine=A.spine(spark, SHIP_NAMES))
+        campaign_metrics(labelled, quote_measures(A.QUOTE_LABELS), spine=A.spine(g.spark, SHIP_NAMES))
     )
 
 
-def direct_metrics(spark: SparkSession, d: str) -> DataFrame:
+def direct_metrics(g: Given) -> DataFrame:
     return money(
         campaign_metrics(
-            _touch_labelled(spark, d), direct_measures(A.DIRECT_LABELS), spine=A.spine(spark, SHIP_NAMES)
+            _touch_labelled(g), direct_measures(A.DIRECT_LABELS), spine=A.spine(g.spark, SHIP_NAMES)
         )
     )
 
 
-def status_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _touch_metrics(spark, d, status_measures(A.COMPANY, A.NEW_LINE_LABELS))
+def status_metrics(g: Given) -> DataFrame:
+    return _touch_metrics(g, status_measures(A.COMPANY, A.NEW_LINE_LABELS))
 
 
-def new_customers_by_lob(spark: SparkSession, d: str) -> DataFrame:
-    return _touch_metrics(spark, d, acquired_measures(A.COMPANY, A.NEW_LINE_LABELS))
+def new_customers_by_lob(g: Given) -> DataFrame:
+    return _touch_metrics(g, acquired_measures(A.COMPANY, A.NEW_LINE_LABELS))
 
 
-def unique_customers(spark: SparkSession, d: str) -> DataFrame:
+def unique_customers(g: Given) -> DataFrame:
     return campaign_metrics(
-        _touch_labelled(spark, d), unique_measure(), spine=A.spine(spark, SHIP_NAMES)
+        _touch_labelled(g), unique_measure(), spine=A.spine(g.spark, SHIP_NAMES)
     )
 
 
-def _promo_labelled(spark: SparkSession, d: str) -> DataFrame:
-    return add_confirmed(_touch_labelled(spark, d, in_scope(*SCOPE)), None)
+def _promo_labelled(g: Given) -> DataFrame:
+    return add_confirmed(_touch_labelled(g, in_scope(*SCOPE)), None)
 
 
-def promo_metrics(spark: SparkSession, d: str) -> DataFrame:
-    cells = order_cells(_promo_labelled(spark, d), [*CELL_COLUMNS, "confirmed"])
+def promo_metrics(g: Given) -> DataFrame:
+    cells = order_cells(_promo_labelled(g), [*CELL_COLUMNS, "confirmed"])
     measures = (
         confirmed_measures()
         + status_measures(A.COMPANY, None)
@@ -304,35 +305,35 @@ def promo_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
     return money(
         campaign_metrics(
-            _touch_flagged(spark, d, cells), measures, spine=A.spine(spark, SHIP_NAMES), orders_col="orders"
+            _touch_flagged(g, cells), measures, spine=A.spine(g.spark, SHIP_NAMES), orders_col="orders"
         )
     )
 
 
-def promo_lob_detail(spark: SparkSession, d: str) -> DataFrame:
+def promo_lob_detail(g: Given) -> DataFrame:
     measures = quote_measures({"L1": "L1", "L3": "L3"}, count="Order")
     return money(
-        campaign_metrics(_promo_labelled(spark, d), measures, spine=A.spine(spark, SHIP_NAMES))
+        campaign_metrics(_promo_labelled(g), measures, spine=A.spine(g.spark, SHIP_NAMES))
     )
 
 
-def promo_revenue_split(spark: SparkSession, d: str) -> DataFrame:
+def promo_revenue_split(g: Given) -> DataFrame:
     return money(
         campaign_metrics(
-            _promo_labelled(spark, d), revenue_split_measures(), spine=A.spine(spark, SHIP_NAMES)
+            _promo_labelled(g), revenue_split_measures(), spine=A.spine(g.spark, SHIP_NAMES)
         )
     )
 
 
-def revenue_by_code(spark: SparkSession, d: str) -> DataFrame:
-    chosen = _promo_labelled(spark, d).where(F.col("promotion_code").isin("NGS-3", "NGS-4", "FLASH-1"))
+def revenue_by_code(g: Given) -> DataFrame:
+    chosen = _promo_labelled(g).where(F.col("promotion_code").isin("NGS-3", "NGS-4", "FLASH-1"))
     return money(chosen.groupBy("promotion_code").agg(F.sum("billing_amount").alias("AllRevenue")))
 
 
-def regional_metrics(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _window_labelled(spark, d, F.col("lob_type").isin("L2", "L3"))
+def regional_metrics(g: Given) -> DataFrame:
+    labelled = _window_labelled(g, g.ready, F.col("lob_type").isin("L2", "L3"))
     start = at("7/1/1997")
-    known = known_customers(A.current_sales(spark, d), A.history(spark, d), start)
+    known = known_customers(g.current, g.history, start)
     cells = flag_new(order_cells(labelled, CELL_COLUMNS), known, cutoff=start)
     measures = (
         total_measures()
@@ -343,9 +344,9 @@ def regional_metrics(spark: SparkSession, d: str) -> DataFrame:
     return money(campaign_metrics(cells, measures, key=None, orders_col="orders"))
 
 
-def revenue_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    weights = list_weights(A.touches_lists(spark, d))
-    orders = _flash_orders(spark, d)
+def revenue_breakdown(g: Given) -> DataFrame:
+    weights = list_weights(g.touches_lists)
+    orders = _flash_orders(g.sales)
     weighed = orders.join(weights, orders["customer_email"] == weights["recipient"], "left")
     sources = {
         "All Sources": F.lit(1),
@@ -355,22 +356,22 @@ def revenue_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return money(source_breakdown(weighed, sources, A.QUOTE_LABELS, A.DIRECT_LABELS))
 
 
-def new_customers(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _touch_labelled(spark, d).select(
+def new_customers(g: Given) -> DataFrame:
+    labelled = _touch_labelled(g).select(
         "recent_open", "customer_email", "email_lob", "lob", "user_name", "institution"
     )
-    flagged = _touch_flagged(spark, d, labelled.distinct())
-    combined = add_combined_name(flagged, A.ship_campaigns(spark))
+    flagged = _touch_flagged(g, labelled.distinct())
+    combined = add_combined_name(flagged, g.ship_campaigns)
     return new_customer_list(combined, F.col("combined_email"), A.COMPANY)
 
 
-def null_safe_exclusion(spark: SparkSession, d: str) -> DataFrame:
+def null_safe_exclusion(g: Given) -> DataFrame:
     """Null-safe exclusion over a column with nulls: orders without one of the excluded codes."""
-    kept = A.raw_sales(spark, d).where(not_in(F.col("promotion_code"), ["FLASH-0", "NGS-5"]))
+    kept = g.raw_sales.where(not_in(F.col("promotion_code"), ["FLASH-0", "NGS-5"]))
     return kept.groupBy("promotion_code").agg(F.count(F.lit(1)).alias("orders"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "clean_status_rules": clean_status_rules,
     "clean_territory": clean_territory,
     "clean_amounts": clean_amount_text,
@@ -408,3 +409,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "revenue_breakdown": revenue_breakdown,
     "new_customer_list": new_customers,
 }
+
+
+def _on_folder(query: Callable[[Given], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(Given(spark, sf_dir))
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
+QUERIES = {name: _on_folder(query) for name, query in _ON_GIVEN.items()}

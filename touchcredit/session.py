@@ -1,26 +1,39 @@
-"""Shared folder for tables that several outputs read."""
+"""Shared folder for tables that several passes read."""
 
 from __future__ import annotations
 
+import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folder: tempfile.TemporaryDirectory | None = None
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; ``fallback`` only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not folder:
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset and the session runs in one local process, as in tests, a temporary folder that ends
+    with the process. On a cluster without the setting this is an error: a folder of one machine is no
+    place for a table that all executors read.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.TemporaryDirectory(prefix="settled-")
+    return _local_folder.name
 
 
-def settle(df: DataFrame, fallback: str | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and lets every later pass read only its own columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark, fallback)}/settled-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/settled-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
