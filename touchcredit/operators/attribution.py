@@ -156,6 +156,7 @@ def latest_touch(
         .withColumn("minute", minute_number(F.col("ts")))
         .groupBy(*slot, "ts")
         .agg(F.min("pos").alias("pos"), F.max("asked").alias("asked"))
+        .repartition(*slot)  # one placement for both reads below: the window and the minutes' last touches
     )
 
     def before(by: list[str], order: str) -> Window:
