@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from toy import ELIGIBLE_SCHEMA, day, ids, priced, raw_order, touches
 from touchcredit.functions import at
 from touchcredit.operators import by_click, by_list, by_window, latest_touch, order_cells, touch_matrix
-from touchcredit.operators.attribution import credited, list_weights
+from touchcredit.operators.attribution import credited, list_weights, weigh_copies
 
 
 def eligible(spark, rows):
@@ -50,10 +50,12 @@ def test_null_safe(list_inputs):
 
 
 def test_fanout_is_a_weight(list_inputs):
-    labelled = by_list(*list_inputs, keep_fanout=True)
+    orders, lists = list_inputs
+    labelled = by_list(orders, lists, keep_fanout=True)
     assert ids(labelled, "recent_open", "copies") == [(1, "one", 2), (1, "two", 1), (2, "two", 1)]
-    cells = order_cells(labelled, ["recent_open"], copies_col="copies")
-    assert sorted(map(tuple, cells.collect())) == [("one", 2, 20.0), ("two", 2, 20.0)]
+    for rows in (labelled, by_list(order_cells(orders, ["customer_email"]), lists, keep_fanout=True)):
+        sums = weigh_copies(rows).groupBy("recent_open").agg(F.sum("orders"), F.sum("billing_amount"))
+        assert sorted(map(tuple, sums.collect())) == [("one", 2, 20.0), ("two", 2, 20.0)]
 
 
 def test_by_click(list_inputs):

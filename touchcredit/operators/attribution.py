@@ -32,9 +32,12 @@ def by_list(
     """Label each order with every campaign whose list holds its customer, as ``recent_open``.
 
     An order on two lists gives two rows. A recipient listed twice in one list counts once; with
-    ``keep_fanout`` the number of listings is kept as the weight ``copies``, which ``order_cells`` turns into
-    counts and revenue, so the repeated rows themselves are never produced. With ``null_safe`` a null
+    ``keep_fanout`` the number of listings is kept as the weight ``copies`` for :func:`weigh_copies`, so the
+    repeated rows themselves are never produced. With ``null_safe`` a null
     customer matches a null recipient.
+
+    For metrics alone, label cells in place of orders (``order_cells`` first, ``by_list`` after it): a
+    customer then has a bounded number of rows in this join.
     """
     members = list_members(touches, keep_fanout)
     email, recipient = orders["customer_email"], members["recipient"]
@@ -88,6 +91,30 @@ def touch_matrix(orders: DataFrame, touches: DataFrame, names: Sequence[str]) ->
     return orders.join(wide, orders["customer_email"] == wide["recipient"], "left").drop("recipient")
 
 
+def weigh_copies(labelled: DataFrame) -> DataFrame:
+    """Turn ``copies`` of a label kept with ``keep_fanout`` into number of orders and revenue of each row.
+
+    Takes orders or cells and gives cells.
+    """
+    n = F.col("orders") if "orders" in labelled.columns else F.lit(1)
+    copies = F.col("copies")
+    return labelled.withColumns(
+        {"orders": n * copies, "billing_amount": F.col("billing_amount") * copies}
+    ).drop("copies")
+
+
+def in_window(
+    orders: DataFrame, start: Column, days: int = C.WINDOW_DAYS, scope: Column | None = None
+) -> DataFrame:
+    """Orders in ``scope`` created in ``[start, start + days]``; both ends belong to the window.
+
+    Reaches the scan when ``start`` is a literal.
+    """
+    end = start + F.make_dt_interval(F.lit(days))
+    inside = orders if scope is None else orders.where(scope)
+    return inside.where((F.col("created_date") >= start) & (F.col("created_date") <= end))
+
+
 def by_window(
     orders: DataFrame,
     touches: DataFrame,
@@ -97,15 +124,8 @@ def by_window(
     null_safe: bool = False,
     keep_fanout: bool = False,
 ) -> DataFrame:
-    """Orders in ``scope`` created in ``[start, start + days]`` by customers on the list.
-
-    Both ends belong to the window. Window and scope are applied to the orders before the join and reach
-    the scan when ``start`` is a literal.
-    """
-    end = start + F.make_dt_interval(F.lit(days))
-    inside = orders.where(scope) if scope is not None else orders
-    inside = inside.where((F.col("created_date") >= start) & (F.col("created_date") <= end))
-    return by_list(inside, touches, null_safe, keep_fanout)
+    """Orders of :func:`in_window` by customers on the list."""
+    return by_list(in_window(orders, start, days, scope), touches, null_safe, keep_fanout)
 
 
 def latest_touch(
@@ -133,7 +153,7 @@ def latest_touch(
     key = ["customer", "order_type"]
     slot = [*key, "minute"]
     pairs = eligible.where("eligible = 1").select("campaign", "pos", "order_type")
-    tracked = eligible.select("order_type").distinct()
+    tracked = eligible.select("order_type")
     marks = (
         touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
         .join(pairs, "campaign")
@@ -153,9 +173,9 @@ def latest_touch(
     instants = (
         marks.withColumn("asked", F.lit(False))
         .unionByName(asks)
-        .withColumn("minute", minute_number(F.col("ts")))
-        .groupBy(*slot, "ts")
+        .groupBy(*key, "ts")
         .agg(F.min("pos").alias("pos"), F.max("asked").alias("asked"))
+        .withColumn("minute", minute_number(F.col("ts")))
         .repartition(*slot)  # one placement for both reads below: the window and the minutes' last touches
     )
 
@@ -199,7 +219,7 @@ def latest_touch(
         .select(F.col("recipient").alias("__touched"))
         .distinct()
     )
-    known_types = tracked.select(F.col("order_type").alias("__tracked"))
+    known_types = tracked.distinct().select(F.col("order_type").alias("__tracked"))
     return (
         orders.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")
         .join(credit, same, "left")

@@ -95,17 +95,15 @@ def revenue_split_measures() -> list[Measure]:
     ]
 
 
-def order_cells(labelled: DataFrame, columns: Sequence[str], copies_col: str | None = None) -> DataFrame:
+def order_cells(orders: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Reduce orders to cells: one row per combination of ``columns`` with ``orders`` and ``billing_amount``.
 
-    Metrics of cells equal metrics of their orders. With the customer's keys, the campaign and the line
-    among the columns, a customer has a bounded number of cells however many orders it placed, so
-    :func:`~touchcredit.operators.newness.flag_new` on cells joins no skewed key and moves no whole orders.
-    ``copies_col`` is the weight of a list label kept with ``keep_fanout``.
+    Metrics of cells equal metrics of their orders. With the customer's keys, the line and the campaign (if
+    known by then) among the columns, a customer has a bounded number of cells however many orders it
+    placed, so labelling and flagging cells joins no skewed key and moves no whole orders.
     """
-    n = F.lit(1).cast("long") if copies_col is None else F.col(copies_col)
-    return labelled.groupBy(*columns).agg(
-        F.sum(n).alias("orders"), F.sum(F.col("billing_amount") * n).alias("billing_amount")
+    return orders.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("billing_amount").alias("billing_amount")
     )
 
 

@@ -35,13 +35,14 @@ from ..operators import (
     touch_matrix,
     unique_measure,
 )
-from ..operators.attribution import list_weights
+from ..operators.attribution import in_window, list_weights, weigh_copies
 from ..operators.cleaning import clean_amounts, internal_rule, remap_lines, status_rule, territory_rule
 from ..sources import campaign_groups
 from . import adapters as A
 from .adapters import Given
 
-CELL_COLUMNS = ["recent_open", "customer_email", "email_lob", "lob_type", "lob"]
+CUSTOMER_CELL = ["customer_email", "email_lob", "lob_type", "lob"]
+CELL_COLUMNS = ["recent_open", *CUSTOMER_CELL, "confirmed"]
 SHIP_NAMES = ["camp_a", "camp_n", "camp_r"]
 FLASH_NAMES = ["click", "view", "newsletter"]
 SCOPE = (("L1", "L2", "L3"), "L0", ("1-URGENT", "3-MEDIUM"))
@@ -130,8 +131,8 @@ def list_attribution(g: Given) -> DataFrame:
 
 def list_attribution_fanout(g: Given) -> DataFrame:
     """Duplicate list entries kept as weights: orders and revenue as if every copy were a row."""
-    labelled = by_list(_flash_orders(g.sales), g.touches_lists, keep_fanout=True)
-    cells = order_cells(labelled, ["recent_open", "customer_email"], copies_col="copies")
+    cells = order_cells(_flash_orders(g.sales), ["customer_email"])
+    cells = weigh_copies(by_list(cells, g.touches_lists, keep_fanout=True))
     return money(campaign_metrics(cells, total_measures() + unique_measure(), orders_col="orders"))
 
 
@@ -146,18 +147,21 @@ def touch_matrix_query(g: Given) -> DataFrame:
     )
 
 
-def _window_labelled(g: Given, sales: DataFrame, scope: Column) -> DataFrame:
-    touches = g.touches_ship.where("campaign = 'camp_r'")
-    return by_window(sales, touches, at("7/1/1997"), scope=scope)
+def _window_list(g: Given) -> DataFrame:
+    return g.touches_ship.where("campaign = 'camp_r'")
+
+
+def _window_labelled(g: Given, scope: Column) -> DataFrame:
+    return by_window(g.sales, _window_list(g), at("7/1/1997"), scope=scope)
 
 
 def window_attribution_lob(g: Given) -> DataFrame:
-    labelled = _window_labelled(g, g.sales, F.col("lob_type").isin("L2", "L3"))
+    labelled = _window_labelled(g, F.col("lob_type").isin("L2", "L3"))
     return labelled.select("order_id", "recent_open", "created_date", "lob")
 
 
 def window_attribution_priority(g: Given) -> DataFrame:
-    labelled = _window_labelled(g, g.sales, F.col("priority").isin("1-URGENT"))
+    labelled = _window_labelled(g, F.col("priority").isin("1-URGENT"))
     return labelled.select("order_id", "recent_open", "created_date", "priority")
 
 
@@ -214,8 +218,8 @@ def new_to_lob(g: Given) -> DataFrame:
 
 
 def _flash_cells(g: Given) -> DataFrame:
-    cells = order_cells(_flash_labelled(g, g.ready), [*CELL_COLUMNS, "confirmed"])
-    return flag_new(cells, _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
+    cells = order_cells(_flash_orders(g.ready), [*CUSTOMER_CELL, "confirmed"])
+    return flag_new(by_list(cells, g.touches_lists), _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
 
 
 def _bundle() -> list:
@@ -238,7 +242,7 @@ def flash_metrics(g: Given) -> DataFrame:
 def _touch_cells(g: Given) -> DataFrame:
     """Cells of all current orders credited to the shipment campaigns, flagged."""
     labelled = add_confirmed(_touch_labelled(g), A.QUOTE_LINES)
-    return _touch_flagged(g, order_cells(labelled, [*CELL_COLUMNS, "confirmed"]))
+    return _touch_flagged(g, order_cells(labelled, CELL_COLUMNS))
 
 
 def _touch_metrics(g: Given, measures: list) -> DataFrame:
@@ -296,7 +300,7 @@ def _promo_labelled(g: Given) -> DataFrame:
 
 
 def promo_metrics(g: Given) -> DataFrame:
-    cells = order_cells(_promo_labelled(g), [*CELL_COLUMNS, "confirmed"])
+    cells = order_cells(_promo_labelled(g), CELL_COLUMNS)
     measures = (
         confirmed_measures()
         + status_measures(A.COMPANY, None)
@@ -331,10 +335,11 @@ def revenue_by_code(g: Given) -> DataFrame:
 
 
 def regional_metrics(g: Given) -> DataFrame:
-    labelled = _window_labelled(g, g.ready, F.col("lob_type").isin("L2", "L3"))
     start = at("7/1/1997")
+    inside = in_window(g.ready, start, scope=F.col("lob_type").isin("L2", "L3"))
+    cells = by_list(order_cells(inside, CUSTOMER_CELL), _window_list(g))
     known = known_customers(g.current, g.history, start)
-    cells = flag_new(order_cells(labelled, CELL_COLUMNS), known, cutoff=start)
+    cells = flag_new(cells, known, cutoff=start)
     measures = (
         total_measures()
         + status_measures(A.COMPANY, None)
