@@ -2,7 +2,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from toy import ELIGIBLE_SCHEMA, day, ids, priced, raw_order, touches
@@ -85,7 +84,8 @@ def test_window_ends(spark):
 # ---- as-of ----------------------------------------------------------------------------------------
 
 
-def test_three_outcomes(spark):
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_three_outcomes(spark, hot_rows):
     orders = priced(
         spark,
         [
@@ -107,13 +107,13 @@ def test_three_outcomes(spark):
             ("c0", "late@x.org", day(11), None), ("c0", None, day(1), None), ("c0", "nobody@x.org", None, None),
         ],
     )
-    complete = latest_touch(orders, lists, eligible(spark, ELIGIBLE), complete=True)
+    complete = latest_touch(orders, lists, eligible(spark, ELIGIBLE), complete=True, hot_rows=hot_rows)
     assert ids(complete, "recent_open") == [
         (1, "c0"), (2, "none_open"), (3, "none_open"), (4, None), (7, "none_open"), (8, "c0"), (9, "none_open"),
     ]
     expected = [(1, "c0"), (8, "c0")]
     assert ids(credited(complete), "recent_open") == expected
-    assert ids(latest_touch(orders, lists, eligible(spark, ELIGIBLE)), "recent_open") == expected
+    assert ids(latest_touch(orders, lists, eligible(spark, ELIGIBLE), hot_rows=hot_rows), "recent_open") == expected
 
 
 def test_resend_does_not_hide_the_earlier_send(spark):
@@ -160,31 +160,13 @@ def make_skewed(seed, grain):
 @pytest.mark.parametrize(
     "grain", [timedelta(days=1), timedelta(minutes=1), timedelta(seconds=20), timedelta(microseconds=250000)]
 )
-def test_against_brute_force(spark, grain):
+@pytest.mark.parametrize("hot_rows", [0, 50, 10**6], ids=["all hot", "one hot", "none hot"])
+def test_against_brute_force(spark, grain, hot_rows):
     rows, lists = make_skewed(11, grain)
-    got = latest_touch(priced(spark, rows), touches(spark, lists), eligible(spark, ELIGIBLE))
+    got = latest_touch(priced(spark, rows), touches(spark, lists), eligible(spark, ELIGIBLE), hot_rows=hot_rows)
     assert ids(got, "recent_open") == brute(rows, lists, ELIGIBLE)
 
 
-def test_against_one_window_per_customer(spark):
-    """The plain form: orders and touches in one sorted group per customer and type."""
-    rows, lists = make_skewed(5, timedelta(hours=7))
-    orders, sent = priced(spark, rows), touches(spark, lists)
-    pairs = eligible(spark, ELIGIBLE).where("eligible = 1")
-    marks = sent.join(pairs, "campaign").selectExpr(
-        "recipient AS customer", "order_type", "sent_at AS ts", "1 AS kind", "-pos AS np", "campaign", "NULL AS order_id"
-    )
-    asks = orders.selectExpr(
-        "customer_email AS customer", "order_type", "created_date AS ts", "0 AS kind", "0 AS np", "NULL AS campaign", "order_id"
-    )
-    w = Window.partitionBy("customer", "order_type").orderBy("ts", "kind", "np").rowsBetween(Window.unboundedPreceding, 0)
-    plain = (
-        marks.unionByName(asks).withColumn("recent_open", F.last("campaign", ignorenulls=True).over(w))
-        .where("kind = 0 AND recent_open IS NOT NULL")
-    )
-    assert ids(latest_touch(orders, sent, eligible(spark, ELIGIBLE)), "recent_open") == ids(plain, "recent_open")
-
-
 def test_later_touches_change_nothing(spark):
     rows, lists = make_skewed(2, timedelta(hours=5))
     more = lists + [("c0", o["customer_email"].lower(), o["created_date"], None) for o in rows if o["order_id"] == 7]

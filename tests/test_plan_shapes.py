@@ -53,12 +53,26 @@ def test_window_bounds_reach_the_scan(spark, stored, plain_plans):
     assert any("GreaterThanOrEqual(created_date" in p and "LessThanOrEqual(created_date" in p for p in pushed)
 
 
-def test_as_of_lookup_reads_and_shuffles_its_instants_once(spark, plain_plans):
+def test_as_of_lookup_without_large_customers_is_one_window(spark):
+    """Adaptive execution finds no large customer and drops the way for them unread."""
+    g = Given(spark, SF)
+    df = latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility)
+    df.collect()
+    final = plan_of(df).split("Initial Plan")[0]
+    assert final.count("Window [") == 1
+    placed = [line for line in final.splitlines() if "Exchange hashpartitioning(__customer" in line]
+    assert len(placed) == 1
+
+
+def test_as_of_lookup_of_large_customers_shares_its_instants(spark, plain_plans):
     g = Given(spark, SF)
     plan = plan_of(latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility))
-    assert "ReusedExchange" in plan and plan.count("FileScan parquet [l_orderkey") == 1
-    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(customer_email" in line]
-    assert len(wide) == 1
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
+    assert any("__minute" in line and "__ts" in line for line in reused)
+    # the only hinted broadcast is the bounded list of large customers
+    hinted = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert hinted and all("LeftAnti" in line or "LeftSemi" in line for line in hinted)
+    assert "CollectLimit" in plan or "TakeOrderedAndProject" in plan
 
 
 def test_metrics_on_cells_shuffle_no_whole_orders(spark, plain_plans):

@@ -1,8 +1,8 @@
 """Attach orders to campaigns.
 
 One customer may hold a large share of all orders or of all touches, so no operator here brings a whole
-customer into one task: lists are reduced to distinct members before they are joined, and the as-of
-lookup works on distinct instants in fixed slices of time.
+large customer into one task: lists are reduced to distinct members before they are joined, and the as-of
+lookup of a large customer works on distinct instants in fixed slices of time.
 
 Customer keys are expected in lower case on both sides; readers and `enrich_orders` see to that once.
 """
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import minute_number
 
+HOT_ROWS = 1_000_000  # orders and touches of one customer that one task may sort
+MAX_HOT = 100_000  # customers looked up by instant: the size of a broadcast
+
 
 def list_members(touches: DataFrame, keep_fanout: bool = False) -> DataFrame:
     """One row per campaign and recipient; with ``keep_fanout`` also ``copies``, the rows it had."""
@@ -128,17 +131,43 @@ def by_window(
     return by_list(in_window(orders, start, days, scope), touches, null_safe, keep_fanout)
 
 
-def latest_touch(
-    orders: DataFrame, touches: DataFrame, eligible: DataFrame, complete: bool = False
-) -> DataFrame:
-    """Credit each order to the latest touch strictly before it, as ``recent_open``.
+def _heavy_customers(asks: DataFrame, sent: DataFrame, hot_rows: int) -> DataFrame:
+    """Customers with more than ``hot_rows`` orders and touches, at most ``MAX_HOT`` of them.
+
+    The limit is what makes the table safe to broadcast. It costs no correctness: a customer left out of it
+    takes the other way, which is exact too.
+    """
+    return (
+        asks.select("__customer")
+        .unionAll(sent.select("__customer"))
+        .groupBy("__customer")
+        .count()
+        .where(F.col("count") > hot_rows)
+        .orderBy(F.desc("count"), "__customer")
+        .limit(MAX_HOT)
+        .select("__customer")
+    )
+
+
+def _credit_by_customer(asks: DataFrame, marks: DataFrame) -> DataFrame:
+    """Orders and touches of one customer and order type in one sorted group: one shuffle of each row."""
+    rows = asks.select("*", F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__pos")).unionByName(
+        marks.withColumn("__kind", F.lit(1)), allowMissingColumns=True
+    )
+    # At equal times the order comes before the touches, so a touch must be strictly earlier; of touches at
+    # one time the first in the index comes last.
+    so_far = (
+        Window.partitionBy("__customer", "order_type")
+        .orderBy("__ts", "__kind", F.desc("__pos"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.withColumn("__pos", F.last("__pos", ignorenulls=True).over(so_far)).where("__kind = 0").drop("__kind")
+    )
 
-    Only campaigns marked eligible for the order's type count; of two touches at one time the campaign
-    first in the index wins. The result holds the credited orders. With ``complete`` it holds every order
-    whose customer has any touch at all, with three outcomes: a campaign, ``none_open`` (a tracked type
-    without an earlier eligible touch), null (a type the index does not track).
 
-    The lookup runs on distinct instants (customer, order type, time) and not on order rows:
+def _credit_by_instant(asks: DataFrame, marks: DataFrame) -> DataFrame:
+    """The same result for customers of any size, through distinct instants (customer, order type, time).
 
     1. touches and order times are reduced to distinct instants, with a partial aggregation before the
        shuffle;
@@ -146,91 +175,88 @@ def latest_touch(
     3. per minute the last touch is kept, and a window over these minutes carries it forward;
     4. orders take their instant's campaign in an equi-join whose lookup side is unique.
 
-    A task in 2 sees one customer's instants of one minute and a task in 3 one customer's minutes, so both
-    stay bounded however large the customer. The join in 4 is the only shuffle of whole orders; a large
-    customer makes it skewed on the order side only, which adaptive execution splits.
+    A task in 2 sees one customer's instants of one minute and a task in 3 one customer's minutes: both are
+    bounded by the clock and not by the data. The join in 4 is skewed on the order side only, which
+    adaptive execution splits.
     """
-    key = ["customer", "order_type"]
-    slot = [*key, "minute"]
-    pairs = eligible.where("eligible = 1").select("campaign", "pos", "order_type")
-    tracked = eligible.select("order_type")
-    marks = (
-        touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
-        .join(pairs, "campaign")
-        .select(
-            F.col("recipient").alias("customer"),
-            "order_type",
-            F.col("sent_at").alias("ts"),
-            F.col("pos").cast("long").alias("pos"),
-        )
-    )
-    asks = (
-        orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
-        .select("order_type", F.col("customer_email").alias("customer"), F.col("created_date").alias("ts"))
-        .join(tracked, "order_type", "left_semi")
-        .select(*key, "ts", F.lit(None).cast("long").alias("pos"), F.lit(True).alias("asked"))
-    )
+    key = ["__customer", "order_type"]
+    slot = [*key, "__minute"]
     instants = (
-        marks.withColumn("asked", F.lit(False))
-        .unionByName(asks)
-        .groupBy(*key, "ts")
-        .agg(F.min("pos").alias("pos"), F.max("asked").alias("asked"))
-        .withColumn("minute", minute_number(F.col("ts")))
+        marks.withColumn("__asked", F.lit(False))
+        .unionByName(asks.select(*key, "__ts", F.lit(None).cast("long").alias("__pos"), F.lit(True).alias("__asked")))
+        .groupBy(*key, "__ts")
+        .agg(F.min("__pos").alias("__pos"), F.max("__asked").alias("__asked"))
+        .withColumn("__minute", minute_number(F.col("__ts")))
         .repartition(*slot)  # one placement for both reads below: the window and the minutes' last touches
     )
 
     def before(by: list[str], order: str) -> Window:
         return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    inside = instants.withColumn("near", F.last("pos", ignorenulls=True).over(before(slot, "ts"))).where("asked")
+    inside = instants.withColumn("__near", F.last("__pos", ignorenulls=True).over(before(slot, "__ts"))).where("__asked")
     carried = (
         instants.groupBy(*slot)
         .agg(
-            F.max_by("pos", F.when(F.col("pos").isNotNull(), F.col("ts"))).alias("pos"),
-            F.max("asked").alias("asked"),
+            F.max_by("__pos", F.when(F.col("__pos").isNotNull(), F.col("__ts"))).alias("__pos"),
+            F.max("__asked").alias("__asked"),
         )
-        .withColumn("far", F.last("pos", ignorenulls=True).over(before(key, "minute")))
-        .where("asked AND far IS NOT NULL")
-        .select(*slot, "far")
+        .withColumn("__far", F.last("__pos", ignorenulls=True).over(before(key, "__minute")))
+        .where("__asked AND __far IS NOT NULL")
+        .select(*slot, "__far")
     )
-    names = eligible.select("pos", "campaign").distinct()
-    credit = (
+    found = (
         inside.join(carried, slot, "left")
-        .select(*key, "ts", F.coalesce("near", "far").alias("pos"))
-        .where("pos IS NOT NULL")
-        .join(names, "pos")
-        .select(
-            F.col("customer").alias("__customer"),
-            F.col("order_type").alias("__order_type"),
-            F.col("ts").alias("__ts"),
-            F.col("campaign").alias("__campaign"),
-        )
+        .select(*key, "__ts", F.coalesce("__near", "__far").alias("__pos"))
+        .where("__pos IS NOT NULL")
     )
-    same = (
-        (F.col("customer_email") == F.col("__customer"))
-        & (F.col("order_type") == F.col("__order_type"))
-        & (F.col("created_date") == F.col("__ts"))
+    return asks.join(found, [*key, "__ts"], "left")
+
+
+def latest_touch(
+    orders: DataFrame,
+    touches: DataFrame,
+    eligible: DataFrame,
+    complete: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Credit each order to the latest touch strictly before it, as ``recent_open``.
+
+    Only campaigns marked eligible for the order's type count; of two touches at one time the campaign
+    first in the index wins. The result holds the credited orders. With ``complete`` it holds every order
+    whose customer has any touch at all, with three outcomes: a campaign, ``none_open`` (a tracked type
+    without an earlier eligible touch), null (a type the index does not track).
+
+    Customers with up to ``hot_rows`` orders and touches are looked up in one sorted group each, which
+    moves every order once. The few larger ones take a way that spreads one customer over many tasks.
+    Where there are none, adaptive execution drops that way before it reads anything.
+    """
+    pairs = eligible.where("eligible = 1").select("campaign", F.col("pos").cast("long").alias("__pos"), "order_type")
+    names = pairs.select(F.col("__pos"), F.col("campaign").alias("__campaign")).distinct()
+    tracked = eligible.select(F.col("order_type").alias("__tracked"))
+    sent = touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL").select(
+        "campaign", F.col("recipient").alias("__customer"), F.col("sent_at").alias("__ts")
     )
-    lookup = ["__customer", "__order_type", "__ts"]
+    columns = orders.columns
+    inside = orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
+    if complete:
+        touched = sent.select(F.col("__customer").alias("__touched")).distinct()
+        inside = inside.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")
+        inside = inside.join(tracked.distinct(), F.col("order_type") == F.col("__tracked"), "left")
+    else:
+        inside = inside.join(tracked, F.col("order_type") == F.col("__tracked"), "left_semi")
+    asks = inside.withColumns({"__customer": F.col("customer_email"), "__ts": F.col("created_date")})
+
+    hot = F.broadcast(_heavy_customers(asks, sent, hot_rows))
+    parts = []
+    for kind, way in (("left_anti", _credit_by_customer), ("left_semi", _credit_by_instant)):
+        marks = sent.join(hot, "__customer", kind).join(pairs, "campaign").drop("campaign")
+        parts.append(way(asks.join(hot, "__customer", kind), marks))
+    looked_up = parts[0].unionByName(parts[1])
     if not complete:
-        return orders.join(credit, same).drop(*lookup).withColumnRenamed("__campaign", "recent_open")
-    touched = (
-        touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
-        .select(F.col("recipient").alias("__touched"))
-        .distinct()
-    )
-    known_types = tracked.distinct().select(F.col("order_type").alias("__tracked"))
-    return (
-        orders.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")
-        .join(credit, same, "left")
-        .drop(*lookup)
-        .join(known_types, F.col("order_type") == F.col("__tracked"), "left")
-        .withColumn(
-            "recent_open",
-            F.when(F.col("__tracked").isNotNull(), F.coalesce("__campaign", F.lit(C.NONE_OPEN))),
-        )
-        .drop("__tracked", "__campaign")
-    )
+        found = looked_up.where("__pos IS NOT NULL").join(names, "__pos")
+        return found.select(*columns, F.col("__campaign").alias("recent_open"))
+    label = F.when(F.col("__tracked").isNotNull(), F.coalesce("__campaign", F.lit(C.NONE_OPEN)))
+    return looked_up.join(names, "__pos", "left").select(*columns, label.alias("recent_open"))
 
 
 def credited(labelled: DataFrame) -> DataFrame:
