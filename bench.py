@@ -45,6 +45,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         # Above this size the JVM leaves a generated method uncompiled; per-expression code is faster then.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -45,12 +45,12 @@ def test_confirmed(spark):
 def test_scope_and_code(spark):
     rows = [
         raw_order(1, lob_type="Regulatory", promotion_code="my-FLASH"),
-        raw_order(2, lob_type="Gene Synthesis", priority="PriorityGENE", promotion_code="Flash19"),
+        raw_order(2, lob_type="Gene Synthesis", priority="Fast", promotion_code="Flash19"),
         raw_order(3, lob_type="Gene Synthesis", priority=None),
         raw_order(4, promotion_code="fla"),
     ]
     df = priced(spark, rows)
-    assert [r[0] for r in ids(df.where(in_scope()))] == [1, 2]
+    assert [r[0] for r in ids(df.where(in_scope(["Fast"])))] == [1, 2]
     assert [r[0] for r in ids(df.where(contains_word(F.col("promotion_code"), "flash")))] == [1, 2]
 
 

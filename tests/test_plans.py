@@ -23,7 +23,7 @@ def world(spark, tmp_path_factory):
         raw_order(
             i, customer_email=f"U{rng.randrange(15)}@x.org", created_date=day(rng.randrange(1, 31)),
             lob_type=rng.choice(list(C.LINE_CODES)), billing_amount=f"${rng.randrange(1, 90)}.5000",
-            priority=rng.choice(["PriorityGENE", None]), promotion_code=rng.choice(["FLASH1", "CODE2", None]),
+            priority=rng.choice(["Fast", None]), promotion_code=rng.choice(["FLASH1", "CODE2", None]),
             order_type=rng.choice(["t1", "t2", "other"]), institution=rng.choice(["Uni", "ACME"]),
         )
         for i in range(250)
@@ -77,7 +77,7 @@ def test_list_report(spark, world):
 @pytest.mark.parametrize("kind", ["promotion", "research"])
 def test_touch_report(spark, world, kind):
     _, s = world
-    out = run_touch(spark, {**s, "kind": kind, "codes": ["CODE2"]})
+    out = run_touch(spark, {**s, "kind": kind, "codes": ["CODE2"], "priorities": ["Fast"]})
     final, complete = out["Labelled"], out["Labelled Complete"]
     assert {r[0] for r in complete.select("recent_open").distinct().collect()} >= {None, "none_open", "first"}
     assert final.where("recent_open IS NULL OR recent_open = 'none_open'").count() == 0
@@ -102,7 +102,7 @@ def test_window_report_from_the_command_line(spark, world):
     root, s = world
     settings = {
         **s, "list": str(root / "lists" / "B Long.csv"), "source": "Regional", "sent_date": "7/10/2019",
-        "scope_column": "priority", "scope_values": ["PriorityGENE"], "out": str(root / "window"), "out_format": "csv",
+        "scope_column": "priority", "scope_values": ["Fast"], "out": str(root / "window"), "out_format": "csv",
     }
     path = root / "settings.json"
     path.write_text(json.dumps(settings))

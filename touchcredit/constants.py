@@ -49,7 +49,6 @@ NONE_OPEN = "none_open"
 WINDOW_DAYS = 31
 SCOPE_LINES = ("Next Gen. Sequencing", "Molecular Genetics", "Regulatory")
 SCOPE_PRIORITY_LINE = "Gene Synthesis"
-SCOPE_PRIORITIES = ("PriorityGENE",)
 
 # --- Fixed values: labels of lines in report columns -----------------------------------------------
 QUOTE_LABELS = {

@@ -54,7 +54,7 @@ def run_touch(spark: SparkSession, s: dict) -> dict[str, DataFrame]:
     touches = read_touches(spark, s["lists"], table, s.get("list_format", "csv"))
     company = Company(**s.get("company", {}))
     if s.get("kind", "promotion") == "promotion":
-        spec = TouchCampaign.promotion(in_scope(), tuple(s.get("codes", ())), company)
+        spec = TouchCampaign.promotion(in_scope(s["priorities"]), tuple(s.get("codes", ())), company)
     else:
         spec = TouchCampaign.research_areas(company)
     return touch_campaign(_orders(spark, s), _history(spark, s), touches, table, eligibility(index), spec)

@@ -35,9 +35,9 @@ def add_confirmed(
 
 
 def in_scope(
+    priorities: Iterable[str],
     lines: Iterable[str] = C.SCOPE_LINES,
     priority_line: str = C.SCOPE_PRIORITY_LINE,
-    priorities: Iterable[str] = C.SCOPE_PRIORITIES,
 ) -> Column:
     """Some lines wholly, one line only for certain priorities: one predicate, one pass."""
     line = F.col("lob_type")

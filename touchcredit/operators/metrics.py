@@ -131,23 +131,19 @@ def campaign_metrics(
         return F.max(F.lit(1) if m.when is None else F.when(m.when, 1).otherwise(0))
 
     keys = [] if key is None else [key]
-    names = {m.name: f"m{i}" for i, m in enumerate(measures)}
     by_customer = any(m.kind == "customers" for m in measures)
     step = labelled.groupBy(*keys, "customer_email") if by_customer else labelled.groupBy(*keys)
-    out = step.agg(*[row_value(m).alias(names[m.name]) for m in measures])
+    out = step.agg(*[row_value(m).alias(f"m{i}") for i, m in enumerate(measures)])
     if by_customer:
-
-        def total(m: Measure) -> Column:
-            value = F.col(names[m.name])
-            if m.kind == "customers":
-                value = F.when(email.isNotNull(), value).otherwise(0)
-            return F.sum(value).alias(names[m.name])
-
-        out = out.groupBy(*keys).agg(*[total(m) for m in measures])
-
-    def final(m: Measure) -> Column:
-        value = F.col(names[m.name])
-        return (value if m.kind == "revenue" else F.coalesce(value, F.lit(0))).alias(m.name)
-
-    out = out.select(*keys, *[final(m) for m in measures])
+        counted_once = "sum(CASE WHEN customer_email IS NOT NULL THEN m{0} ELSE 0 END) AS m{0}"
+        totals = [
+            (counted_once if m.kind == "customers" else "sum(m{0}) AS m{0}").format(i)
+            for i, m in enumerate(measures)
+        ]
+        out = out.groupBy(*keys).agg(*[F.expr(total) for total in totals])
+    named = [
+        (f"m{i}" if m.kind == "revenue" else f"coalesce(m{i}, 0)") + f" AS `{m.name}`"
+        for i, m in enumerate(measures)
+    ]
+    out = out.selectExpr(*[f"`{k}`" for k in keys], *named)
     return out if spine is None else spine_join(out, spine, key)

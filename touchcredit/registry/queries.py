@@ -45,7 +45,7 @@ CUSTOMER_CELL = ["customer_email", "email_lob", "lob_type", "lob"]
 CELL_COLUMNS = ["recent_open", *CUSTOMER_CELL, "confirmed"]
 SHIP_NAMES = ["camp_a", "camp_n", "camp_r"]
 FLASH_NAMES = ["click", "view", "newsletter"]
-SCOPE = (("L1", "L2", "L3"), "L0", ("1-URGENT", "3-MEDIUM"))
+SCOPE = (("1-URGENT", "3-MEDIUM"), ("L1", "L2", "L3"), "L0")
 
 
 def money(df: DataFrame) -> DataFrame:
