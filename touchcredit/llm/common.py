@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -95,3 +99,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select("b", "b").distinct()
     )
+
+
+def with_text_columns(docs: DataFrame, fields: str, make: Callable[[], Callable[[list, dict], list[list]]], also: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` with columns computed from the whole `text` (and the columns `also`), one Arrow batch at a time.
+
+    `make` is called once in a task and returns a function from the batch's texts (and the other columns' values by
+    name) to a list of values for each field. Columns of `docs` with a new one's name are replaced.
+    """
+    new = T.StructType.fromDDL(fields)
+    docs = docs.drop(*new.names)
+    names = docs.columns
+    kinds = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            values = compute(batch.column("text").to_pylist(), {c: batch.column(c).to_pylist() for c in also})
+            made = [pa.array(v, kinds.field(i).type) for i, v in enumerate(values)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *new.names])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
