@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, topk, warc
 from .decontam import contamination_digest
+from .langid import language_predictions
 from .packing import pack
+from .quality import quality_scores
 from .sharding import shard_digest
 from .simhash import near_duplicates
 from .topk import top_k_of_embeddings
+from .toxicity import toxicity_scores
 from .warc import archived_pages
 
 
@@ -19,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_table(spark, sf_dir, "documents"))
 
@@ -39,16 +50,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
