@@ -154,8 +154,8 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, words: int
     return LanguageModel(languages, word_index, word_logs, gram_index, gram_logs)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """`docs` with lang_pred and score (0 to 1), from the whole text alone."""
+def identify(docs: DataFrame, model: LanguageModel, prefix: str = "") -> DataFrame:
+    """`docs` with lang_pred and score (0 to 1), from the whole text alone; `prefix` goes before the new names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
         return compute
 
-    return with_text_columns(docs, "lang_pred string, score double", make)
+    return with_text_columns(docs, f"{prefix}lang_pred string, {prefix}score double", make)
 
 
 def language_predictions(docs: DataFrame) -> DataFrame:

@@ -154,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return train([(r["index"], r["value"], r["label"]) for r in made.orderBy("doc_id").toLocalIterator()])
 
 
-def rate(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 if score >= threshold), from the whole text and n_chars."""
+def rate(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """`docs` with score (0 to 1) and predicted (1 if score >= threshold), from the whole text and n_chars; `prefix` goes
+    before the new names."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
@@ -173,7 +174,7 @@ def rate(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRE
 
         return compute
 
-    return with_text_columns(with_n_chars(docs), "score double, predicted int", make, ("n_chars",))
+    return with_text_columns(with_n_chars(docs), f"{prefix}score double, {prefix}predicted int", make, ("n_chars",))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, topk, warc
@@ -16,6 +17,7 @@ from .simhash import near_duplicates
 from .topk import top_k_of_embeddings
 from .toxicity import toxicity_scores
 from .warc import archived_pages
+from .wrappers import page_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_html": op2_html,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {"op6_topk": topk.SQL, "op7_warc": warc.SQL, "op8_decontamination": decontam.SQL}

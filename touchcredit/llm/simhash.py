@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settled
+from .common import components, settled, with_text_columns
 
 GROUPS = 8
 #: A cell with more fingerprints is worked on in pairs of blocks of this size.
@@ -53,16 +53,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row of `docs`; other columns are not read. A null or wordless text has fingerprint 0."""
+    """(doc_id, text_hash, fp) for every row of `docs`; other columns are not read. A null or wordless text has
+    fingerprint 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(x.as_py(), words, seed) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+    def make():
+        return lambda texts, _: [[fingerprint(t, words, seed) for t in texts]]
 
-    slim = docs.select("doc_id", "text")
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return with_text_columns(slim, "fp bigint", make).drop("text")
 
 
 def unary_code(fps: np.ndarray) -> np.ndarray:
@@ -205,6 +203,13 @@ def near_links(distinct: DataFrame, distance: int = 4, block: int = BLOCK) -> Da
     return dealt.mapInArrow(match, "a bigint, b bigint")
 
 
+def linked(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, root) for every distinct fingerprint: equal roots where links of at most `distance` bits lead."""
+    distinct = settled(prints.select("fp").distinct())
+    groups = components(near_links(distinct, distance))
+    return distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) for every row.
 
@@ -212,13 +217,35 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     component_id. Repeated rows are returned as often as they occur. An empty table gives an empty result.
     """
     prints = settled(fingerprints(docs, words, seed))
-    distinct = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = components(near_links(distinct, distance))
-    grouped = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    names = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(names, "root").select("fp", "component_id")
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(linked(prints, distance), "fp")
+    names = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = firsts.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+    """One row of `docs` for each component: that with the smallest doc_id, null ids last.
+
+    Of rows that share that id, the one whose text has the smallest hash stays; of rows that share the text as well,
+    any one.
+    """
+    prints = settled(fingerprints(docs, words, seed))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = prints.groupBy("fp").agg(F.min(order).alias("least"))
+    least = least.join(linked(prints, distance), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    chosen = settled(least.select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    repeated = settled(
+        prints.groupBy("doc_id", "text_hash").count().where(F.col("count") > 1)
+        .join(chosen, same & (F.col("text_hash") == F.col("__hash")), "left_semi")
+        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    )
+    names = docs.columns
+    same = same & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(chosen, same, "left_semi")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return kept.join(repeated, same, "left_anti").union(again.select(*names))
