@@ -11,6 +11,7 @@ number of documents; the pieces then find their places by their rank among piece
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,21 +43,28 @@ REMEMBERED = 400_000
 Runs = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-class ChunkIds(dict):
-    """Ids of chunks as little-endian bytes, remembered in two generations of bounded size."""
+#: The tokenizer's byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(PRINTABLE))}
+WORDS = regex.compile(public_tokenizers.PATTERN)
+BEFORE_SPACE = re.compile(r"(?= \S)")
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
+class ChunkIds(dict):
+    """Ids of `lead` + chunk as little-endian bytes, remembered in two generations of bounded size."""
+
+    def __init__(self, tokenizer, lead: str = ""):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.older: dict[str, bytes] = {}
+        self.tokenize, self.lead, self.older = tokenizer.model.tokenize, lead, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            found = []
+            for word in WORDS.findall(self.lead + chunk):
+                raw = word.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
+                found += [t.id for t in self.tokenize(raw)]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -64,19 +73,35 @@ class ChunkIds(dict):
         return ids
 
 
-#: The tokenizer's own splitting never joins characters across a space that is followed by other than white space, or
-#: across a line end between two such characters; so texts are encoded chunk by chunk.
-PLAIN = re.compile(r" ?[^ \n]+|\n")
-UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n]")
-BEFORE_SPACE = re.compile(r"(?= \S)")
+class Encoder:
+    """The ids of whole texts by the tokenizer's own splitting and model, chunk by chunk.
+
+    The splitting never joins characters across a space that is followed by other than white space, nor across a
+    single line end between two such characters. Special tokens' strings in a text are ordinary text.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def encoded(text: str | None, chunks: ChunkIds) -> bytes:
-    """The ids of a whole text as little-endian unsigned 32-bit numbers, the separator last."""
-    if not text:
-        return SEPARATOR.to_bytes(4, "little")
-    parts = (BEFORE_SPACE.split if UNEVEN.search(text) else PLAIN.findall)(text)
-    return b"".join(map(chunks.__getitem__, parts)) + SEPARATOR.to_bytes(4, "little")
+        tokenizer = Tokenizer.from_file(path)
+        self.first, self.spaced = ChunkIds(tokenizer), ChunkIds(tokenizer, " ")
+
+    def __call__(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit numbers, the separator last."""
+        end = SEPARATOR.to_bytes(4, "little")
+        if not text:
+            return end
+        flat = text.replace("\n", " ")
+        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":
+            return b"".join(map(self.first.__getitem__, BEFORE_SPACE.split(text))) + end
+        out: list[bytes] = []
+        for line in text.split("\n"):
+            if out:
+                out.append(self.first["\n"])
+            head, *rest = line.split(" ")
+            out.append(self.first[head])
+            out += map(self.spaced.__getitem__, rest)
+        return b"".join(out) + end
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
@@ -87,11 +112,11 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(tokenizer)
+        encoded = Encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for at, value in enumerate(batch.column(1)):
-                ids = encoded(value.as_py(), chunks)
+                ids = encoded(value.as_py())
                 total = len(ids) // 4
                 ends = list(range(total % capacity or capacity, total, capacity)) + [total]
                 first = 0
