@@ -84,8 +84,8 @@ def test_window_ends(spark):
 # ---- as-of ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10**6])
-def test_three_outcomes(spark, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**7])
+def test_three_outcomes(spark, slice_seconds):
     orders = priced(
         spark,
         [
@@ -107,13 +107,13 @@ def test_three_outcomes(spark, hot_rows):
             ("c0", "late@x.org", day(11), None), ("c0", None, day(1), None), ("c0", "nobody@x.org", None, None),
         ],
     )
-    complete = latest_touch(orders, lists, eligible(spark, ELIGIBLE), complete=True, hot_rows=hot_rows)
+    complete = latest_touch(orders, lists, eligible(spark, ELIGIBLE), complete=True, slice_seconds=slice_seconds)
     assert ids(complete, "recent_open") == [
         (1, "c0"), (2, "none_open"), (3, "none_open"), (4, None), (7, "none_open"), (8, "c0"), (9, "none_open"),
     ]
     expected = [(1, "c0"), (8, "c0")]
     assert ids(credited(complete), "recent_open") == expected
-    assert ids(latest_touch(orders, lists, eligible(spark, ELIGIBLE), hot_rows=hot_rows), "recent_open") == expected
+    assert ids(latest_touch(orders, lists, eligible(spark, ELIGIBLE), slice_seconds=slice_seconds), "recent_open") == expected
 
 
 def test_resend_does_not_hide_the_earlier_send(spark):
@@ -160,10 +160,10 @@ def make_skewed(seed, grain):
 @pytest.mark.parametrize(
     "grain", [timedelta(days=1), timedelta(minutes=1), timedelta(seconds=20), timedelta(microseconds=250000)]
 )
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**6], ids=["all hot", "one hot", "none hot"])
-def test_against_brute_force(spark, grain, hot_rows):
+@pytest.mark.parametrize("slice_seconds", [60, 3600, 86400 * 2])
+def test_against_brute_force(spark, grain, slice_seconds):
     rows, lists = make_skewed(11, grain)
-    got = latest_touch(priced(spark, rows), touches(spark, lists), eligible(spark, ELIGIBLE), hot_rows=hot_rows)
+    got = latest_touch(priced(spark, rows), touches(spark, lists), eligible(spark, ELIGIBLE), slice_seconds=slice_seconds)
     assert ids(got, "recent_open") == brute(rows, lists, ELIGIBLE)
 
 
@@ -175,3 +175,35 @@ def test_later_touches_change_nothing(spark):
     before = latest_touch(priced(spark, rows), touches(spark, lists), el)
     after = latest_touch(priced(spark, rows), touches(spark, more), el)
     assert pick(ids(before, "recent_open")) == pick(ids(after, "recent_open"))
+
+
+def test_equal_places_do_not_double_orders(spark):
+    orders = priced(spark, [raw_order(1)])
+    lists = touches(spark, [("c0", "a@x.org", day(3), None), ("c1", "a@x.org", day(3), None)])
+    same = eligible(spark, [("c0", 7, "t1", 1), ("c1", 7, "t1", 1), ("c1", 7, "t1", 1)])
+    assert ids(latest_touch(orders, lists, same), "recent_open") == [(1, "c1")]
+
+
+def test_fanout_of_the_credited_touch_is_a_weight(spark):
+    orders = priced(spark, [raw_order(1), raw_order(2, customer_email="b@x.org"), raw_order(3, customer_email="late@x.org")])
+    lists = touches(
+        spark,
+        [
+            ("c0", "a@x.org", day(3), None), ("c0", "a@x.org", day(3), True), ("c1", "a@x.org", day(2), None),
+            ("c1", "b@x.org", day(4), None), ("c1", "late@x.org", day(20), None), ("c1", "late@x.org", day(20), None),
+        ],
+    )
+    el = eligible(spark, ELIGIBLE)
+    assert ids(latest_touch(orders, lists, el, keep_fanout=True), "recent_open", "copies") == [(1, "c0", 2), (2, "c1", 1)]
+    complete = latest_touch(orders, lists, el, complete=True, keep_fanout=True)
+    assert ids(complete, "recent_open", "copies") == [(1, "c0", 2), (2, "c1", 1), (3, "none_open", 1)]
+
+
+def test_empty_inputs(spark):
+    orders = priced(spark, [raw_order(1)])
+    lists = touches(spark, [("c0", "a@x.org", day(3), None)])
+    el = eligible(spark, ELIGIBLE)
+    assert ids(latest_touch(orders.limit(0), lists, el)) == []
+    assert ids(latest_touch(orders, lists.limit(0), el)) == []
+    assert ids(latest_touch(orders, lists, el.limit(0))) == []
+    assert ids(latest_touch(orders, lists, el.limit(0), complete=True), "recent_open") == [(1, None)]

@@ -11,12 +11,13 @@ from .. import constants as C
 from .predicates import matches_any
 
 # A cast to double also takes words and type suffixes such as 12d, so no letter may end a number.
+AMOUNT_TYPE = "decimal(18,4)"
 LETTER_AT_END = r"\p{L}\s*$"
 
 
 def round4(col: Column) -> Column:
-    """Round half-even at the fourth decimal on doubles."""
-    return F.rint(col * 10000) / 10000
+    """Round a double half-even at the fourth decimal, as an exact decimal."""
+    return (F.rint(col * 10000).try_cast("decimal(22,0)") / 10000).try_cast(AMOUNT_TYPE)
 
 
 def is_zero(text: Column, zero: str = C.ZERO_AMOUNT) -> Column:
@@ -28,7 +29,7 @@ def is_foreign(text: Column, patterns: Iterable[str] = C.FOREIGN_AMOUNT_PATTERNS
 
 
 def parse_amount(text: Column, mark: str = C.CONVERTED_MARK, rate: float = C.CONVERTED_RATE) -> Column:
-    """Text amount to a double with four decimals; null where the text is no number.
+    """Text amount to a decimal with four places; null where the text is no number or too large for the type.
 
     The home currency has a one-character sign. The converted currency is recognised by ``mark``
     anywhere in the text, is written with one more character, and is multiplied by ``rate``.

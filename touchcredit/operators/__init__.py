@@ -17,7 +17,7 @@ from .metrics import (
     total_measures,
     unique_measure,
 )
-from .newness import Known, flag_new, known_customers
+from .newness import Known, first_appearances, flag_new, known_customers
 from .reshape import metric_rows, source_breakdown, spine_join
 
 __all__ = [
@@ -36,6 +36,7 @@ __all__ = [
     "confirmed_measures",
     "direct_measures",
     "enrich_orders",
+    "first_appearances",
     "flag_new",
     "in_scope",
     "known_customers",

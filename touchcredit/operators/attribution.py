@@ -2,7 +2,7 @@
 
 One customer may hold a large share of all orders or of all touches, so no operator here brings a whole
 large customer into one task: lists are reduced to distinct members before they are joined, and the as-of
-lookup of a large customer works on distinct instants in fixed slices of time.
+lookup works in fixed slices of time.
 
 Customer keys are expected in lower case on both sides; readers and `enrich_orders` see to that once.
 """
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import minute_number
 
-HOT_ROWS = 1_000_000  # orders and touches of one customer that one task may sort
-MAX_HOT = 100_000  # customers looked up by instant: the size of a broadcast
+SLICE_SECONDS = 3600  # a customer's orders and touches of so long a time are sorted by one task
 
 
 def list_members(touches: DataFrame, keep_fanout: bool = False) -> DataFrame:
@@ -131,85 +130,22 @@ def by_window(
     return by_list(in_window(orders, start, days, scope), touches, null_safe, keep_fanout)
 
 
-def _heavy_customers(asks: DataFrame, sent: DataFrame, hot_rows: int) -> DataFrame:
-    """Customers with more than ``hot_rows`` orders and touches, at most ``MAX_HOT`` of them.
+def _slice(ts: Column, seconds: int) -> Column:
+    """The number of the slice of time that holds ``ts``."""
+    return F.floor(minute_number(ts) * 60 / seconds)
 
-    The limit is what makes the table safe to broadcast. It costs no correctness: a customer left out of it
-    takes the other way, which is exact too.
-    """
-    return (
-        asks.select("__customer")
-        .unionAll(sent.select("__customer"))
-        .groupBy("__customer")
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), "__customer")
-        .limit(MAX_HOT)
-        .select("__customer")
-    )
 
+def _eligible_types(eligible: DataFrame) -> tuple[Column, Column]:
+    """Per campaign its eligible order types with its place in the index, and all tracked types, as two values.
 
-def _credit_by_customer(asks: DataFrame, marks: DataFrame) -> DataFrame:
-    """Orders and touches of one customer and order type in one sorted group: one shuffle of each row."""
-    rows = asks.select("*", F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__pos")).unionByName(
-        marks.withColumn("__kind", F.lit(1)), allowMissingColumns=True
-    )
-    # At equal times the order comes before the touches, so a touch must be strictly earlier; of touches at
-    # one time the first in the index comes last.
-    so_far = (
-        Window.partitionBy("__customer", "order_type")
-        .orderBy("__ts", "__kind", F.desc("__pos"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.withColumn("__pos", F.last("__pos", ignorenulls=True).over(so_far)).where("__kind = 0").drop("__kind")
-    )
-
-
-def _credit_by_instant(asks: DataFrame, marks: DataFrame) -> DataFrame:
-    """The same result for customers of any size, through distinct instants (customer, order type, time).
-
-    1. touches and order times are reduced to distinct instants, with a partial aggregation before the
-       shuffle;
-    2. inside each minute a running window gives the last touch before every instant;
-    3. per minute the last touch is kept, and a window over these minutes carries it forward;
-    4. orders take their instant's campaign in an equi-join whose lookup side is unique.
-
-    A task in 2 sees one customer's instants of one minute and a task in 3 one customer's minutes: both are
-    bounded by the clock and not by the data. The join in 4 is skewed on the order side only, which
-    adaptive execution splits.
+    The index has a row for each mailed campaign, so both are read as scalar subqueries: no order or touch is
+    ever placed by its campaign or type, of which there are few.
     """
-    key = ["__customer", "order_type"]
-    slot = [*key, "__minute"]
-    instants = (
-        marks.withColumn("__asked", F.lit(False))
-        .unionByName(asks.select(*key, "__ts", F.lit(None).cast("long").alias("__pos"), F.lit(True).alias("__asked")))
-        .groupBy(*key, "__ts")
-        .agg(F.min("__pos").alias("__pos"), F.max("__asked").alias("__asked"))
-        .withColumn("__minute", minute_number(F.col("__ts")))
-        .repartition(*slot)  # one placement for both reads below: the window and the minutes' last touches
-    )
-
-    def before(by: list[str], order: str) -> Window:
-        return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-    inside = instants.withColumn("__near", F.last("__pos", ignorenulls=True).over(before(slot, "__ts"))).where("__asked")
-    carried = (
-        instants.groupBy(*slot)
-        .agg(
-            F.max_by("__pos", F.when(F.col("__pos").isNotNull(), F.col("__ts"))).alias("__pos"),
-            F.max("__asked").alias("__asked"),
-        )
-        .withColumn("__far", F.last("__pos", ignorenulls=True).over(before(key, "__minute")))
-        .where("__asked AND __far IS NOT NULL")
-        .select(*slot, "__far")
-    )
-    found = (
-        inside.join(carried, slot, "left")
-        .select(*key, "__ts", F.coalesce("__near", "__far").alias("__pos"))
-        .where("__pos IS NOT NULL")
-    )
-    return asks.join(found, [*key, "__ts"], "left")
+    place = F.min("pos").cast("long").alias("pos")
+    per_type = eligible.where("eligible = 1").groupBy("campaign", "order_type").agg(place)
+    types = per_type.groupBy("campaign").agg(F.collect_list(F.struct("order_type", "pos")).alias("types"))
+    as_map = types.agg(F.map_from_entries(F.collect_list(F.struct("campaign", "types")))).scalar()
+    return as_map, eligible.agg(F.collect_set("order_type")).scalar()
 
 
 def latest_touch(
@@ -217,46 +153,101 @@ def latest_touch(
     touches: DataFrame,
     eligible: DataFrame,
     complete: bool = False,
-    hot_rows: int = HOT_ROWS,
+    slice_seconds: int = SLICE_SECONDS,
+    keep_fanout: bool = False,
 ) -> DataFrame:
     """Credit each order to the latest touch strictly before it, as ``recent_open``.
 
     Only campaigns marked eligible for the order's type count; of two touches at one time the campaign
-    first in the index wins. The result holds the credited orders. With ``complete`` it holds every order
-    whose customer has any touch at all, with three outcomes: a campaign, ``none_open`` (a tracked type
-    without an earlier eligible touch), null (a type the index does not track).
-
-    Customers with up to ``hot_rows`` orders and touches are looked up in one sorted group each, which
-    moves every order once. The few larger ones take a way that spreads one customer over many tasks.
-    Where there are none, adaptive execution drops that way before it reads anything.
+    first in the index wins, and of two with one place the last by name. The result holds the credited
+    orders. With ``complete`` it holds every order whose customer has any touch at all, with three outcomes:
+    a campaign, ``none_open`` (a tracked type without an earlier eligible touch), null (a type the index does
+    not track). With ``keep_fanout`` the rows that the credited touch had (one recipient listed several times
+    at one time) are kept as the weight ``copies``; the repeated rows are never produced.
+
+    One way for customers of any size. Orders and touches are shuffled once each, by customer and slice of
+    time, so a task is bounded by the clock and not by the customer:
+
+    1. inside a slice, touches are spread over their eligible order types and a running window gives the last
+       touch before every order;
+    2. the last touch of each slice and type, found where the touches already are, is carried over a
+       customer's slices by a second window, and comes back as one small map for each slice with orders.
     """
-    pairs = eligible.where("eligible = 1").select("campaign", F.col("pos").cast("long").alias("__pos"), "order_type")
-    names = pairs.select(F.col("__pos"), F.col("campaign").alias("__campaign")).distinct()
-    tracked = eligible.select(F.col("order_type").alias("__tracked"))
+    by_campaign, tracked = _eligible_types(eligible)
     sent = touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL").select(
         "campaign", F.col("recipient").alias("__customer"), F.col("sent_at").alias("__ts")
     )
+    if keep_fanout:
+        sent = sent.groupBy("campaign", "__customer", "__ts").agg(F.count(F.lit(1)).alias("__copies"))
+    else:
+        sent = sent.withColumn("__copies", F.lit(1).cast("long"))
     columns = orders.columns
     inside = orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
+    is_tracked = F.coalesce(F.array_contains(tracked, F.col("order_type")), F.lit(False))
     if complete:
         touched = sent.select(F.col("__customer").alias("__touched")).distinct()
         inside = inside.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")
-        inside = inside.join(tracked.distinct(), F.col("order_type") == F.col("__tracked"), "left")
     else:
-        inside = inside.join(tracked, F.col("order_type") == F.col("__tracked"), "left_semi")
-    asks = inside.withColumns({"__customer": F.col("customer_email"), "__ts": F.col("created_date")})
-
-    hot = F.broadcast(_heavy_customers(asks, sent, hot_rows))
-    parts = []
-    for kind, way in (("left_anti", _credit_by_customer), ("left_semi", _credit_by_instant)):
-        marks = sent.join(hot, "__customer", kind).join(pairs, "campaign").drop("campaign")
-        parts.append(way(asks.join(hot, "__customer", kind), marks))
-    looked_up = parts[0].unionByName(parts[1])
-    if not complete:
-        found = looked_up.where("__pos IS NOT NULL").join(names, "__pos")
-        return found.select(*columns, F.col("__campaign").alias("recent_open"))
-    label = F.when(F.col("__tracked").isNotNull(), F.coalesce("__campaign", F.lit(C.NONE_OPEN)))
-    return looked_up.join(names, "__pos", "left").select(*columns, label.alias("recent_open"))
+        inside = inside.where(is_tracked)
+
+    slot = ["__customer", "__slice"]
+    asks = inside.withColumns(
+        {
+            "__customer": F.col("customer_email"),
+            "__ts": F.col("created_date"),
+            "__slice": _slice(F.col("created_date"), slice_seconds),
+        }
+    )
+    marks = (
+        sent.withColumn("__slice", _slice(F.col("__ts"), slice_seconds))
+        .repartition(*slot)  # read twice below, shuffled once
+        .select(*slot, "__ts", "campaign", "__copies", F.inline(F.element_at(by_campaign, F.col("campaign"))))
+        .select(*slot, "__ts", "order_type", "pos", F.struct("campaign", "__copies").alias("__touch"))
+    )
+
+    # At equal times the order comes before the touches, so a touch must be strictly earlier; of touches at
+    # one time the first in the index comes last.
+    so_far = (
+        Window.partitionBy(*slot, "order_type")
+        .orderBy("__ts", "__kind", F.desc("pos"), "__touch")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    near = (
+        asks.repartition(*slot)
+        .withColumn("__kind", F.lit(0))
+        .unionByName(marks.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+        .withColumn("__near", F.last("__touch", ignorenulls=True).over(so_far))
+        .where("__kind = 0")
+    )
+
+    last = F.max(F.struct("__ts", -F.col("pos"), "__touch"))["__touch"].alias("__touch")
+    earlier = (
+        Window.partitionBy("__customer", "order_type")
+        .orderBy("__slice")
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    far = (
+        marks.groupBy(*slot, "order_type")
+        .agg(last)
+        .withColumn("__asked", F.lit(False))
+        .unionByName(
+            asks.select(*slot, "order_type").distinct().withColumn("__asked", F.lit(True)),
+            allowMissingColumns=True,
+        )
+        .withColumn("__far", F.last("__touch", ignorenulls=True).over(earlier))
+        .where("__asked AND __far IS NOT NULL AND order_type IS NOT NULL")
+        .groupBy(*slot)
+        .agg(F.map_from_entries(F.collect_list(F.struct("order_type", "__far"))).alias("__far"))
+    )
+    touch = F.coalesce("__near", F.when(F.col("order_type").isNotNull(), F.element_at("__far", F.col("order_type"))))
+    found = near.join(far, slot, "left").withColumn("__found", touch)
+    label = F.col("__found.campaign")
+    if complete:
+        label = F.when(is_tracked, F.coalesce(label, F.lit(C.NONE_OPEN)))
+    else:
+        found = found.where("__found IS NOT NULL")
+    weight = [F.coalesce("__found.__copies", F.lit(1).cast("long")).alias("copies")] if keep_fanout else []
+    return found.select(*columns, label.alias("recent_open"), *weight)
 
 
 def credited(labelled: DataFrame) -> DataFrame:

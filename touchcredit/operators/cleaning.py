@@ -96,7 +96,11 @@ def clean_stages(raw: DataFrame, rules: CleaningRules) -> dict[str, DataFrame]:
     kept = raw.where(status_rule(rules)).where(territory_rule(rules))
     priced, rejects = clean_amounts(kept, rules)
     cleaned = priced.where(internal_rule(rules))
-    return {"cleaned": cleaned, "ready": remap_lines(cleaned, rules.remapped_lines), "rejects": rejects}
+    return {
+        "cleaned": cleaned,
+        "ready": remap_lines(cleaned, rules.remapped_lines),
+        "rejects": rejects.where(internal_rule(rules)),
+    }
 
 
 def clean_orders(raw: DataFrame, rules: CleaningRules) -> tuple[DataFrame, DataFrame]:

@@ -127,7 +127,7 @@ def campaign_metrics(
             counted = email.isNotNull() if m.when is None else m.when & email.isNotNull()
             return F.sum(F.when(counted, n).otherwise(0))
         if m.kind == "revenue":
-            return F.sum(amount if m.when is None else F.when(m.when, amount).otherwise(0.0))
+            return F.sum(amount if m.when is None else F.when(m.when, amount).otherwise(0))
         return F.max(F.lit(1) if m.when is None else F.when(m.when, 1).otherwise(0))
 
     keys = [] if key is None else [key]
@@ -142,7 +142,7 @@ def campaign_metrics(
         ]
         out = out.groupBy(*keys).agg(*[F.expr(total) for total in totals])
     named = [
-        (f"m{i}" if m.kind == "revenue" else f"coalesce(m{i}, 0)") + f" AS `{m.name}`"
+        (f"CAST(m{i} AS DOUBLE)" if m.kind == "revenue" else f"coalesce(m{i}, 0)") + f" AS `{m.name}`"
         for i, m in enumerate(measures)
     ]
     out = out.selectExpr(*[f"`{k}`" for k in keys], *named)

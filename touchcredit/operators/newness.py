@@ -16,12 +16,29 @@ class Known:
     lines: DataFrame  # email_lob, first_order, in_history
 
 
+def first_appearances(seen: DataFrame) -> Known:
+    """First order time per key, and whether the key is listed.
+
+    ``seen`` has ``customer_email, email_lob, created_date, listed``. It is read and reduced to its pairs of
+    keys once; both tables come from the pairs, of which a customer has as many as there are lines.
+    """
+    first = [F.min("created_date").alias("first_order"), F.max("listed").alias("in_history")]
+    pairs = seen.groupBy("customer_email", "email_lob").agg(
+        F.min("created_date").alias("created_date"), F.max("listed").alias("listed")
+    )
+
+    def per(key: str) -> DataFrame:
+        return pairs.where(F.col(key).isNotNull()).groupBy(key).agg(*first)
+
+    return Known(per("customer_email"), per("email_lob"))
+
+
 def known_customers(orders: DataFrame, history: DataFrame, before: Column | None = None) -> Known:
-    """First order time per key, and whether the key is in the historical list.
+    """:func:`first_appearances` in the orders and in the historical list.
 
     One table serves any number of campaigns with different cut-off dates. ``orders`` is the whole cleaned
     table, not the campaign's scope. Pass the latest cut-off as ``before`` if it is known: later orders
-    cannot make a customer known, and the bound reaches the scan.
+    cannot make a customer known, and a literal bound reaches the scan.
     """
     earlier = orders.where(F.col("created_date") < before) if before is not None else orders
     seen = earlier.select("customer_email", "email_lob", "created_date", F.lit(False).alias("listed")).unionByName(
@@ -32,15 +49,7 @@ def known_customers(orders: DataFrame, history: DataFrame, before: Column | None
             F.lit(True).alias("listed"),
         )
     )
-
-    def per(key: str) -> DataFrame:
-        return (
-            seen.where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.min("created_date").alias("first_order"), F.max("listed").alias("in_history"))
-        )
-
-    return Known(per("customer_email"), per("email_lob"))
+    return first_appearances(seen)
 
 
 def _flag(df: DataFrame, known: DataFrame, key: str, cutoff: Column, name: str) -> DataFrame:

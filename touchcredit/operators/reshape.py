@@ -51,7 +51,7 @@ def source_breakdown(
     sums = []
     for s, weight in enumerate(sources.values()):
         for p, (_, when) in enumerate(parts):
-            counted = F.when(when, F.col("billing_amount") * weight).otherwise(0.0)
+            counted = F.when(when, F.col("billing_amount") * weight).otherwise(0)
             sums.append(F.sum(F.when(weight > 0, counted)).alias(f"s{s}p{p}"))
     one_row = orders.agg(*sums)
 
@@ -76,7 +76,7 @@ def source_breakdown(
         F.struct(
             F.lit(i).alias("pos"),
             F.lit(name).alias("metric"),
-            *[cell(s, ps).alias(title) for s, title in enumerate(sources)],
+            *[cell(s, ps).cast("double").alias(title) for s, title in enumerate(sources)],
         )
         for i, (name, ps) in enumerate(metrics)
     ]
