@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from touchcredit.jobs import SESSION  # noqa: E402
 from touchcredit.registry.queries import QUERIES  # noqa: E402
 
 HEADLINES = [
@@ -43,10 +44,7 @@ def main() -> None:
         .appName("touchcredit-bench")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cpus)
-        # Above this size the JVM leaves a generated method uncompiled; per-expression code is faster then.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config(map=SESSION)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

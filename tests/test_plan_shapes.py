@@ -10,6 +10,7 @@ from touchcredit.operators import CleaningRules, by_window, campaign_metrics, cl
 from touchcredit.operators import known_customers, order_cells
 from touchcredit.plans.common import Company, line_bundle
 from touchcredit.registry.adapters import Given
+from touchcredit.registry.queries import QUERIES
 from toy import raw_order, raw_orders
 
 SF = "/root/testdata/sf0.001"
@@ -53,31 +54,43 @@ def test_window_bounds_reach_the_scan(spark, stored, plain_plans):
     assert any("GreaterThanOrEqual(created_date" in p and "LessThanOrEqual(created_date" in p for p in pushed)
 
 
-def test_as_of_lookup_without_large_customers_is_one_window(spark):
-    """Adaptive execution finds no large customer and drops the way for them unread."""
+def test_as_of_lookup_shuffles_orders_and_touches_once(spark, plain_plans):
     g = Given(spark, SF)
-    df = latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility)
-    df.collect()
-    final = plan_of(df).split("Initial Plan")[0]
-    assert final.count("Window [") == 1
-    placed = [line for line in final.splitlines() if "Exchange hashpartitioning(__customer" in line]
-    assert len(placed) == 1
+    lines = plan_of(latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility)).splitlines()
+    reused = [line for line in lines if "ReusedExchange" in line]
+    assert any("__slice" in line and "REPARTITION_BY_COL" in line for line in reused)
+    scans = [re.search(r"FileScan parquet \[(\w)_", line) for line in lines]
+    tables = [m.group(1) for m in scans if m]
+    # orders: once whole, once for their slices, and once in the adapter that makes touches from shipments
+    assert tables.count("l") == 1 and tables.count("o") == 3
+    # no order is placed by its order type alone, and only the index's own rows by their campaign
+    assert not any("hashpartitioning(order_type#" in line for line in lines)
+    assert sum("hashpartitioning(campaign#" in line for line in lines) == 2
+
+
+def test_new_customers_take_two_scans_of_the_orders(spark, plain_plans):
+    g = Given(spark, SF)
+    labelled = g.sales.withColumn("recent_open", F.lit("c"))
+    plan = plan_of(flag_new(labelled, g.known("1997-01-01"), cutoff=at("1997-01-01")))
+    assert len(re.findall(r"FileScan parquet \[o_orderkey", plan)) == 2
 
 
-def test_as_of_lookup_of_large_customers_shares_its_instants(spark, plain_plans):
-    g = Given(spark, SF)
-    plan = plan_of(latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility))
-    reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
-    assert any("__minute" in line and "__ts" in line for line in reused)
-    # the only hinted broadcast is the bounded list of large customers
-    hinted = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
-    assert hinted and all("LeftAnti" in line or "LeftSemi" in line for line in hinted)
-    assert "CollectLimit" in plan or "TakeOrderedAndProject" in plan
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for name in ("research_metrics", "flash_metrics", "promo_metrics", "regional_metrics", "clean_report"):
+            QUERIES[name](spark, SF)
+        jobs = tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # a Parquet schema may be read by a job of one task; nothing is written or computed
+    assert all(len(tracker.getJobInfo(j).stageIds) == 1 for j in jobs)
 
 
 def test_metrics_on_cells_shuffle_no_whole_orders(spark, plain_plans):
     g = Given(spark, SF)
-    sales = g.ready
+    sales = g.sales
     labelled = sales.withColumn("recent_open", F.col("order_type")).withColumn("confirmed", F.lit("confirmed"))
     cells = order_cells(labelled, ["recent_open", "customer_email", "email_lob", "lob_type", "lob", "confirmed"])
     flagged = flag_new(cells, known_customers(sales, sales.limit(0)), cutoff=at("1996-01-01"))

@@ -99,3 +99,26 @@ def test_headers_and_times(spark):
     assert normalise_headers(df).columns == ["sent_date", "a_+_b", "c"]
     row = df.select(*[parse_time(F.col(f"`{c}`")) for c in df.columns]).first()
     assert tuple(row) == (day(31), day(30), None)
+
+
+def test_lists_with_different_columns(spark, tmp_path):
+    """Only the columns that matter are read, by name; a list that states no clicks does not hide those of others."""
+    index = spark.createDataFrame([("One", "first"), ("Two", "second"), ("part-3", "third")], "long_name string, campaign string")
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "One.csv").write_text("Recipient,Sent At (your time zone)\na@x.org,2019-07-01 08:00:00\n")
+    (tmp_path / "csv" / "Two.csv").write_text("Note,Clicked,Recipient,Sent At (your time zone)\nn,true,B@x.org,2019-07-02 08:00:00\n")
+    (tmp_path / "csv" / "part-3.csv").write_text("Recipient,Sent At (your time zone),Clicked\nc@x.org,2019-07-03 08:00:00,false\n")
+    for name in ("One", "Two", "part-3"):
+        one = spark.read.option("header", True).csv(str(tmp_path / "csv" / f"{name}.csv"))
+        one.write.option("compression", "none").parquet(str(tmp_path / "parquet" / name))
+    for fmt in ("csv", "parquet"):
+        rows = read_touches(spark, str(tmp_path / fmt), index, fmt).orderBy("campaign").collect()
+        assert [tuple(r) for r in rows] == [
+            ("first", "a@x.org", day(1, 8), None), ("second", "b@x.org", day(2, 8), True), ("third", "c@x.org", day(3, 8), False),
+        ]
+
+
+def test_a_missing_list_is_an_error(spark, folder):
+    index = spark.createDataFrame([("Second", "second"), ("Lost", "lost")], "long_name string, campaign string")
+    with pytest.raises(FileNotFoundError, match="Lost"):
+        read_touches(spark, str(folder / "lists"), index)

@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m touchcredit.jobs <report> <settings.json>``.
+"""Command line: ``touchcredit_job.py <report> <settings.json>`` under ``spark-submit``.
 
 Settings name the input paths, the output folder and the campaign's parameters; see the README.
 """
@@ -11,10 +11,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.amounts import AMOUNT_TYPE
 from .operators import CleaningRules, enrich_orders, in_scope
 from .plans import (
     Company,
     ListCampaign,
+    ReportFolder,
     TouchCampaign,
     WindowCampaign,
     cleaning_tables,
@@ -23,48 +25,75 @@ from .plans import (
     window_campaign,
     write_report,
 )
+from .plans.report import Keep, lazily
 from .sources import campaigns, eligibility, read_history, read_index, read_open_list, read_orders, read_touches
 
+#: Settings of a session that runs reports; what a cluster sets itself is left alone.
+SESSION = {
+    # Above this size the JVM leaves a generated method uncompiled; per-expression code is faster then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+}
+REQUIRED = {
+    "clean": ("orders", "out"),
+    "list": ("orders", "history", "index", "lists", "out", "start", "code_word", "source"),
+    "touch": ("orders", "history", "index", "lists", "out"),
+    "window": ("orders", "history", "list", "out", "sent_date", "scope_values", "source"),
+}
+
+
+def checked(report: str, s: dict) -> dict:
+    """The settings, or an error that names all that are missing."""
+    needed = list(REQUIRED[report])
+    if report == "touch" and s.get("kind", "promotion") == "promotion":
+        needed.append("priorities")
+    missing = [name for name in needed if name not in s]
+    if missing:
+        raise ValueError(f"settings of the {report} report lack: {', '.join(missing)}")
+    return s
+
 
 def _orders(spark: SparkSession, s: dict) -> DataFrame:
     orders = read_orders(spark, s["orders"], s.get("format", "parquet"))
-    return enrich_orders(orders.withColumn("billing_amount", F.col("billing_amount").cast("double")))
+    return enrich_orders(orders.withColumn("billing_amount", F.col("billing_amount").cast(AMOUNT_TYPE)))
 
 
 def _history(spark: SparkSession, s: dict) -> DataFrame:
     return read_history(spark, s["history"], s.get("format", "parquet"))
 
 
-def run_clean(spark: SparkSession, s: dict) -> dict[str, DataFrame]:
+def run_clean(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
     changes = {"converted_rate": s["rate"]} if "rate" in s else {}
     rules = CleaningRules.for_company(s["company"], **changes) if "company" in s else CleaningRules(**changes)
-    return cleaning_tables(read_orders(spark, s["orders"], s.get("format", "parquet")), rules)
+    return cleaning_tables(read_orders(spark, s["orders"], s.get("format", "parquet")), rules, keep)
 
 
-def run_list(spark: SparkSession, s: dict) -> dict[str, DataFrame]:
+def run_list(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
     table = campaigns(read_index(spark, s["index"], s.get("index_format", "csv")))
     touches = read_touches(spark, s["lists"], table, s.get("list_format", "csv"))
     spec = ListCampaign(s["start"], s["code_word"], s["source"], Company(**s.get("company", {})))
-    return list_campaign(_orders(spark, s), _history(spark, s), touches, table, spec)
+    return list_campaign(_orders(spark, s), _history(spark, s), touches, table, spec, keep)
 
 
-def run_touch(spark: SparkSession, s: dict) -> dict[str, DataFrame]:
+def run_touch(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
     index = read_index(spark, s["index"], s.get("index_format", "csv"))
     table = campaigns(index, s.get("groups"))
     touches = read_touches(spark, s["lists"], table, s.get("list_format", "csv"))
     company = Company(**s.get("company", {}))
     if s.get("kind", "promotion") == "promotion":
-        spec = TouchCampaign.promotion(in_scope(s["priorities"]), tuple(s.get("codes", ())), company)
+        codes = tuple(s.get("codes", ()))
+        spec = TouchCampaign.promotion(in_scope(s["priorities"]), codes, company, keep_fanout=s.get("keep_fanout", False))
     else:
-        spec = TouchCampaign.research_areas(company)
-    return touch_campaign(_orders(spark, s), _history(spark, s), touches, table, eligibility(index), spec)
+        spec = TouchCampaign.research_areas(company, keep_fanout=s.get("keep_fanout", False))
+    return touch_campaign(_orders(spark, s), _history(spark, s), touches, table, eligibility(index), spec, keep)
 
 
-def run_window(spark: SparkSession, s: dict) -> dict[str, DataFrame]:
+def run_window(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
     touches = read_open_list(spark, s["list"], s["source"], s.get("list_format", "csv"))
     scope = F.col(s.get("scope_column", "lob_type")).isin(*s["scope_values"])
     spec = WindowCampaign(s["sent_date"], scope, s["source"], company=Company(**s.get("company", {})))
-    return window_campaign(_orders(spark, s), _history(spark, s), touches, spec)
+    return window_campaign(_orders(spark, s), _history(spark, s), touches, spec, keep)
 
 
 REPORTS = {"clean": run_clean, "list": run_list, "touch": run_touch, "window": run_window}
@@ -76,11 +105,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("settings", help="path of a JSON file")
     args = parser.parse_args(argv)
     with open(args.settings, encoding="utf-8") as f:
-        settings = json.load(f)
-    spark = SparkSession.builder.appName(f"touchcredit-{args.report}").getOrCreate()
-    tables = REPORTS[args.report](spark, settings)
-    write_report(tables, settings["out"], settings.get("out_format", "parquet"))
-
-
-if __name__ == "__main__":
-    main()
+        settings = checked(args.report, json.load(f))
+    spark = SparkSession.builder.appName(f"touchcredit-{args.report}").config(map=SESSION).getOrCreate()
+    folder = ReportFolder(settings["out"], settings.get("out_format", "parquet"))
+    tables = REPORTS[args.report](spark, settings, folder.keep)
+    write_report(tables, folder.directory, folder.fmt, folder)

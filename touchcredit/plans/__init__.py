@@ -1,14 +1,16 @@
 """Whole reports: each takes tables and returns named tables, to be written by `write_report`."""
 
 from .cleaning import cleaning_tables
-from .common import Company
+from .common import Company, Lines
 from .list_campaign import ListCampaign, list_campaign
-from .report import write_report
+from .report import ReportFolder, write_report
 from .touch_campaign import TouchCampaign, touch_campaign
 from .window_campaign import WindowCampaign, window_campaign
 
 __all__ = [
     "Company",
+    "Lines",
+    "ReportFolder",
     "ListCampaign",
     "TouchCampaign",
     "WindowCampaign",

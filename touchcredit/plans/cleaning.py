@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 
 from ..operators import CleaningRules, clean_stages
 from ..operators.cleaning import remap_lines
-from ..session import settle
+from .report import Keep, lazily
 
 
-def cleaning_tables(raw: DataFrame, rules: CleaningRules) -> dict[str, DataFrame]:
+def cleaning_tables(raw: DataFrame, rules: CleaningRules, keep: Keep = lazily) -> dict[str, DataFrame]:
     """The three stages of cleaning, and the rows whose amount could not be read.
 
-    The cleaned stage is written once; the ready stage differs from it in one column.
+    The ready stage differs from the cleaned one in one column and is read from it where that is kept. Rejects are
+    orders of real accounts: internal ones are left out there as well.
     """
     stages = clean_stages(raw, rules)
-    cleaned = settle(stages["cleaned"])
+    cleaned = keep("Cleaned", stages["cleaned"])
     return {
         "Raw": raw,
         "Cleaned": cleaned,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import (
     Measure,
     acquired_measures,
@@ -17,6 +19,10 @@ from ..operators import (
     unique_measure,
 )
 
+#: What identifies a cell: orders alike in these are one row in the joins and metrics of a report.
+CUSTOMER_CELL = ("customer_email", "email_lob", "lob_type", "lob")
+CELL = (*CUSTOMER_CELL, "confirmed")
+
 
 @dataclass(frozen=True)
 class Company:
@@ -26,13 +32,26 @@ class Company:
     short: str = "Company"
 
 
-def line_bundle(company: Company) -> list[Measure]:
+@dataclass(frozen=True)
+class Lines:
+    """The lines of business with their labels in reports."""
+
+    quote: Mapping[str, str] = field(default_factory=lambda: dict(C.QUOTE_LABELS))
+    direct: Mapping[str, str] = field(default_factory=lambda: dict(C.DIRECT_LABELS))
+    new: Mapping[str, str] = field(default_factory=lambda: dict(C.NEW_LINE_LABELS))
+    breakdown: Mapping[str, str] = field(default_factory=lambda: dict(C.BREAKDOWN_QUOTE_LABELS))
+    detail: Mapping[str, str] = field(default_factory=lambda: dict(C.DETAIL_LABELS))
+    quote_lines: tuple[str, ...] = C.QUOTE_LINES
+
+
+def line_bundle(company: Company, lines: Lines | None = None) -> list[Measure]:
     """All measures split by line of business: 49 columns."""
+    lines = lines or Lines()
     return (
-        quote_measures()
-        + direct_measures()
-        + status_measures(company.short)
-        + acquired_measures(company.short)
+        quote_measures(lines.quote)
+        + direct_measures(lines.direct)
+        + status_measures(company.short, lines.new)
+        + acquired_measures(company.short, lines.new)
         + unique_measure()
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import at, contains_word
 from ..operators import (
+    Known,
     add_confirmed,
     by_click,
     by_list,
@@ -16,11 +17,12 @@ from ..operators import (
     flag_new,
     known_customers,
     new_customer_list,
+    order_cells,
     source_breakdown,
 )
 from ..operators.attribution import list_weights
-from ..session import settle
-from .common import Company, campaign_spine, line_bundle
+from .common import CELL, Company, Lines, campaign_spine, line_bundle
+from .report import Keep, lazily
 
 
 @dataclass(frozen=True)
@@ -31,19 +33,30 @@ class ListCampaign:
     code_word: str
     source: str
     company: Company = field(default_factory=Company)
+    lines: Lines = field(default_factory=Lines)
 
 
 def list_campaign(
-    orders: DataFrame, history: DataFrame, touches: DataFrame, campaign_table: DataFrame, spec: ListCampaign
+    orders: DataFrame,
+    history: DataFrame | Known,
+    touches: DataFrame,
+    campaign_table: DataFrame,
+    spec: ListCampaign,
+    keep: Keep = lazily,
 ) -> dict[str, DataFrame]:
-    """``orders`` are enriched; ``campaign_table`` names the lists in report order."""
+    """``orders`` are enriched; ``campaign_table`` names the lists in report order.
+
+    ``history`` is the historical list, or first appearances that were found already. Metrics take cells.
+    """
     start = at(spec.start)
     coded = orders.where(F.col("created_date") >= start).where(
         contains_word(F.col("promotion_code"), spec.code_word)
     )
-    ready = settle(add_confirmed(coded.withColumn("promotion_code", F.lower("promotion_code"))))
-    known = known_customers(orders, history, before=start)
-    opened = settle(flag_new(by_list(ready, touches), known, cutoff=start))
+    coded = add_confirmed(coded.withColumn("promotion_code", F.lower("promotion_code")), spec.lines.quote_lines)
+    ready = keep("All Sources", coded)
+    known = history if isinstance(history, Known) else known_customers(orders, history, before=start)
+    opened = flag_new(by_list(ready, touches), known, cutoff=start)
+    cells = flag_new(by_list(order_cells(ready, CELL), touches), known, cutoff=start)
     weights = list_weights(touches)
     weighed = ready.join(weights, ready["customer_email"] == weights["recipient"], "left")
     sources = {
@@ -51,11 +64,14 @@ def list_campaign(
         "Open Email": F.coalesce("opened", F.lit(0)),
         "Open & Click": F.coalesce("clicks", F.lit(0)),
     }
+    opened = keep("Open Email", opened)
     return {
         "Open Email": opened,
         "All Sources": ready,
         "Open and Click": by_click(ready, touches),
-        "Metrics": campaign_metrics(opened, line_bundle(spec.company), spine=campaign_spine(campaign_table)),
-        "Breakdown": source_breakdown(weighed, sources),
+        "Metrics": campaign_metrics(
+            cells, line_bundle(spec.company, spec.lines), spine=campaign_spine(campaign_table), orders_col="orders"
+        ),
+        "Breakdown": source_breakdown(weighed, sources, spec.lines.breakdown, spec.lines.direct),
         "New Customers": new_customer_list(opened, F.lit(spec.source), spec.company.name),
     }

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..operators import (
+    Known,
     add_combined_name,
     add_confirmed,
     campaign_metrics,
@@ -17,13 +16,14 @@ from ..operators import (
     known_customers,
     latest_touch,
     new_customer_list,
+    order_cells,
     quote_measures,
     revenue_split_measures,
 )
-from ..operators.attribution import credited
-from ..session import settle
+from ..operators.attribution import credited, weigh_copies
 from ..sources import campaign_groups
-from .common import Company, campaign_spine, line_bundle, promo_bundle
+from .common import CELL, Company, Lines, campaign_spine, line_bundle, promo_bundle
+from .report import Keep, lazily
 
 
 @dataclass(frozen=True)
@@ -31,63 +31,91 @@ class TouchCampaign:
     """``by_line`` selects the bundle: split by line (research areas) or not (promotions).
 
     ``scope`` limits the orders that can be credited, not the orders that make a customer known.
-    ``list_by_group`` names the roll-up in the customer list in place of the email.
+    ``list_by_group`` names the roll-up in the customer list in place of the email. With ``keep_fanout`` an order
+    counts in metrics as often as its touch was listed.
     """
 
     by_line: bool = False
     scope: Column | None = None
-    quote_lines: tuple[str, ...] | None = None
-    detail_labels: Mapping[str, str] = field(default_factory=dict)
+    confirm_by_line: bool = False
+    with_detail: bool = False
     codes: tuple[str, ...] = ()
     list_by_group: bool = False
+    keep_fanout: bool = False
     company: Company = field(default_factory=Company)
+    lines: Lines = field(default_factory=Lines)
 
     @classmethod
-    def promotion(cls, scope: Column, codes: tuple[str, ...] = (), company: Company = Company()) -> TouchCampaign:
+    def promotion(cls, scope: Column, codes: tuple[str, ...] = (), company: Company = Company(), **changes) -> TouchCampaign:
         """Promotion emails: confirmation by status alone, detail of two lines, revenue by code."""
-        return cls(scope=scope, codes=codes, detail_labels=C.DETAIL_LABELS, company=company)
+        return cls(scope=scope, codes=codes, with_detail=True, company=company, **changes)
 
     @classmethod
-    def research_areas(cls, company: Company = Company()) -> TouchCampaign:
+    def research_areas(cls, company: Company = Company(), **changes) -> TouchCampaign:
         """Research-area emails: all orders, all measures by line, customers listed by roll-up."""
-        return cls(by_line=True, quote_lines=C.QUOTE_LINES, list_by_group=True, company=company)
+        return cls(by_line=True, confirm_by_line=True, list_by_group=True, company=company, **changes)
 
 
 def touch_campaign(
     orders: DataFrame,
-    history: DataFrame,
+    history: DataFrame | Known,
     touches: DataFrame,
     campaign_table: DataFrame,
     eligible: DataFrame,
     spec: TouchCampaign,
+    keep: Keep = lazily,
 ) -> dict[str, DataFrame]:
-    """``orders`` are enriched; ``eligible`` and ``campaign_table`` come from one index."""
+    """``orders`` are enriched; ``eligible`` and ``campaign_table`` come from one index.
+
+    The index's latest send date bounds the orders that can make a customer known. Metrics take cells: credited
+    orders are reduced to customer, line, campaign and confirmation before they are flagged.
+    """
     inside = orders if spec.scope is None else orders.where(spec.scope)
-    complete = settle(latest_touch(inside, touches, eligible, complete=True))
-    labelled = add_confirmed(credited(complete), spec.quote_lines)
-    flagged = flag_new(labelled, known_customers(orders, history), campaign_table)
-    final = settle(add_combined_name(flagged, campaign_table))
+    complete = latest_touch(inside, touches, eligible, complete=True, keep_fanout=spec.keep_fanout)
+    kept = keep("Labelled Complete", complete)
+    if kept is complete:  # nothing is read back, so the credited orders alone are looked up
+        credits = latest_touch(inside, touches, eligible, keep_fanout=spec.keep_fanout)
+    else:
+        credits = credited(kept)
+    labelled = add_confirmed(credits, spec.lines.quote_lines if spec.confirm_by_line else None)
+    if isinstance(history, Known):
+        known = history
+    else:
+        latest = campaign_table.agg(F.max("sent_date")).scalar()
+        known = known_customers(orders, history, before=latest)
+    final = keep("Labelled", add_combined_name(flag_new(labelled, known, campaign_table), campaign_table))
+
+    weighed = ["copies"] if spec.keep_fanout else []
+    cells = order_cells(labelled, ["recent_open", *CELL, *weighed])
+    if weighed:
+        cells = weigh_copies(cells)
+        labelled = labelled.withColumn("billing_amount", F.col("billing_amount") * F.col("copies"))
+    cells = add_combined_name(flag_new(cells, known, campaign_table), campaign_table)
 
     spine = campaign_spine(campaign_table)
     groups = campaign_groups(campaign_table).withColumnRenamed("combined_name", "combined_email")
-    bundle = line_bundle(spec.company) if spec.by_line else promo_bundle(spec.company)
+    bundle = line_bundle(spec.company, spec.lines) if spec.by_line else promo_bundle(spec.company)
     source = F.col("combined_email" if spec.list_by_group else "recent_open")
+    listed = ["recent_open", "customer_email", "email_lob", "lob", "user_name", "institution"]
+    people = final
+    if kept is complete:
+        people = add_combined_name(flag_new(labelled.select(*listed).distinct(), known, campaign_table), campaign_table)
     tables = {
-        "Labelled Complete": complete,
+        "Labelled Complete": kept,
         "Labelled": final,
-        "Metrics": campaign_metrics(final, bundle, spine=spine),
-        "Metrics Combined": campaign_metrics(final, bundle, key="combined_email", spine=groups),
-        "New Customers": new_customer_list(final, source, spec.company.name),
+        "Metrics": campaign_metrics(cells, bundle, spine=spine, orders_col="orders"),
+        "Metrics Combined": campaign_metrics(cells, bundle, key="combined_email", spine=groups, orders_col="orders"),
+        "New Customers": new_customer_list(people, source, spec.company.name),
     }
     if not spec.by_line:
-        tables["Revenue Breakdown"] = campaign_metrics(final, revenue_split_measures(), spine=spine)
-    if spec.detail_labels:
-        detail = quote_measures(spec.detail_labels, count="Order")
-        tables["Detail"] = campaign_metrics(final, detail, spine=spine)
+        tables["Revenue Breakdown"] = campaign_metrics(labelled, revenue_split_measures(), spine=spine)
+    if spec.with_detail:
+        detail = quote_measures(spec.lines.detail, count="Order")
+        tables["Detail"] = campaign_metrics(cells, detail, spine=spine, orders_col="orders")
     if spec.codes:
         tables["Breakdown By Code"] = (
-            final.where(F.col("promotion_code").isin(*spec.codes))
+            labelled.where(F.col("promotion_code").isin(*spec.codes))
             .groupBy("promotion_code")
-            .agg(F.sum("billing_amount").alias("AllRevenue"))
+            .agg(F.sum("billing_amount").cast("double").alias("AllRevenue"))
         )
     return tables

@@ -10,18 +10,22 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import at
 from ..operators import (
+    Known,
     acquired_measures,
-    by_window,
+    by_list,
     campaign_metrics,
     flag_new,
     known_customers,
+    metric_rows,
     new_customer_list,
+    order_cells,
     status_measures,
     total_measures,
     unique_measure,
 )
-from ..session import settle
-from .common import Company
+from ..operators.attribution import in_window
+from .common import CUSTOMER_CELL, Company
+from .report import Keep, lazily
 
 
 @dataclass(frozen=True)
@@ -36,16 +40,20 @@ class WindowCampaign:
 
 
 def window_campaign(
-    orders: DataFrame, history: DataFrame, touches: DataFrame, spec: WindowCampaign
+    orders: DataFrame, history: DataFrame | Known, touches: DataFrame, spec: WindowCampaign, keep: Keep = lazily
 ) -> dict[str, DataFrame]:
     """``touches`` holds the one list; the send date also decides who is new."""
     start = at(spec.sent_date)
-    labelled = by_window(orders, touches, start, spec.days, spec.scope)
-    final = settle(flag_new(labelled, known_customers(orders, history, before=start), cutoff=start))
+    known = history if isinstance(history, Known) else known_customers(orders, history, before=start)
+    inside = in_window(orders, start, spec.days, spec.scope)
+    labelled = keep("Labelled", flag_new(by_list(inside, touches), known, cutoff=start))
+    cells = flag_new(by_list(order_cells(inside, CUSTOMER_CELL), touches), known, cutoff=start)
     short = spec.company.short
     measures = total_measures() + status_measures(short, None) + acquired_measures(short, None) + unique_measure()
+    metrics = campaign_metrics(cells, measures, key=None, orders_col="orders")
     return {
-        "Labelled": final,
-        "Metrics": campaign_metrics(final, measures, key=None),
-        "New Customers": new_customer_list(final, F.lit(spec.source), spec.company.name),
+        "Labelled": labelled,
+        "Metrics": metrics,
+        "Metric Rows": metric_rows(metrics),
+        "New Customers": new_customer_list(labelled, F.lit(spec.source), spec.company.name),
     }

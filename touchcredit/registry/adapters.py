@@ -1,7 +1,8 @@
 """The given tables seen as orders, open lists and a campaign index.
 
 The tables hold no currency text, quotation number or email, so these columns are derived from keys in a
-way that SQL engines agree on. Every adapter reads its tables whole.
+way that SQL engines agree on. They are given the headers of an export and go through the readers' own
+renaming. Every adapter reads its tables whole.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import at
-from ..operators import CleaningRules, clean_orders, enrich_orders
-from ..session import settle
-from ..sources import campaigns, eligibility
+from ..operators import CleaningRules, Known, clean_orders, enrich_orders, first_appearances
+from ..plans import Lines
+from ..sources import campaigns, eligibility, read_table, tidy_history, tidy_orders, tidy_touches
 
 CODES = {"L0": "c0", "L1": "c1", "L2": "c2", "L3": "c3", "L4": "c4", "L5": "c5"}  # L6 keeps its name
 QUOTE_LINES = ("L0", "L1", "L2", "L3")
@@ -22,6 +23,7 @@ QUOTE_LABELS = {"L0": "L0", "L1": "L1", "L2": "L2", "L3": "L3"}
 DIRECT_LABELS = {"L4": "L4", "L5": "L5", "L6": "L6"}
 NEW_LINE_LABELS = {"C0": "c0", "C1": "c1", "C2": "c2", "C3": "c3", "C4": "c4", "C5": "c5", "C6": "L6"}
 COMPANY = "Company"
+REPORT_LINES = Lines(QUOTE_LABELS, DIRECT_LABELS, NEW_LINE_LABELS, QUOTE_LABELS, {"L1": "L1", "L3": "L3"}, QUOTE_LINES)
 RULES = CleaningRules(
     quote_lines=(*QUOTE_LINES, "L7"),
     territories=("NATION_20", "NATION_21"),
@@ -61,7 +63,7 @@ class Given:
         self.sf_dir = sf_dir
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -81,25 +83,26 @@ class Given:
         number = F.when(key % 50 == 7, "0.0000").otherwise(
             F.col("o_totalprice").cast("decimal(18,4)").cast("string")
         )
-        return (
+        export = (
             self.orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 key.alias("order_id"),
-                F.col("o_orderdate").alias("created_date"),
-                F.col("c_name").alias("customer_email"),
-                F.col("c_name").alias("user_name"),
-                F.col("n_name").alias("institution"),
-                F.col("n_name").alias("territory"),
-                _pick(LINES, key % 8).alias("lob_type"),
-                F.col("o_orderpriority").alias("order_type"),
-                F.col("o_orderpriority").alias("priority"),
-                status.alias("order_status"),
-                F.when(key % 5 < 2, key.cast("string")).alias("quotation_number"),
-                _pick(PROMOTION_CODES, key % 10).alias("promotion_code"),
-                F.concat(sign, number).alias("billing_amount"),
+                F.col("o_orderdate").alias("CreatedDate"),
+                F.col("c_name").alias("CustomerEmail"),
+                F.col("c_name").alias("UserName"),
+                F.col("n_name").alias("Institution"),
+                F.col("n_name").alias("Territory"),
+                _pick(LINES, key % 8).alias("LineOfBusinessType"),
+                F.col("o_orderpriority").alias("OrderType"),
+                F.col("o_orderpriority").alias("Priority"),
+                status.alias("OrderStatus"),
+                F.when(key % 5 < 2, key.cast("string")).alias("QuotationNumber"),
+                _pick(PROMOTION_CODES, key % 10).alias("PromotionCode"),
+                F.concat(sign, number).alias("BillingAmount"),
             )
         )
+        return tidy_orders(export)
 
     @cached_property
     def cleaned(self) -> DataFrame:
@@ -110,31 +113,33 @@ class Given:
         """All cleaned and enriched orders, old and current."""
         return enrich_orders(self.cleaned, CODES)
 
-    @cached_property
-    def ready(self) -> DataFrame:
-        """The same as a written table, for queries that pass over it several times."""
-        return settle(self.sales)
-
     @cached_property
     def history(self) -> DataFrame:
         """The historical customer list: cleaned orders before the current table begins."""
-        old = self.ready.where(F.col("created_date") < at(HISTORY_END))
-        return old.select("customer_email", "email_lob")
+        old = self.sales.where(F.col("created_date") < at(HISTORY_END))
+        return tidy_history(old.select(F.col("customer_email").alias("Email"), F.col("email_lob").alias("Email + LoB")))
 
     @cached_property
     def current(self) -> DataFrame:
         """The current order table."""
-        return self.ready.where(F.col("created_date") >= at(HISTORY_END))
+        return self.sales.where(F.col("created_date") >= at(HISTORY_END))
+
+    def known(self, before: str) -> Known:
+        """Keys of the historical list and of current orders before a time: both are one table here, read once."""
+        listed = F.col("created_date") < at(HISTORY_END)
+        seen = self.sales.where(F.col("created_date") < at(before))
+        return first_appearances(seen.select("customer_email", "email_lob", "created_date", listed.alias("listed")))
 
     @cached_property
     def touches_lists(self) -> DataFrame:
-        """Two open lists from events: strong views and strong clicks."""
-        return self.events.where("event_type IN ('view', 'click') AND value > 150").select(
-            F.col("event_type").alias("campaign"),
-            _recipient(F.col("user_id")).alias("recipient"),
-            F.col("ts").alias("sent_at"),
-            (F.col("value") > 250).alias("clicked"),
+        """Two open lists from events: every view and every click is a listing, those of high value were clicked."""
+        lists = self.events.where("event_type IN ('view', 'click')").select(
+            "event_type",
+            _recipient(F.col("user_id")).alias("Recipient"),
+            F.col("ts").alias("Sent At (your time zone)"),
+            (F.col("value") > 250).alias("Clicked"),
         )
+        return tidy_touches(lists, F.col("event_type"))
 
     @cached_property
     def touches_ship(self) -> DataFrame:

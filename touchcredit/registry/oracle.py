@@ -65,7 +65,7 @@ cur AS (SELECT * FROM sales WHERE created_date >= TIMESTAMP '1996-01-01')"""
 
 LISTS = """lists AS (
   SELECT event_type AS campaign, printf('customer#%09d', user_id) AS recipient, value > 250 AS clicked
-  FROM events WHERE event_type IN ('view','click') AND value > 150
+  FROM events WHERE event_type IN ('view','click')
 )"""
 
 SHIP = """ship AS (
@@ -258,6 +258,11 @@ eo AS (SELECT event_id AS order_id, CAST(user_id AS VARCHAR) AS customer_email,
 ep AS (SELECT kind || '-w' || w AS campaign, 'purchase' AS order_type, 5 * k + w AS pos
   FROM (VALUES ('view', 0), ('click', 1), ('signup', 2)) t(kind, k), (VALUES (0),(1),(2),(3),(4)) v(w))"""
 
+REGIONAL_NAMES = [
+    "# of Order", "Revenue", "Return_Order", "Return_Revenue", "NewToCompany_Order", "NewToCompany_Revenue",
+    "NewToLoB_Order", "NewToLoB_Revenue", "NewToCompany", "NewToLoB", "# of unique customers",
+]
+
 ORACLE: dict[str, str] = {
     "clean_status_rules": f"WITH {RAW} SELECT order_id, lob_type, order_status, quotation_number FROM raw "
     f"WHERE {STATUS_OK}",
@@ -306,6 +311,63 @@ FROM cur c LEFT JOIN labelled l ON l.order_id = c.order_id
 WHERE c.customer_email IN (SELECT recipient FROM ship)""",
     "new_to_company": f"WITH {FLASH_FLAGGED} "
     "SELECT order_id, recent_open, new_to_company, new_to_lob FROM flagged",
+    "known_by_history": f"""WITH {FLASH_FLAGGED}
+SELECT recent_open, new_to_company, new_to_lob, count(*) AS orders FROM flagged
+GROUP BY recent_open, new_to_company, new_to_lob""",
+    "clean_rejects": f"""WITH {RAW}
+SELECT order_id, amount AS billing_amount FROM (
+  SELECT *, CASE WHEN order_id % 13 <> 0 THEN
+    CASE WHEN order_id % 11 = 0 THEN billing_amount || ' net' ELSE billing_amount END END AS amount FROM raw
+) WHERE {STATUS_OK} AND {TERRITORY_OK} AND NOT contains(institution, 'NATION_24')
+  AND (amount IS NULL OR (order_id % 11 = 0 AND NOT contains(amount, 'JPY.') AND NOT contains(amount, '£')
+    AND NOT contains(amount, '€')))""",
+    "clean_report": f"""WITH {RAW}, priced AS (
+  SELECT lob_type, {AMOUNT} AS billing_amount FROM raw
+  WHERE {STATUS_OK} AND {TERRITORY_OK} AND {AMOUNT_OK} AND NOT contains(institution, 'NATION_24')
+)
+SELECT 'Cleaned' AS stage, lob_type, count(*) AS orders, round(sum(billing_amount), 4) AS revenue
+FROM priced GROUP BY lob_type
+UNION ALL
+SELECT 'Ready', {REMAP}, count(*), round(sum(billing_amount), 4) FROM priced GROUP BY {REMAP}""",
+    "flash_all_orders": f"WITH {FLASH} "
+    "SELECT order_id, lower(promotion_code) AS promotion_code, confirmed, billing_amount FROM flash",
+    "flash_clicked": f"""WITH {FLASH}
+SELECT order_id, campaign AS recent_open, billing_amount FROM flash
+JOIN (SELECT DISTINCT campaign, recipient FROM lists WHERE clicked) ON customer_email = recipient""",
+    "flash_customers": f"""WITH {FLASH_FLAGGED}
+SELECT DISTINCT 'New to Company' AS "New Customer Type", customer_email AS "Customer Email",
+  user_name AS "Customer Name", institution AS "Institution", 'Flash' AS "Campaign Source",
+  lob AS "First Order LoB"
+FROM flagged WHERE new_to_company = 1
+UNION
+SELECT DISTINCT 'New to ' || lob, customer_email, user_name, institution, 'Flash', 'N/A'
+FROM flagged WHERE new_to_lob = 1""",
+    "research_fanout": _report(
+        f"""{TOUCH_FLAGGED.replace("labelled AS (", "credited AS (", 1)}""".replace(
+            "SELECT o.*, t.campaign AS recent_open,", "SELECT o.*, t.campaign AS recent_open, t.sent_at,"
+        ).replace(
+            "flagged0 AS (",
+            """labelled AS (
+  SELECT c.* EXCLUDE (sent_at) FROM credited c
+  JOIN ship t ON t.campaign = c.recent_open AND t.recipient = c.customer_email AND t.sent_at = c.sent_at
+),
+flagged0 AS (""",
+            1,
+        ),
+        BUNDLE,
+        SHIP_NAMES,
+    ),
+    "regional_orders": f"WITH {REGION_FLAGGED} "
+    "SELECT order_id, recent_open, new_to_company, new_to_lob FROM flagged WHERE lob_type IN ('L2','L3')",
+    "regional_metric_rows": f"""WITH {REGION_FLAGGED},
+one AS (
+  SELECT count(customer_email) AS "# of Order", round(sum(billing_amount), 4) AS "Revenue",
+    {', '.join(_status(ANY_LINE) + _acquired(ANY_LINE) + UNIQUE)}
+  FROM flagged WHERE lob_type IN ('L2','L3')
+),
+rows AS (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM one) ON COLUMNS(*) INTO NAME metric VALUE value)
+SELECT CAST(list_position([{', '.join(repr(n) for n in REGIONAL_NAMES)}], metric) - 1 AS INTEGER) AS pos, metric, value
+FROM rows""",
     "new_to_lob": f"WITH {TOUCH_FLAGGED} SELECT order_id, recent_open, new_to_company, new_to_lob FROM flagged",
     "flash_metrics": _report(FLASH_FLAGGED, BUNDLE, ["click", "view", "newsletter"]),
     "research_metrics": _report(TOUCH_FLAGGED, BUNDLE, SHIP_NAMES),

@@ -10,50 +10,49 @@ from pyspark.sql import functions as F
 
 from ..functions import at, contains_word, not_in
 from ..operators import (
-    add_combined_name,
-    add_confirmed,
     acquired_measures,
+    add_confirmed,
     by_click,
     by_list,
     by_window,
     campaign_metrics,
     clean_orders,
-    confirmed_measures,
     direct_measures,
     enrich_orders,
     flag_new,
     in_scope,
     known_customers,
     latest_touch,
-    new_customer_list,
     order_cells,
     quote_measures,
-    revenue_split_measures,
-    source_breakdown,
     status_measures,
     total_measures,
     touch_matrix,
     unique_measure,
 )
-from ..operators.attribution import in_window, list_weights, weigh_copies
+from ..operators.attribution import weigh_copies
 from ..operators.cleaning import clean_amounts, internal_rule, remap_lines, status_rule, territory_rule
-from ..sources import campaign_groups
+from ..plans import (
+    ListCampaign,
+    TouchCampaign,
+    WindowCampaign,
+    cleaning_tables,
+    list_campaign,
+    touch_campaign,
+    window_campaign,
+)
 from . import adapters as A
 from .adapters import Given
 
-CUSTOMER_CELL = ["customer_email", "email_lob", "lob_type", "lob"]
-CELL_COLUMNS = ["recent_open", *CUSTOMER_CELL, "confirmed"]
 SHIP_NAMES = ["camp_a", "camp_n", "camp_r"]
 FLASH_NAMES = ["click", "view", "newsletter"]
 SCOPE = (("1-URGENT", "3-MEDIUM"), ("L1", "L2", "L3"), "L0")
 
 
 def money(df: DataFrame) -> DataFrame:
-    """Amounts have four decimals, so sums are rounded there: the order of summing no longer shows."""
-    doubles = {f.name for f in df.schema if f.dataType.simpleString() == "double"}
-    return df.select(
-        *[F.round(f"`{c}`", 4).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
-    )
+    """Exact amounts as doubles, the type that reports state."""
+    exact = {f.name for f in df.schema if f.dataType.simpleString().startswith("decimal")}
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in exact else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---- cleaning -------------------------------------------------------------------------------------
@@ -70,7 +69,7 @@ def clean_territory(g: Given) -> DataFrame:
 
 def clean_amount_text(g: Given) -> DataFrame:
     clean, _ = clean_amounts(g.raw_sales, A.RULES)
-    return clean.select("order_id", "billing_amount")
+    return money(clean.select("order_id", "billing_amount"))
 
 
 def clean_internal_accounts(g: Given) -> DataFrame:
@@ -81,7 +80,7 @@ def clean_internal_accounts(g: Given) -> DataFrame:
 
 def clean_all_rules(g: Given) -> DataFrame:
     clean, _ = clean_orders(g.raw_sales, A.RULES)
-    return clean
+    return money(clean)
 
 
 # ---- derived columns ------------------------------------------------------------------------------
@@ -126,7 +125,7 @@ def _flash_labelled(g: Given, sales: DataFrame) -> DataFrame:
 
 
 def list_attribution(g: Given) -> DataFrame:
-    return _flash_labelled(g, g.sales).select("order_id", "recent_open", "confirmed", "billing_amount")
+    return money(_flash_labelled(g, g.sales).select("order_id", "recent_open", "confirmed", "billing_amount"))
 
 
 def list_attribution_fanout(g: Given) -> DataFrame:
@@ -138,7 +137,7 @@ def list_attribution_fanout(g: Given) -> DataFrame:
 
 def click_attribution(g: Given) -> DataFrame:
     labelled = by_click(_flash_orders(g.sales), g.touches_lists)
-    return labelled.select("order_id", "recent_open", "billing_amount")
+    return money(labelled.select("order_id", "recent_open", "billing_amount"))
 
 
 def touch_matrix_query(g: Given) -> DataFrame:
@@ -183,191 +182,98 @@ def latest_touch_complete(g: Given) -> DataFrame:
     return labelled.select("order_id", "order_type", "recent_open")
 
 
-# ---- new customers --------------------------------------------------------------------------------
-
-
-def _known(g: Given, before: str) -> object:
-    return known_customers(g.current, g.history, at(before))
-
-
-def new_to_company(g: Given) -> DataFrame:
-    """One fixed cut-off, as for a campaign whose mails all left on one day."""
-    flagged = flag_new(_flash_labelled(g, g.ready), _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
-    return flagged.select("order_id", "recent_open", "new_to_company", "new_to_lob")
-
-
-def _touch_labelled(g: Given, scope: Column | None = None) -> DataFrame:
-    orders = g.current
-    if scope is not None:
-        orders = orders.where(scope)
-    return latest_touch(orders, g.touches_ship, g.ship_eligibility)
-
-
-def _touch_flagged(g: Given, df: DataFrame) -> DataFrame:
-    return flag_new(df, _known(g, "1997-01-01 00:00:00"), g.ship_campaigns)
-
-
-def new_to_lob(g: Given) -> DataFrame:
-    """One cut-off per campaign."""
-    return _touch_flagged(g, _touch_labelled(g)).select(
-        "order_id", "recent_open", "new_to_company", "new_to_lob"
-    )
-
-
 # ---- reports --------------------------------------------------------------------------------------
 
 
-def _flash_cells(g: Given) -> DataFrame:
-    cells = order_cells(_flash_orders(g.ready), [*CUSTOMER_CELL, "confirmed"])
-    return flag_new(by_list(cells, g.touches_lists), _known(g, A.FLASH_START), cutoff=at(A.FLASH_START))
-
-
-def _bundle() -> list:
-    return (
-        quote_measures(A.QUOTE_LABELS)
-        + direct_measures(A.DIRECT_LABELS)
-        + status_measures(A.COMPANY, A.NEW_LINE_LABELS)
-        + acquired_measures(A.COMPANY, A.NEW_LINE_LABELS)
-        + unique_measure()
-    )
-
-
-def flash_metrics(g: Given) -> DataFrame:
-    metrics = campaign_metrics(
-        _flash_cells(g), _bundle(), spine=A.spine(g.spark, FLASH_NAMES), orders_col="orders"
-    )
-    return money(metrics)
-
-
-def _touch_cells(g: Given) -> DataFrame:
-    """Cells of all current orders credited to the shipment campaigns, flagged."""
-    labelled = add_confirmed(_touch_labelled(g), A.QUOTE_LINES)
-    return _touch_flagged(g, order_cells(labelled, CELL_COLUMNS))
-
-
-def _touch_metrics(g: Given, measures: list) -> DataFrame:
-    cells = _touch_cells(g)
-    return money(
-        campaign_metrics(cells, measures, spine=A.spine(g.spark, SHIP_NAMES), orders_col="orders")
-    )
+def flash_report(g: Given) -> dict[str, DataFrame]:
+    names = A.spine(g.spark, FLASH_NAMES).withColumnRenamed("recent_open", "campaign")
+    spec = ListCampaign(A.FLASH_START, "flash", "Flash", lines=A.REPORT_LINES)
+    return list_campaign(g.sales, g.known(A.FLASH_START), g.touches_lists, names, spec)
 
 
-def research_metrics(g: Given) -> DataFrame:
-    return _touch_metrics(g, _bundle())
+def _touch_report(g: Given, spec: TouchCampaign) -> dict[str, DataFrame]:
+    latest = g.known("1997-01-01 00:00:00")
+    return touch_campaign(g.current, latest, g.touches_ship, g.ship_campaigns, g.ship_eligibility, spec)
 
 
-def combined_metrics(g: Given) -> DataFrame:
-    """The bundle per roll-up name; distinct customers are counted anew, not summed."""
-    dims = g.ship_campaigns
-    cells = add_combined_name(_touch_cells(g), dims)
-    groups = campaign_groups(dims).withColumnRenamed("combined_name", "combined_email")
-    return money(
-        campaign_metrics(cells, _bundle(), key="combined_email", spine=groups, orders_col="orders")
-    )
+def research_report(g: Given, keep_fanout: bool = False) -> dict[str, DataFrame]:
+    return _touch_report(g, TouchCampaign.research_areas(keep_fanout=keep_fanout, lines=A.REPORT_LINES))
 
 
-def quote_metrics(g: Given) -> DataFrame:
-    labelled = add_confirmed(_touch_labelled(g), A.QUOTE_LINES)
-    return money(
-        campaign_metrics(labelled, quote_measures(A.QUOTE_LABELS), spine=A.spine(g.spark, SHIP_NAMES))
-    )
+def promo_report(g: Given) -> dict[str, DataFrame]:
+    codes = ("NGS-3", "NGS-4", "FLASH-1")
+    return _touch_report(g, TouchCampaign.promotion(in_scope(*SCOPE), codes, lines=A.REPORT_LINES))
 
 
-def direct_metrics(g: Given) -> DataFrame:
-    return money(
-        campaign_metrics(
-            _touch_labelled(g), direct_measures(A.DIRECT_LABELS), spine=A.spine(g.spark, SHIP_NAMES)
-        )
-    )
+def regional_report(g: Given) -> dict[str, DataFrame]:
+    start = "7/1/1997"
+    spec = WindowCampaign(start, F.col("lob_type").isin("L2", "L3"), "Region")
+    return window_campaign(g.sales, g.known(start), _window_list(g), spec)
 
 
-def status_metrics(g: Given) -> DataFrame:
-    return _touch_metrics(g, status_measures(A.COMPANY, A.NEW_LINE_LABELS))
+def _table(report: Callable[[Given], dict[str, DataFrame]], title: str, *columns: str) -> Callable[[Given], DataFrame]:
+    """A query that returns one table of a report."""
 
+    def query(g: Given) -> DataFrame:
+        df = report(g)[title]
+        return money(df.select(*columns) if columns else df)
 
-def new_customers_by_lob(g: Given) -> DataFrame:
-    return _touch_metrics(g, acquired_measures(A.COMPANY, A.NEW_LINE_LABELS))
+    query.__name__ = f"{report.__name__}_{title}"
+    return query
 
 
-def unique_customers(g: Given) -> DataFrame:
-    return campaign_metrics(
-        _touch_labelled(g), unique_measure(), spine=A.spine(g.spark, SHIP_NAMES)
-    )
+def _metrics_of(measures: Callable[[], list]) -> Callable[[Given], DataFrame]:
+    """Some of the measures that need no newness, over the credited orders as rows."""
 
+    def query(g: Given) -> DataFrame:
+        labelled = add_confirmed(latest_touch(g.current, g.touches_ship, g.ship_eligibility), A.QUOTE_LINES)
+        return money(campaign_metrics(labelled, measures(), spine=A.spine(g.spark, SHIP_NAMES)))
 
-def _promo_labelled(g: Given) -> DataFrame:
-    return add_confirmed(_touch_labelled(g, in_scope(*SCOPE)), None)
+    return query
 
 
-def promo_metrics(g: Given) -> DataFrame:
-    cells = order_cells(_promo_labelled(g), CELL_COLUMNS)
-    measures = (
-        confirmed_measures()
-        + status_measures(A.COMPANY, None)
-        + acquired_measures(A.COMPANY, None)
-        + unique_measure()
-    )
-    return money(
-        campaign_metrics(
-            _touch_flagged(g, cells), measures, spine=A.spine(g.spark, SHIP_NAMES), orders_col="orders"
-        )
-    )
+def _columns_of(measures: Callable[[], list]) -> Callable[[Given], DataFrame]:
+    """Some of the columns of the research report's metrics."""
 
+    def query(g: Given) -> DataFrame:
+        return money(research_report(g)["Metrics"].select("recent_open", *[m.name for m in measures()]))
 
-def promo_lob_detail(g: Given) -> DataFrame:
-    measures = quote_measures({"L1": "L1", "L3": "L3"}, count="Order")
-    return money(
-        campaign_metrics(_promo_labelled(g), measures, spine=A.spine(g.spark, SHIP_NAMES))
-    )
+    return query
 
 
-def promo_revenue_split(g: Given) -> DataFrame:
-    return money(
-        campaign_metrics(
-            _promo_labelled(g), revenue_split_measures(), spine=A.spine(g.spark, SHIP_NAMES)
-        )
-    )
+FLAGS = ("order_id", "recent_open", "new_to_company", "new_to_lob")
 
 
-def revenue_by_code(g: Given) -> DataFrame:
-    chosen = _promo_labelled(g).where(F.col("promotion_code").isin("NGS-3", "NGS-4", "FLASH-1"))
-    return money(chosen.groupBy("promotion_code").agg(F.sum("billing_amount").alias("AllRevenue")))
+def research_fanout(g: Given) -> DataFrame:
+    """Metrics in which an order counts as often as its touch was listed."""
+    return money(research_report(g, keep_fanout=True)["Metrics"])
 
 
-def regional_metrics(g: Given) -> DataFrame:
-    start = at("7/1/1997")
-    inside = in_window(g.ready, start, scope=F.col("lob_type").isin("L2", "L3"))
-    cells = by_list(order_cells(inside, CUSTOMER_CELL), _window_list(g))
-    known = known_customers(g.current, g.history, start)
-    cells = flag_new(cells, known, cutoff=start)
-    measures = (
-        total_measures()
-        + status_measures(A.COMPANY, None)
-        + acquired_measures(A.COMPANY, None)
-        + unique_measure()
-    )
-    return money(campaign_metrics(cells, measures, key=None, orders_col="orders"))
+def known_by_history(g: Given) -> DataFrame:
+    """Newness against the historical list and the orders, each read as a table of its own."""
+    start = at(A.FLASH_START)
+    known = known_customers(g.current, g.history, before=start)
+    flagged = flag_new(_flash_labelled(g, g.sales), known, cutoff=start)
+    return flagged.groupBy("recent_open", "new_to_company", "new_to_lob").agg(F.count(F.lit(1)).alias("orders"))
 
 
-def revenue_breakdown(g: Given) -> DataFrame:
-    weights = list_weights(g.touches_lists)
-    orders = _flash_orders(g.sales)
-    weighed = orders.join(weights, orders["customer_email"] == weights["recipient"], "left")
-    sources = {
-        "All Sources": F.lit(1),
-        "Open Email": F.coalesce("opened", F.lit(0)),
-        "Open & Click": F.coalesce("clicks", F.lit(0)),
-    }
-    return money(source_breakdown(weighed, sources, A.QUOTE_LABELS, A.DIRECT_LABELS))
+def clean_rejects(g: Given) -> DataFrame:
+    """Orders whose amount cannot be read: amounts of one key in eleven are spoiled first."""
+    spoiled = F.when(F.col("order_id") % 11 == 0, F.concat("billing_amount", F.lit(" net"))).otherwise(F.col("billing_amount"))
+    unset = F.when(F.col("order_id") % 13 != 0, spoiled)
+    tables = cleaning_tables(g.raw_sales.withColumn("billing_amount", unset), A.RULES)
+    return tables["Rejects"].select("order_id", "billing_amount")
 
 
-def new_customers(g: Given) -> DataFrame:
-    labelled = _touch_labelled(g).select(
-        "recent_open", "customer_email", "email_lob", "lob", "user_name", "institution"
-    )
-    flagged = _touch_flagged(g, labelled.distinct())
-    combined = add_combined_name(flagged, g.ship_campaigns)
-    return new_customer_list(combined, F.col("combined_email"), A.COMPANY)
+def clean_report(g: Given) -> DataFrame:
+    """Orders and revenue by line in the cleaned and the ready table."""
+    tables = cleaning_tables(g.raw_sales, A.RULES)
+    parts = [
+        tables[name].groupBy("lob_type").agg(F.count(F.lit(1)).alias("orders"), F.sum("billing_amount").alias("revenue"))
+        .select(F.lit(name).alias("stage"), "*")
+        for name in ("Cleaned", "Ready")
+    ]
+    return money(parts[0].union(parts[1]))
 
 
 def null_safe_exclusion(g: Given) -> DataFrame:
@@ -396,23 +302,32 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "latest_touch": latest_touch_query,
     "latest_touch_events": latest_touch_events,
     "latest_touch_complete": latest_touch_complete,
-    "new_to_company": new_to_company,
-    "new_to_lob": new_to_lob,
-    "flash_metrics": flash_metrics,
-    "research_metrics": research_metrics,
-    "combined_metrics": combined_metrics,
-    "quote_metrics": quote_metrics,
-    "direct_metrics": direct_metrics,
-    "status_metrics": status_metrics,
-    "new_customers_by_lob": new_customers_by_lob,
-    "unique_customers": unique_customers,
-    "promo_metrics": promo_metrics,
-    "promo_lob_detail": promo_lob_detail,
-    "promo_revenue_split": promo_revenue_split,
-    "revenue_by_code": revenue_by_code,
-    "regional_metrics": regional_metrics,
-    "revenue_breakdown": revenue_breakdown,
-    "new_customer_list": new_customers,
+    "new_to_company": _table(flash_report, "Open Email", *FLAGS),
+    "new_to_lob": _table(research_report, "Labelled", *FLAGS),
+    "known_by_history": known_by_history,
+    "clean_rejects": clean_rejects,
+    "clean_report": clean_report,
+    "flash_metrics": _table(flash_report, "Metrics"),
+    "flash_all_orders": _table(flash_report, "All Sources", "order_id", "promotion_code", "confirmed", "billing_amount"),
+    "flash_clicked": _table(flash_report, "Open and Click", "order_id", "recent_open", "billing_amount"),
+    "flash_customers": _table(flash_report, "New Customers"),
+    "research_metrics": _table(research_report, "Metrics"),
+    "research_fanout": research_fanout,
+    "combined_metrics": _table(research_report, "Metrics Combined"),
+    "quote_metrics": _metrics_of(lambda: quote_measures(A.QUOTE_LABELS)),
+    "direct_metrics": _metrics_of(lambda: direct_measures(A.DIRECT_LABELS)),
+    "status_metrics": _columns_of(lambda: status_measures(A.COMPANY, A.NEW_LINE_LABELS)),
+    "new_customers_by_lob": _columns_of(lambda: acquired_measures(A.COMPANY, A.NEW_LINE_LABELS)),
+    "unique_customers": _metrics_of(unique_measure),
+    "promo_metrics": _table(promo_report, "Metrics"),
+    "promo_lob_detail": _table(promo_report, "Detail"),
+    "promo_revenue_split": _table(promo_report, "Revenue Breakdown"),
+    "revenue_by_code": _table(promo_report, "Breakdown By Code"),
+    "regional_metrics": _table(regional_report, "Metrics"),
+    "regional_metric_rows": _table(regional_report, "Metric Rows"),
+    "regional_orders": _table(regional_report, "Labelled", *FLAGS),
+    "revenue_breakdown": _table(flash_report, "Breakdown"),
+    "new_customer_list": _table(research_report, "New Customers"),
 }
 
 

@@ -10,8 +10,8 @@ from ..functions import parse_time
 from .headers import normalise_headers
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read one table. CSV is read as text, without an inference pass over the data."""
+def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+    """Read one table, of one or several files. CSV is read as text, without an inference pass over the data."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False).option("escape", '"')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,25 +35,63 @@ def read_open_list(spark: SparkSession, path: str, campaign: str, fmt: str = "cs
     return tidy_touches(read_table(spark, path, fmt), F.lit(campaign))
 
 
-def read_touches(spark: SparkSession, directory: str, campaign_table: DataFrame, fmt: str = "csv") -> DataFrame:
-    """All open lists named by the index, in one scan of ``directory``.
+def _list_files(spark: SparkSession, directory: str, fmt: str) -> DataFrame:
+    """``path`` of every file below the directory, with the file's own name and its folder's.
 
-    A list is ``<long_name>.<fmt>`` or a folder ``<long_name>/``. Files that the index does not name are
-    left out by the join.
+    Only names are read here, no contents.
     """
-    reader = spark.read.format(fmt).option("recursiveFileLookup", True)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False).option("escape", '"')
-    lists = reader.load(directory)
-    # The path is percent-encoded; a plus sign in it is a plain plus, so it is shielded from the decoder.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"\.{fmt}$", "")
-    folder = F.element_at(F.split(path, "/"), -2)
-    named = lists.withColumns({"__file_list": name, "__folder_list": folder})
-    by_name = campaign_table.select(F.col("long_name").alias("__long_name"), F.col("campaign").alias("__campaign"))
-    matched = named.join(
-        by_name,
-        F.when(F.col("__file_list").rlike(r"^part-"), F.col("__folder_list")).otherwise(F.col("__file_list"))
-        == F.col("__long_name"),
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
+    parts = F.split("path", "/")
+    return files.select(
+        "path",
+        F.regexp_replace(F.element_at(parts, -1), rf"\.{fmt}$", "").alias("file_name"),
+        F.element_at(parts, -2).alias("folder_name"),
     )
-    return tidy_touches(matched, F.col("__campaign"))
+
+
+def read_touches(spark: SparkSession, directory: str, campaign_table: DataFrame, fmt: str = "csv") -> DataFrame:
+    """All open lists named by the index.
+
+    A list is ``<long_name>.<fmt>`` or a folder ``<long_name>/``; a file belongs to its folder if the index names the
+    folder. Each list is read by the names of its own columns, so lists may differ in their other columns and in
+    whether they state clicks: there is one scan for each distinct header, not for each list. A list that the index
+    names and the directory does not hold is an error; files that the index does not name are left out.
+
+    The driver holds the index and the lists' file names, a row for each mailed campaign.
+    """
+    named = [(r["long_name"], r["campaign"]) for r in campaign_table.select("long_name", "campaign").collect()]
+    by_name: dict[str, list[str]] = {}
+    for long_name, campaign in named:
+        by_name.setdefault(long_name, []).append(campaign)
+    paths: dict[str, list[str]] = {}
+    for r in _list_files(spark, directory, fmt).collect():
+        found = r["folder_name"] if r["folder_name"] in by_name else r["file_name"]
+        if found in by_name:
+            paths.setdefault(found, []).append(r["path"])
+    missing = sorted(set(by_name) - set(paths))
+    if missing:
+        raise FileNotFoundError(f"no {fmt} file for the lists {', '.join(missing)} in {directory}")
+
+    by_header: dict[tuple, list[str]] = {}
+    for long_name, own in paths.items():
+        for path in own:
+            header = tuple((f.name, f.dataType.simpleString()) for f in read_table(spark, _escaped(path), fmt).schema)
+            by_header.setdefault(header, []).append(path)
+    owner = {path: campaign for name, own in paths.items() for path in own for campaign in by_name[name]}
+    several = [name for name, campaigns in by_name.items() if len(campaigns) > 1]
+    if several:
+        raise ValueError(f"the index names the lists {', '.join(sorted(several))} more than once")
+    out = None
+    for own in by_header.values():
+        # The path in the metadata is percent-encoded; a plus sign is a plain plus, so it is shielded from the decoder.
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        campaign = F.element_at(F.create_map(*(F.lit(x) for p in own for x in (p, owner[p]))), path)
+        lists = read_table(spark, [_escaped(p) for p in own], fmt).withColumn("__campaign", campaign)
+        one = tidy_touches(lists, F.col("__campaign"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "campaign string, recipient string, sent_at timestamp_ntz, clicked boolean")
+
+
+def _escaped(path: str) -> str:
+    """A path as readers take it, with the characters of patterns taken literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
