@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: The model is fitted on about this many training documents of each language, chosen by a hash of the id.
 DOCS_PER_LANGUAGE = 2_000
 #: Most frequent words and n-grams that the model keeps.
-WORDS = 150_000
+WORDS = 120_000
 GRAMS = 100_000
 LONGEST_GRAM = 5
 #: Counted strings a task holds before it hands them on.
@@ -102,16 +102,18 @@ def counted(rows: DataFrame, strings, schema: str) -> DataFrame:
 
 def logs(table: DataFrame, keep: int, languages: list[str], totals: dict[tuple[str, int], int], order) -> tuple[dict[str, int], np.ndarray]:
     """The `keep` most frequent tokens with their smoothed log frequencies in each language."""
-    entries = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    counts = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{j}") for j, lang in enumerate(languages)]
     rows = (
-        table.groupBy("token").agg(F.sum("n").alias("total"), entries.alias("by"))
-        .orderBy(F.col("total").desc(), "token").limit(keep).select("token", "by").collect()
+        table.groupBy("token").agg(F.sum("n").alias("total"), *counts)
+        .orderBy(F.col("total").desc(), "token").limit(keep).drop("total").toArrow()
     )
-    index = {r["token"]: i for i, r in enumerate(rows)}
-    out = np.zeros((len(rows), len(languages)), np.float32)
-    for i, r in enumerate(rows):
-        for j, lang in enumerate(languages):
-            out[i, j] = np.log((r["by"].get(lang, 0) + 0.5) / (totals.get((lang, order(r["token"])), 0) + 0.5 * max(1, len(rows))))
+    index = {token: i for i, token in enumerate(rows.column("token").to_pylist())}
+    orders = [order(token) for token in index]
+    out = np.zeros((len(index), len(languages)), np.float32)
+    for j, lang in enumerate(languages):
+        seen = rows.column(f"n{j}").fill_null(0).to_numpy().astype(float)
+        size = np.array([totals.get((lang, o), 0) for o in orders], float)
+        out[:, j] = np.log((seen + 0.5) / (size + 0.5 * max(1, len(index))))
     return index, out
 
 

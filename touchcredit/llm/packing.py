@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,7 @@ Runs = tuple[tuple[int, int], ...]  # (length, how often), longest first
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(PRINTABLE))}
 WORDS = regex.compile(public_tokenizers.PATTERN)
+LATIN_END = "\u0250"
 BEFORE_SPACE = re.compile(r"(?= \S)")
 
 
@@ -61,7 +63,9 @@ class ChunkIds(dict):
         ids = self.older.get(chunk)
         if ids is None:
             found = []
-            for word in WORDS.findall(self.lead + chunk):
+            # A run of Latin letters is one word by any splitting.
+            plain = chunk.isalpha() and max(chunk) < LATIN_END
+            for word in (self.lead + chunk,) if plain else WORDS.findall(self.lead + chunk):
                 raw = word.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
                 found += [t.id for t in self.tokenize(raw)]
             ids = struct.pack(f"<{len(found)}I", *found)
@@ -104,6 +108,12 @@ class Encoder:
         return b"".join(out) + end
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which runs many tasks."""
+    return Encoder(path)
+
+
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids) of every document's pieces of at most `capacity` tokens.
 
@@ -112,7 +122,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = Encoder(tokenizer)
+        encoded = encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for at, value in enumerate(batch.column(1)):

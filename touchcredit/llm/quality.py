@@ -23,7 +23,10 @@ BINS = 24
 #: The machine is fitted on about this many labelled documents, chosen by a hash of the id.
 SAMPLE_ROWS = 10_000
 FACTORS = 8
-EPOCHS = 6
+#: Training makes so many passes over the sample, and more over a small one until it has made so many steps.
+EPOCHS, STEPS = 6, 200
+STEP_ROWS = 64
+#: Rows that are scored at once.
 BATCH = 256
 THRESHOLD = 0.3
 UPPER = bytes(range(0x41, 0x5B))
@@ -109,11 +112,12 @@ def train(rows: list[tuple[list[int], list[float], int]], seed: int = 5) -> Fact
     indices = [np.array(r[0], np.int64) for r in rows]
     values = [np.array(r[1]) for r in rows]
     seen_w, seen_v, seen_b = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
-    for epoch in range(EPOCHS):
-        rate = 0.15 / (1 + 0.3 * epoch)
+    epochs = max(EPOCHS, -(-STEPS // -(-len(rows) // STEP_ROWS)))
+    for epoch in range(epochs):
+        rate = 0.15 / (1 + 2.0 * epoch / epochs)
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
+        for at in range(0, len(order), STEP_ROWS):
+            own = order[at : at + STEP_ROWS]
             index, value = np.concatenate([indices[i] for i in own]), np.concatenate([values[i] for i in own])
             starts = np.concatenate(([0], np.cumsum(lengths[own])[:-1]))
             logit, total, scaled = machine.forward(index, value, starts)
