@@ -96,3 +96,14 @@ ORDER_COLUMNS = {
 }
 HISTORY_COLUMNS = {"email": "customer_email", "email_+_lob": "email_lob"}
 TOUCH_COLUMNS = {"recipient": "recipient", "sent_at_(your_time_zone)": "sent_at", "clicked": "clicked"}
+
+# --- Fixed values: columns of the list of new customers ---------------------------------------------
+CUSTOMER_LIST_COLUMNS = (
+    "New Customer Type",
+    "Customer Email",
+    "Customer Name",
+    "Institution",
+    "Campaign Source",
+    "First Order LoB",
+)
+NO_LINE = "N/A"

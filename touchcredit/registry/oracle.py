@@ -380,6 +380,12 @@ FROM rows""",
     "promo_metrics": _report(
         PROMO_FLAGGED, CONFIRMED_ALL + _status(ANY_LINE) + _acquired(ANY_LINE) + UNIQUE, SHIP_NAMES
     ),
+    "promo_combined": _report(
+        PROMO_FLAGGED.replace("'ship_an'", "'early'").replace("'ship_r'", "'late'"),
+        CONFIRMED_ALL + _status(ANY_LINE) + _acquired(ANY_LINE) + UNIQUE,
+        ["early", "late"],
+        key="combined_email",
+    ),
     "promo_lob_detail": _report(PROMO, _quote(["L1", "L3"], "Order"), SHIP_NAMES, "labelled"),
     "promo_revenue_split": _report(
         PROMO,

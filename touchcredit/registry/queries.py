@@ -41,6 +41,7 @@ from ..plans import (
     touch_campaign,
     window_campaign,
 )
+from ..sources import campaigns
 from . import adapters as A
 from .adapters import Given
 
@@ -191,18 +192,19 @@ def flash_report(g: Given) -> dict[str, DataFrame]:
     return list_campaign(g.sales, g.known(A.FLASH_START), g.touches_lists, names, spec)
 
 
-def _touch_report(g: Given, spec: TouchCampaign) -> dict[str, DataFrame]:
+def research_report(g: Given, keep_fanout: bool = False) -> dict[str, DataFrame]:
+    spec = TouchCampaign.research_areas(keep_fanout=keep_fanout, lines=A.REPORT_LINES)
     latest = g.known("1997-01-01 00:00:00")
     return touch_campaign(g.current, latest, g.touches_ship, g.ship_campaigns, g.ship_eligibility, spec)
 
 
-def research_report(g: Given, keep_fanout: bool = False) -> dict[str, DataFrame]:
-    return _touch_report(g, TouchCampaign.research_areas(keep_fanout=keep_fanout, lines=A.REPORT_LINES))
-
-
 def promo_report(g: Given) -> dict[str, DataFrame]:
+    """The promotions' index has no roll-up names; they are given beside it."""
     codes = ("NGS-3", "NGS-4", "FLASH-1")
-    return _touch_report(g, TouchCampaign.promotion(in_scope(*SCOPE), codes, lines=A.REPORT_LINES))
+    spec = TouchCampaign.promotion(in_scope(*SCOPE), codes, lines=A.REPORT_LINES)
+    table = campaigns(g.ship_index.drop("combined_name"), {"camp_a": "early", "camp_n": "early", "camp_r": "late"})
+    latest = g.known("1997-01-01 00:00:00")
+    return touch_campaign(g.current, latest, g.touches_ship, table, g.ship_eligibility, spec)
 
 
 def regional_report(g: Given) -> dict[str, DataFrame]:
@@ -320,6 +322,7 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "new_customers_by_lob": _columns_of(lambda: acquired_measures(A.COMPANY, A.NEW_LINE_LABELS)),
     "unique_customers": _metrics_of(unique_measure),
     "promo_metrics": _table(promo_report, "Metrics"),
+    "promo_combined": _table(promo_report, "Metrics Combined"),
     "promo_lob_detail": _table(promo_report, "Detail"),
     "promo_revenue_split": _table(promo_report, "Revenue Breakdown"),
     "revenue_by_code": _table(promo_report, "Breakdown By Code"),
