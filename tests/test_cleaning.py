@@ -63,7 +63,9 @@ def test_row(outcome, name):
 def test_amounts(spark):
     texts = ["$12.34567", "AU$100.0000", "AU$0.0000", "$1e3", "$ 7 ", "$1.00005", "$1.00015", "$x", "$"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    values = [r[0] for r in df.select(parse_amount(F.col("t"))).collect()]
+    amounts = df.select(parse_amount(F.col("t")).alias("amount"))
+    assert amounts.dtypes == [("amount", "decimal(18,4)")]
+    values = [None if r[0] is None else float(r[0]) for r in amounts.collect()]
     assert values == [12.3457, 69.0, 0.0, 1000.0, 7.0, 1.0001, 1.0002, None, None]
 
 
@@ -73,7 +75,7 @@ def test_round4_matches_numpy(spark):
     rng = np.random.default_rng(3)
     xs = np.concatenate([rng.uniform(0, 1e6, 2000), np.arange(2000) / 20000 + 5e-5])
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double")
-    got = [r[0] for r in df.orderBy("i").select(round4(F.col("x"))).collect()]
+    got = [float(r[0]) for r in df.orderBy("i").select(round4(F.col("x"))).collect()]
     assert got == list(np.round(xs, 4))
 
 
@@ -87,3 +89,10 @@ def test_stages_and_remap(spark):
 def test_no_internal_rules_by_default(spark):
     clean, _ = clean_orders(raw_orders(spark, [raw_order(1, institution="ACME")]), CleaningRules())
     assert clean.count() == 1
+
+
+def test_sums_are_exact(spark):
+    """Amounts whose sum as doubles depends on the order add up to the same in any."""
+    df = spark.createDataFrame([(f"${x}",) for x in ("0.1000", "0.2000", "0.3000", "99999999999.9999")], "t string")
+    total = df.repartition(3).agg(F.sum(parse_amount(F.col("t")))).first()[0]
+    assert str(total) == "100000000000.5999"
