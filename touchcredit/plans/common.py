@@ -24,6 +24,10 @@ CUSTOMER_CELL = ("customer_email", "email_lob", "lob_type", "lob")
 CELL = (*CUSTOMER_CELL, "confirmed")
 
 
+#: What flagging adds to a cell.
+FLAGS = ("new_to_company", "new_to_lob")
+
+
 @dataclass(frozen=True)
 class Company:
     """``name`` appears in customer types (``New to <name>``), ``short`` in columns (``NewTo<short>``)."""

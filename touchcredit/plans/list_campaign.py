@@ -21,7 +21,7 @@ from ..operators import (
     source_breakdown,
 )
 from ..operators.attribution import list_weights
-from .common import CELL, Company, Lines, campaign_spine, line_bundle
+from .common import CELL, FLAGS, Company, Lines, campaign_spine, line_bundle
 from .report import Keep, lazily
 
 
@@ -56,7 +56,6 @@ def list_campaign(
     ready = keep("All Sources", coded)
     known = history if isinstance(history, Known) else known_customers(orders, history, before=start)
     opened = flag_new(by_list(ready, touches), known, cutoff=start)
-    cells = flag_new(by_list(order_cells(ready, CELL), touches), known, cutoff=start)
     weights = list_weights(touches)
     weighed = ready.join(weights, ready["customer_email"] == weights["recipient"], "left")
     sources = {
@@ -64,14 +63,18 @@ def list_campaign(
         "Open Email": F.coalesce("opened", F.lit(0)),
         "Open & Click": F.coalesce("clicks", F.lit(0)),
     }
-    opened = keep("Open Email", opened)
+    kept = keep("Open Email", opened)
+    if kept is opened:  # nothing is read back: cells are labelled and flagged in place of orders
+        cells = flag_new(by_list(order_cells(ready, CELL), touches), known, cutoff=start)
+    else:
+        cells = order_cells(kept, ["recent_open", *CELL, *FLAGS])
     return {
-        "Open Email": opened,
+        "Open Email": kept,
         "All Sources": ready,
         "Open and Click": by_click(ready, touches),
         "Metrics": campaign_metrics(
             cells, line_bundle(spec.company, spec.lines), spine=campaign_spine(campaign_table), orders_col="orders"
         ),
         "Breakdown": source_breakdown(weighed, sources, spec.lines.breakdown, spec.lines.direct),
-        "New Customers": new_customer_list(opened, F.lit(spec.source), spec.company.name),
+        "New Customers": new_customer_list(kept, F.lit(spec.source), spec.company.name),
     }

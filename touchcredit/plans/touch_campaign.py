@@ -22,7 +22,7 @@ from ..operators import (
 )
 from ..operators.attribution import credited, weigh_copies
 from ..sources import campaign_groups
-from .common import CELL, Company, Lines, campaign_spine, line_bundle, promo_bundle
+from .common import CELL, FLAGS, Company, Lines, campaign_spine, line_bundle, promo_bundle
 from .report import Keep, lazily
 
 
@@ -86,11 +86,15 @@ def touch_campaign(
     final = keep("Labelled", add_combined_name(flag_new(labelled, known, campaign_table), campaign_table))
 
     weighed = ["copies"] if spec.keep_fanout else []
-    cells = order_cells(labelled, ["recent_open", *CELL, *weighed])
+    if kept is complete:  # cells are flagged in place of orders
+        cells = order_cells(labelled, ["recent_open", *CELL, *weighed])
+        cells = add_combined_name(flag_new(cells, known, campaign_table), campaign_table)
+    else:
+        labelled = final
+        cells = order_cells(final, ["recent_open", *CELL, *FLAGS, "combined_email", *weighed])
     if weighed:
         cells = weigh_copies(cells)
         labelled = labelled.withColumn("billing_amount", F.col("billing_amount") * F.col("copies"))
-    cells = add_combined_name(flag_new(cells, known, campaign_table), campaign_table)
 
     spine = campaign_spine(campaign_table)
     groups = campaign_groups(campaign_table).withColumnRenamed("combined_name", "combined_email")

@@ -24,7 +24,7 @@ from ..operators import (
     unique_measure,
 )
 from ..operators.attribution import in_window
-from .common import CUSTOMER_CELL, Company
+from .common import CUSTOMER_CELL, FLAGS, Company
 from .report import Keep, lazily
 
 
@@ -46,14 +46,18 @@ def window_campaign(
     start = at(spec.sent_date)
     known = history if isinstance(history, Known) else known_customers(orders, history, before=start)
     inside = in_window(orders, start, spec.days, spec.scope)
-    labelled = keep("Labelled", flag_new(by_list(inside, touches), known, cutoff=start))
-    cells = flag_new(by_list(order_cells(inside, CUSTOMER_CELL), touches), known, cutoff=start)
+    labelled = flag_new(by_list(inside, touches), known, cutoff=start)
+    kept = keep("Labelled", labelled)
+    if kept is labelled:  # nothing is read back: cells are labelled and flagged in place of orders
+        cells = flag_new(by_list(order_cells(inside, CUSTOMER_CELL), touches), known, cutoff=start)
+    else:
+        cells = order_cells(kept, [*CUSTOMER_CELL, *FLAGS])
     short = spec.company.short
     measures = total_measures() + status_measures(short, None) + acquired_measures(short, None) + unique_measure()
     metrics = campaign_metrics(cells, measures, key=None, orders_col="orders")
     return {
-        "Labelled": labelled,
+        "Labelled": kept,
         "Metrics": metrics,
         "Metric Rows": metric_rows(metrics),
-        "New Customers": new_customer_list(labelled, F.lit(spec.source), spec.company.name),
+        "New Customers": new_customer_list(kept, F.lit(spec.source), spec.company.name),
     }
