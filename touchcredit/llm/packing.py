@@ -3,8 +3,8 @@
 A configuration is a multiset of lengths that fits a sequence. The program covers every length's count by as few
 configurations as possible. Multiplicative weights price the lengths: what is covered already gets cheaper. A knapsack
 dynamic program finds the dearest configurations at these prices; near-optimal ones found in the same table are used
-as well. The fractional solution is rounded down to whole sequences, and what is left is best-fitted into the space of
-the sequences and into new ones. All this sees lengths only, at most as many as a sequence has tokens, whatever the
+as well. The fractional solution is rounded down to whole sequences, the program is solved again for what is left, and
+the rest is best-fitted into the space of the sequences and into new ones. All this sees lengths only, at most as many as a sequence has tokens, whatever the
 number of documents; the pieces then find their places by their rank among pieces of equal length.
 """
 
@@ -30,16 +30,18 @@ from .common import settled
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Rounds of multiplicative weights; a round covers at most this share of each length's count.
-ROUNDS = 24
+#: Rounds of multiplicative weights, each for a like share of every length's count, and how often the program is solved.
+ROUNDS, PASSES = 8, 3
 #: A configuration is used if its price is this near to the best.
 NEAR = 0.998
+#: Tokens that a configuration may leave free.
+SLACK = 0
 #: How strongly a length's price follows what is missing of it.
-RATE = 0.02
+RATE = 0.005
 #: Pieces ranked in one group on average.
 RANK_ROWS = 20_000
 #: Chunks whose ids a worker remembers, twice over.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 Runs = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -200,7 +202,7 @@ def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY,
                         break
                     taken[i] = taken.get(i, 0) + 1
                     free -= int(lengths[i])
-                if sum(prices[i] * m for i, m in taken.items()) < least:
+                if free > SLACK or sum(prices[i] * m for i, m in taken.items()) < least:
                     break  # too little room is left in this round for a near-optimal configuration with this length
                 step = min(room[i] / m for i, m in taken.items())
                 for i, m in taken.items():
@@ -218,7 +220,6 @@ def packed(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUND
     left = {x: n for x, n in counts.items() if n > 0}
     if not left:
         return []
-    amounts = fractional_configurations(left, capacity, rounds)
     open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)  # by free space
     done: list[tuple[dict[int, int], int]] = []
 
@@ -226,13 +227,19 @@ def packed(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUND
         if times:
             (open_[free] if free else done).append((runs, times))
 
-    for runs, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        times = min(int(amount + 1e-6), *(left.get(x, 0) // m for x, m in runs))
-        if times > 0:
-            for x, m in runs:
-                left[x] -= times * m
-            put(dict(runs), times, capacity - sum(x * m for x, m in runs))
-    for x in sorted((x for x, n in left.items() if n), reverse=True):
+    for _ in range(PASSES):
+        # Whole sequences of the fractional solution; the program is then solved again for what is left.
+        amounts = fractional_configurations(left, capacity, rounds)
+        for runs, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
+            times = min(int(amount + 1e-6), *(left.get(x, 0) // m for x, m in runs))
+            if times > 0:
+                for x, m in runs:
+                    left[x] -= times * m
+                put(dict(runs), times, capacity - sum(x * m for x, m in runs))
+        left = {x: n for x, n in left.items() if n}
+        if not left:
+            break
+    for x in sorted(left, reverse=True):
         rest = left[x]
         for free in range(x, capacity):
             while rest and open_.get(free):
