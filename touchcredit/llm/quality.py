@@ -109,8 +109,7 @@ def train(rows: list[tuple[list[int], list[float], int]], seed: int = 5) -> Fact
         return machine
     machine.factors = rng.normal(0.0, 0.05, (size, FACTORS))
     lengths = np.array([len(r[0]) for r in rows])
-    indices = [np.array(r[0], np.int64) for r in rows]
-    values = [np.array(r[1]) for r in rows]
+    indices, values = [np.asarray(r[0]) for r in rows], [np.asarray(r[1]) for r in rows]
     seen_w, seen_v, seen_b = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     epochs = max(EPOCHS, -(-STEPS // -(-len(rows) // STEP_ROWS)))
     for epoch in range(epochs):
@@ -155,7 +154,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     made = with_text_columns(sample, "index array<int>, value array<double>", make, ("n_chars",))
     made = settled(made.select("doc_id", "index", "value", "label").dropDuplicates(["doc_id"]))
-    return train([(r["index"], r["value"], r["label"]) for r in made.orderBy("doc_id").toLocalIterator()])
+    table = made.orderBy("doc_id").select("index", "value", "label").toArrow().combine_chunks()
+    index, value = (table.column(c).combine_chunks() for c in ("index", "value"))
+    starts = index.offsets.to_numpy()
+    flat, amounts = index.values.to_numpy(), value.values.to_numpy()
+    labels_of = table.column("label").to_pylist()
+    spans = zip(starts[:-1].tolist(), starts[1:].tolist(), labels_of, strict=True)
+    return train([(flat[a:b], amounts[a:b], y) for a, b, y in spans])
 
 
 def rate(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
