@@ -65,6 +65,17 @@ def test_pages_without_a_marked_article(spark):
     assert "(<li><a" not in found.wrapper and "<li>#</li>)+" in found.wrapper and "<h2>#</h2>)?" in found.wrapper
 
 
+def test_parts_of_a_large_host(spark, monkeypatch):
+    import touchcredit.llm.wrappers as module
+
+    rows = [(i, f"https://host{int(i % 3 > 0) * i}.org/{i}", plain_page(i), None, 0) for i in range(40)]
+    frame = spark.createDataFrame(rows + rows[:5], SCHEMA)
+    whole = sorted(tuple(r) for r in page_texts(frame).collect())
+    monkeypatch.setattr(module, "PART_PAGES", 3)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in page_texts(frame).collect()) == whole and len(whole) == 45
+
+
 def test_hosts_nulls_and_repeated_rows(spark):
     rows = [(1, None, PAGE, None, 0), (None, "no url", PAGE, None, 0), (1, None, PAGE, None, 0), (2, "http://b/", None, None, 0)]
     got = page_texts(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
@@ -62,6 +64,10 @@ SLOT = "#"
 DEEPEST = 60
 #: Distinct streams that are aligned in one group; a host with more is aligned in parts, and the parts with each other.
 STREAMS = 2_000
+#: Pages of a large host that are read in one part.
+PART_PAGES = 2_000
+#: Slot paths of all hosts up to this size are broadcast to the pages; larger ones meet them by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass
@@ -320,7 +326,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     Pages without a host, null urls included, share one wrapper under the host "".
     """
-    found = streams(pages)
+    found = settled(streams(pages))  # pages are parsed once for it, though streams and slots are read apart
     parts = F.when(F.col("kind") == "stream", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("host", "kind")) / STREAMS)).otherwise(1)
     own = F.when(F.col("kind") == "stream", F.pmod(F.xxhash64("key"), parts)).otherwise(0).cast("int")
     kept = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint"
@@ -354,6 +360,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
     )
 
 
+def joined_in_parts(placed: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """Pages with their hosts' wrappers by a shuffle. Hosts with over a thousandth of all pages, of which there are less than
+    a thousand, meet their wrapper in parts."""
+    large = known.where(F.col("pages") > max(2 * PART_PAGES, total / 1000)).select("__host", F.ceil(F.col("pages") / PART_PAGES))
+    parts = F.lit(1).cast("long")
+    if found := large.collect():
+        by_host = F.create_map(*(F.lit(x) for host, n in found for x in (host, int(n))))
+        parts = F.coalesce(F.element_at(by_host, F.col("__host")), parts)
+    known = known.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return placed.withColumn("__part", F.pmod(F.xxhash64("url", "html"), parts)).join(known, ["__host", "__part"], "left")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` with `text` (the article's blocks, two line ends between them) and `n_chars`, from the whole html.
 
@@ -362,8 +380,16 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     pages = pages.drop("text", "n_chars")
     names = pages.columns
-    known = wrappers(pages).select(F.col("host").alias("__host"), F.col("article").alias("__article"), F.col("plain").alias("__plain"))
-    joined = pages.withColumn("__host", host_of(F.col("url"))).join(known, "__host", "left").select(*names, "__article", "__plain")
+    known = settled(wrappers(pages).select(F.col("host").alias("__host"), "pages", F.col("article").alias("__article"), F.col("plain").alias("__plain")))
+    slots = F.concat(F.col("__article"), F.col("__plain"))
+    held = F.octet_length(F.col("__host")) + F.aggregate(slots, F.lit(0), lambda n, p: n + F.octet_length(p) + 64) + 128
+    total, size = known.agg(F.sum("pages"), F.sum(held)).first()
+    placed = pages.withColumn("__host", host_of(F.col("url")))
+    if (size or 0) <= BROADCAST_BYTES:
+        joined = placed.join(F.broadcast(known), "__host", "left")
+    else:
+        joined = joined_in_parts(placed, known, total)
+    joined = joined.select(*names, "__article", "__plain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
