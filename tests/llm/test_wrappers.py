@@ -86,3 +86,34 @@ def test_hosts_nulls_and_repeated_rows(spark):
 def test_blocks_of_a_page():
     _, blocks = parsed("<article><p>a <a href='x'>link</a></p></article>")
     assert [(b.path, b.text, b.linked) for b in blocks] == [("article*/p", "a link", 4)]
+
+
+def wrapped_page(i, opening, closing):
+    return opening + f"<p>Story {i} " + f"with text {i} " * 20 + f"</p><p>End {i}</p>" + closing
+
+
+@pytest.mark.parametrize(
+    ("opening", "closing"),
+    [
+        ("<body class='single right-sidebar'><div>", "</div></body>"),
+        ("<body class='has-navbar fixed-header'><article>", "</article></body>"),
+        ("<html class='no-search'><body style='display:none'><main id='share'>", "</main></body></html>"),
+        ("<body><div id='page' class='no-sidebar'>", "</div></body>"),
+        ("<body><article class='post comments-open'>", "</article></body>"),
+        ("<body><main><article class='post category-social'>", "</article></main></body>"),
+        ("<body><form id='aspnet'><div>", "</div></form></body>"),
+        ("<body><form><article>", "</article></form></body>"),
+        ("<body><div class='right-sidebar'><div class='inner widget'>", "</div></div></body>"),
+    ],
+)
+def test_layout_names_do_not_empty_pages(spark, opening, closing):
+    rows = [(i, f"http://names.org/{i}", wrapped_page(i, opening, closing), None, 0) for i in range(4)]
+    for r in page_texts(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.text.startswith(f"Story {r.page_id} ") and r.text.endswith(f"\n\nEnd {r.page_id}")
+
+
+def test_what_is_marked_stays_out_beside_an_article(spark):
+    talk = "<section class='comments'>" + "<article class='comment'><p>Reply {i} " + "talk {i} " * 30 + "</p></article></section>"
+    html = "<body><div hidden>Secret {i}</div><nav>Go {i}</nav><article><p>Story {i} " + "word " * 20 + "</p>{talk}<article class='comment'><p>Yes {i}</p></article></article></body>"
+    rows = [(i, f"http://talk.org/{i}", html.replace("{talk}", talk).replace("{i}", str(i)), None, 0) for i in range(4)]
+    assert all(r.text == f"Story {r.page_id} " + "word " * 19 + "word" for r in page_texts(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -59,6 +59,11 @@ BOILERPLATE_NAMES = {
     "skip", "search", "complementary", "contentinfo", "reactions",
 }
 ARTICLE, MAIN_NAMES = {"article", "main"}, {"articlebody"}
+#: A class or id that begins or ends with one of these says what a layout has, not what the element is.
+FIRST_MODIFIERS = {"has", "have", "no", "not", "with", "without", "hide", "show", "is", "on", "off"}
+LAST_MODIFIERS = {"open", "opened", "closed", "on", "off", "enabled", "disabled", "visible", "hidden", "active", "fixed", "sticky"}
+#: Marked as no article for good; whatever else is marked stays if it holds most of a host's varying text.
+NEVER_ARTICLE = ("head", "title", "nav", "menu", "button", "select", "dialog")
 
 SLOT = "#"
 DEEPEST = 60
@@ -153,19 +158,32 @@ class Block:
     linked: int
 
 
-def element_name(tag: str, attributes: str, inside_article: bool) -> str:
-    """The tag with its first class or id; * marks the article's element and ! what is not the article."""
+def own_names(value: str) -> Iterator[str]:
+    """The name parts of a class or id that say what the element is."""
+    for token in value.split():
+        parts = [p.lower() for p in NAME_PART.findall(token)]
+        if len(parts) < 2 or parts[0] not in FIRST_MODIFIERS and parts[-1] not in LAST_MODIFIERS:
+            yield from parts
+
+
+def element_name(tag: str, attributes: str, inside_article: bool, nested: bool = False) -> str:
+    """The tag with its first class or id; * marks the article's element and ! what is not the article, !! if hidden.
+
+    The page, its body and its main part are never marked by their names; an article only if `nested` in another one.
+    """
     if not attributes.strip(" /"):
         mark = "!" if tag in BOILERPLATE or tag == "header" and not inside_article else "*" if tag in ARTICLE else ""
         return tag + mark
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    names = [p.lower() for k in ("class", "id", "role", "itemprop") for p in NAME_PART.findall(found.get(k, ""))]
+    whole = tag in ("html", "body")
+    names = [] if whole or tag in ARTICLE and not nested else [n for k in ("class", "id", "role", "itemprop") for n in own_names(found.get(k, ""))]
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    hidden = hidden and not whole
     bad = tag in BOILERPLATE or hidden or not BOILERPLATE_NAMES.isdisjoint(names)
     bad = bad or not inside_article and (tag == "header" or tag not in ARTICLE and "header" in names)
     good = tag in ARTICLE or found.get("role") == "main" or found.get("itemprop", "").lower() in MAIN_NAMES
     label = re.sub(r"\W+", "-", re.sub(r"\d+", "0", (found.get("class") or found.get("id") or "").split(" ")[0]))[:40]
-    return tag + (f".{label}" if label else "") + ("!" if bad else "*" if good else "")
+    return tag + (f".{label}" if label else "") + ("!!" if hidden else "!" if bad else "*" if good else "")
 
 
 def parsed(html: str | None) -> tuple[Part, list[Block]]:
@@ -234,7 +252,7 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
             while len(stack) > 1 and tag in ENDED_BY.get(stack[-1][0], ()):
                 close(len(stack) - 1)
             if tag not in VOID and len(stack) <= DEEPEST:
-                name = element_name(tag, attributes, articles > 0)
+                name = element_name(tag, attributes, articles > 0, any(t == "article" for t, _ in stack))
                 part = Part(name)
                 stack[-1][1].parts.append(part)
                 stack.append((tag, part))
@@ -245,6 +263,11 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
     return root, blocks
 
 
+def discarded(path: str) -> bool:
+    """Hidden, or in an element that never holds an article."""
+    return "!!" in path or "!" in path and any(x.endswith("!") and x[:-1].split(".")[0] in NEVER_ARTICLE for x in path.split("/"))
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -277,7 +300,7 @@ def streams(pages: DataFrame) -> DataFrame:
                 tree, blocks = parsed(html.as_py())
                 add((host, "stream", json.dumps(tree.packed(), separators=(",", ":"))), 0, 0, 0)
                 for b in blocks:
-                    if "!" not in b.path:
+                    if not discarded(b.path):
                         add((host, "slot", b.path), len(b.text), b.linked, zlib.crc32(b.text.encode("utf-8", "surrogatepass")))
             if len(held) > 50_000:
                 yield out()
@@ -298,15 +321,42 @@ def slots_of(wrapper: Part, path: tuple[str, ...] = ()) -> Iterator[str]:
             yield from slots_of(p, (*path, p.name) if p.name else path)
 
 
+def marked_elements(path: str) -> Iterator[str]:
+    """The paths of the elements marked as no article that `path` leads through."""
+    names = path.split("/")
+    for i, name in enumerate(names, 1):
+        if name.endswith("!"):
+            yield "/".join(names[:i])
+
+
+def dropped(path: str, kept: set[str]) -> bool:
+    return "!" in path and any(e not in kept for e in marked_elements(path))
+
+
+def kept_elements(sizes: dict[str, int]) -> set[str]:
+    """Marked elements that stay, by the lengths of varying text at each path: those with more than half of a host's. Where
+    unmarked text makes up a fifth it is the article, and what is marked, such as many comments, is not."""
+    total = sum(sizes.values())
+    if 5 * sum(n for k, n in sizes.items() if not dropped(k, set())) >= total:
+        return set()
+    inside: dict[str, int] = {}
+    for k, n in sizes.items():
+        for e in marked_elements(k):
+            inside[e] = inside.get(e, 0) + n
+    return {e for e, n in inside.items() if 2 * n > total}
+
+
 def article_slots(wrapper: Part, slots: pd.DataFrame) -> tuple[list[str], list[str]]:
     """The paths that hold the article where its element is marked, and where it is not: in the element with most of the
     text that neither is linked nor the same on all pages."""
     paths = set(slots_of(wrapper))
     own = slots[slots["key"].isin(paths)]
+    fixed = (own["low"] == own["high"]) & (own["n"] > 2)
+    varying = own[~fixed & (2 * own["linked"] <= own["chars"])]
+    kept = kept_elements(dict(zip(varying["key"], varying["chars"], strict=True)))
+    own, varying = (x[x["key"].map(lambda k: not dropped(k, kept)).astype(bool)] for x in (own, varying))
     marked = sorted(k for k in own["key"] if any(x.endswith("*") for x in k.split("/")))
-    rest = own[~own["key"].isin(marked)]
-    fixed = (rest["low"] == rest["high"]) & (rest["n"] > 2)
-    rest = rest[~fixed & (2 * rest["linked"] <= rest["chars"])]
+    rest = varying[~varying["key"].isin(marked)]
     size = {tuple(k.split("/")): c for k, c in zip(rest["key"], rest["chars"], strict=True)}
     inside: tuple[str, ...] = ()
     while size:
