@@ -117,3 +117,13 @@ def test_what_is_marked_stays_out_beside_an_article(spark):
     html = "<body><div hidden>Secret {i}</div><nav>Go {i}</nav><article><p>Story {i} " + "word " * 20 + "</p>{talk}<article class='comment'><p>Yes {i}</p></article></article></body>"
     rows = [(i, f"http://talk.org/{i}", html.replace("{talk}", talk).replace("{i}", str(i)), None, 0) for i in range(4)]
     assert all(r.text == f"Story {r.page_id} " + "word " * 19 + "word" for r in page_texts(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_end_tags_of_deep_elements():
+    deep = "<div>" * 70 + "<p>Deep<nav>Go</nav></p>" + "<div></div>" * 5 + "</div>" * 70
+    _, blocks = parsed(f"<body><article>{deep}<p>After</p></article><p>Outside</p></body>")
+    paths = {b.text: b.path for b in blocks}
+    assert paths["Deep"].startswith("body/article*/div/div") and "!" not in paths["Deep"] and paths["Go"].endswith("/nav!")
+    assert paths["After"] == "body/article*/p" and paths["Outside"] == "body/p"
+    _, blocks = parsed("<div>" * 5000 + "x" + "</p></section>" * 5000 + "</div>" * 5000 + "<p>y")
+    assert [(b.text, b.path.count("/")) for b in blocks] == [("x", 59), ("y", 0)]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -66,6 +67,7 @@ LAST_MODIFIERS = {"open", "opened", "closed", "on", "off", "enabled", "disabled"
 NEVER_ARTICLE = ("head", "title", "nav", "menu", "button", "select", "dialog")
 
 SLOT = "#"
+#: Deeper elements belong to their ancestor's part and path, but for the first that is marked as article or as none.
 DEEPEST = 60
 #: Distinct streams that are aligned in one group; a host with more is aligned in parts, and the parts with each other.
 STREAMS = 2_000
@@ -190,6 +192,7 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
     """A page's folded stream and its blocks of text in page order."""
     root = Part("")
     stack: list[tuple[str, Part]] = [("", root)]
+    still_open: Counter = Counter()
     names: list[str] = []
     blocks: list[Block] = []
     buffer: list[str] = []
@@ -209,9 +212,11 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
         nonlocal articles
         flush()
         while len(stack) > depth:
-            _, part = stack.pop()
-            part.parts = folded(part.parts)
-            articles -= names.pop().endswith("*")
+            tag, part = stack.pop()
+            still_open[tag] -= 1
+            if part is not stack[-1][1]:
+                part.parts = folded(part.parts)
+                articles -= names.pop().endswith("*")
 
     html = html or ""
     at = 0
@@ -242,22 +247,25 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
             elif tag == "br":
                 buffer.append(" ")
         elif ending:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                close(depth)
+            if still_open[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             else:
                 flush()
         else:
             flush()
             while len(stack) > 1 and tag in ENDED_BY.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-            if tag not in VOID and len(stack) <= DEEPEST:
-                name = element_name(tag, attributes, articles > 0, any(t == "article" for t, _ in stack))
-                part = Part(name)
-                stack[-1][1].parts.append(part)
+            if tag not in VOID:
+                name = element_name(tag, attributes, articles > 0, still_open["article"] > 0)
+                marks = name.endswith("*") and not articles or name.endswith("!") and not (names and names[-1].endswith("!"))
+                part = stack[-1][1]
+                if len(names) < DEEPEST or marks and len(names) < DEEPEST + 4:
+                    part = Part(name)
+                    stack[-1][1].parts.append(part)
+                    names.append(name)
+                    articles += name.endswith("*")
                 stack.append((tag, part))
-                names.append(name)
-                articles += name.endswith("*")
+                still_open[tag] += 1
     close(1)
     root.parts = folded(root.parts)
     return root, blocks
