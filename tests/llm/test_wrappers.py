@@ -127,3 +127,13 @@ def test_end_tags_of_deep_elements():
     assert paths["After"] == "body/article*/p" and paths["Outside"] == "body/p"
     _, blocks = parsed("<div>" * 5000 + "x" + "</p></section>" * 5000 + "</div>" * 5000 + "<p>y")
     assert [(b.text, b.path.count("/")) for b in blocks] == [("x", 59), ("y", 0)]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><div><h1>Title</h1><p>Only paragraph</p><h2>Part</h2><blockquote>Quote</blockquote></div><div class='ad'>Ad {i}</div></body>"
+    rows = [(i, f"http://copies.org/{i}", copy.replace("{i}", str(i)), None, 0) for i in range(5)]
+    rows += [(10 + i, f"http://mixed.org/{i}", copy, None, 0) for i in range(4)]
+    rows += [(20 + i, f"http://mixed.org/o{i}", f"<body><div><h1>Head {i}</h1><p>Own text {i}</p></div><p>All rights</p></body>", None, 0) for i in range(4)]
+    for r in page_texts(spark.createDataFrame(rows, SCHEMA)).collect():
+        own = r.page_id - 20
+        assert r.text == ("Title\n\nOnly paragraph\n\nPart\n\nQuote" if own < 0 else f"Head {own}\n\nOwn text {own}")

@@ -75,6 +75,8 @@ STREAMS = 2_000
 PART_PAGES = 2_000
 #: Slot paths of all hosts up to this size are broadcast to the pages; larger ones meet them by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: A text is a template's if it is the same on more distinct pages than this. Copies of a page count once.
+COPIES = 2
 
 
 @dataclass
@@ -281,17 +283,22 @@ def host_of(url):
 
 
 def streams(pages: DataFrame) -> DataFrame:
-    """(host, kind, key, n, chars, linked, low, high): a host's streams with their numbers of pages, and its slots' paths
-    with their texts' numbers, lengths, linked parts, and smallest and greatest hashes. Tasks sum what they have read."""
+    """(host, kind, key, n, chars, linked, low, high, differing): a host's streams with their numbers of pages, and its
+    slots' paths with their texts' numbers, lengths, linked parts, smallest and greatest hashes, and the number of pages
+    with other texts than each other, counted up to `COPIES` + 1 at least. Tasks sum what they have read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str], list[int]] = {}
+        pages_of: dict[tuple[str, str, str], set[int]] = {}
 
-        def add(key: tuple[str, str, str], chars: int, linked: int, code: int) -> None:
+        def add(key: tuple[str, str, str], chars: int, linked: int, code: int, page: int) -> None:
             own = held.get(key)
             if own is None:
                 held[key] = [1, chars, linked, code, code]
+                pages_of[key] = {page}
             else:
+                if len(pages_of[key]) <= COPIES:
+                    pages_of[key].add(page)
                 own[0] += 1
                 own[1] += chars
                 own[2] += linked
@@ -301,22 +308,28 @@ def streams(pages: DataFrame) -> DataFrame:
             texts = zip(*held, strict=True) if held else ([], [], [])
             counts = zip(*held.values(), strict=True) if held else ([], [], [], [], [])
             arrays = [pa.array(x, pa.string()) for x in texts] + [pa.array(x, pa.int64()) for x in counts]
-            return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "key", "n", "chars", "linked", "low", "high"])
+            arrays.append(pa.array([sorted(x) for x in pages_of.values()], pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "key", "n", "chars", "linked", "low", "high", "pages"])
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tree, blocks = parsed(html.as_py())
-                add((host, "stream", json.dumps(tree.packed(), separators=(",", ":"))), 0, 0, 0)
-                for b in blocks:
-                    if not discarded(b.path):
-                        add((host, "slot", b.path), len(b.text), b.linked, zlib.crc32(b.text.encode("utf-8", "surrogatepass")))
+                add((host, "stream", json.dumps(tree.packed(), separators=(",", ":"))), 0, 0, 0, 0)
+                blocks = [b for b in blocks if not discarded(b.path)]
+                codes = [zlib.crc32(b.text.encode("utf-8", "surrogatepass")) for b in blocks]
+                # What is marked as no article, such as an ad, may differ between copies.
+                page = hash(tuple(c for b, c in zip(blocks, codes, strict=True) if "!" not in b.path) or tuple(codes))
+                for b, code in zip(blocks, codes, strict=True):
+                    add((host, "slot", b.path), len(b.text), b.linked, code, page)
             if len(held) > 50_000:
                 yield out()
                 held.clear()
+                pages_of.clear()
         yield out()
 
-    schema = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint"
+    schema = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint, pages array<bigint>"
     sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked")] + [F.min("low").alias("low"), F.max("high").alias("high")]
+    sums.append(F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).cast("bigint").alias("differing"))
     return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema).groupBy("host", "kind", "key").agg(*sums)
 
 
@@ -359,7 +372,7 @@ def article_slots(wrapper: Part, slots: pd.DataFrame) -> tuple[list[str], list[s
     text that neither is linked nor the same on all pages."""
     paths = set(slots_of(wrapper))
     own = slots[slots["key"].isin(paths)]
-    fixed = (own["low"] == own["high"]) & (own["n"] > 2)
+    fixed = (own["low"] == own["high"]) & (own["differing"] > COPIES)
     varying = own[~fixed & (2 * own["linked"] <= own["chars"])]
     kept = kept_elements(dict(zip(varying["key"], varying["chars"], strict=True)))
     own, varying = (x[x["key"].map(lambda k: not dropped(k, kept)).astype(bool)] for x in (own, varying))
@@ -387,7 +400,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     found = settled(streams(pages))  # pages are parsed once for it, though streams and slots are read apart
     parts = F.when(F.col("kind") == "stream", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("host", "kind")) / STREAMS)).otherwise(1)
     own = F.when(F.col("kind") == "stream", F.pmod(F.xxhash64("key"), parts)).otherwise(0).cast("int")
-    kept = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint"
+    kept = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint, differing bigint"
 
     def infer(frame: pd.DataFrame) -> str:
         # The most frequent stream first; the order of alignments is fixed by the streams alone.
@@ -400,7 +413,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def partial(frame: pd.DataFrame) -> pd.DataFrame:
         made = frame.iloc[:1].assign(key=infer(frame), n=frame["n"].sum())
-        return made[["host", "kind", "key", "n", "chars", "linked", "low", "high"]]
+        return made[["host", "kind", "key", "n", "chars", "linked", "low", "high", "differing"]]
 
     def whole(frame: pd.DataFrame) -> pd.DataFrame:
         is_stream = frame["kind"] == "stream"
