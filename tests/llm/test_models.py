@@ -150,3 +150,15 @@ def test_character_model_counts_everything(spark, documents):
     logs = toxicity.corpus_model(documents.select("text"))
     assert np.allclose(np.exp(logs).sum(axis=2), 1.0)
     assert np.abs(np.exp(toxicity.corpus_model(spark.createDataFrame([("zzz",), (None,), ("",)], "text string"))) - np.exp(logs)).max() > 0.1
+
+
+@pytest.mark.parametrize(("token", "word"), [("stuupid", "stupid"), ("idiiot", "idiot"), ("iiddiioott", "idiot"), ("stuupid,", "stupid")])
+def test_doubled_letters(restorer, token, word):
+    assert word in restorer.words(token)
+    assert "letter" in restorer.words("letter")
+
+
+@pytest.mark.parametrize("text", ["i d i o t.", "(i d i o t)", "an \"i d i o t\", he said", "i, d, i, o, t!", "I D 1 O T?!"])
+def test_punctuation_around_spaced_words(restorer, text):
+    _, spaced = toxicity.tokens_of(text)
+    assert [restorer.decode(s, True).split() for s in spaced] == [["idiot"]]

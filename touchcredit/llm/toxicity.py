@@ -43,7 +43,9 @@ FEATURES = 100_000
 PREFIXES = (4, 5, 6, 7)
 LEAST_POSITIVE = 3
 REMEMBERED = 400_000
-TRIPLED = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1")
+#: Punctuation around a token that is no part of it.
+AROUND = "\"'()[]{}<>.,;:?!…«»“”„"
 
 
 def code_table() -> np.ndarray:
@@ -151,7 +153,7 @@ class Restorer:
     def words(self, token: str) -> list[str]:
         """The words of a lower-case token: its plain runs of letters, and what it restores to."""
         bare = token.strip("\"'()[]{}<>.,;:?!…«»“”„-_*#%&~^=/\\|")
-        if bare.isalpha() and not TRIPLED.search(bare):
+        if bare.isalpha() and not REPEATED.search(bare):
             tail = token[token.find(bare) + len(bare) :] if bare else ""
             head = token[: token.find(bare)] if bare else ""
             if not (set(head + tail) & set("!|") and (head or len(tail) == 1 and tail == "|")):
@@ -164,15 +166,17 @@ class Restorer:
 
 
 def tokens_of(text: str | None) -> tuple[set[str], list[str]]:
-    """Distinct lower-case tokens, and runs of at least three single characters with the spaces taken out."""
+    """Distinct lower-case tokens, and runs of at least three single characters with the spaces and the punctuation around
+    them taken out."""
     tokens = text.lower().split() if text else []
     if not tokens:
         return set(), []
-    single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    bare = [t if len(t) == 1 else t.strip(AROUND) for t in tokens]
+    single = np.fromiter(map(len, bare), np.int64, len(bare)) == 1
     if single.sum() < 3:
         return set(tokens), []
     edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-    return set(tokens), ["".join(tokens[a:b]) for a, b in edge.reshape(-1, 2).tolist() if b - a >= 3]
+    return set(tokens), ["".join(bare[a:b]) for a, b in edge.reshape(-1, 2).tolist() if b - a >= 3]
 
 
 def word_features(word: str) -> list[str]:
