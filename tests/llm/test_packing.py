@@ -109,3 +109,16 @@ def test_round_trip(docs, tokenizer):
 
 def test_empty(docs):
     assert pack(docs[1].limit(0)).count() == 0
+
+
+def test_lengths_that_never_fill_a_sequence():
+    n = 500
+    counts = {1034: 6 * n, 532: 6 * n, 522: 6 * n, 487: 12 * n}
+    covered = Counter()
+    for runs, amount in fractional_configurations(counts).items():
+        for x, m in runs:
+            covered[x] += amount * m
+    assert covered == pytest.approx(counts)
+    plan = packed(counts)
+    assert sum(t for _, t in plan) <= 9 * n + 5
+    assert sum(t * m for runs, t in plan for x, m in runs if x == 487) == 12 * n

@@ -34,8 +34,6 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ROUNDS, PASSES = 8, 3
 #: A configuration is used if its price is this near to the best.
 NEAR = 0.998
-#: Tokens that a configuration may leave free.
-SLACK = 0
 #: How strongly a length's price follows what is missing of it.
 RATE = 0.005
 #: Pieces ranked in one group on average.
@@ -170,13 +168,18 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarr
 
 
 def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[Runs, float]:
-    """Configurations with the amounts that cover `counts`, by multiplicative weights."""
+    """Configurations with the amounts that cover `counts`, by multiplicative weights.
+
+    A configuration may leave as much room as the dearest one does: none where lengths fill a sequence exactly. After the
+    given rounds more follow, for all that is missing, until every length is covered.
+    """
     lengths = np.array(sorted(counts), np.int64)
     wanted = np.array([counts[x] for x in lengths], float)
     covered = np.zeros(len(lengths))
     amounts: dict[Runs, float] = defaultdict(float)
-    for _ in range(rounds):
+    for at in range(rounds + len(lengths)):
         missing = np.maximum(0.0, 1.0 - covered / wanted)
+        missing[missing < 1e-9] = 0.0
         if not missing.any():
             break
         # A length's weight falls with what is covered of it, against the average.
@@ -184,7 +187,9 @@ def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY,
         prices = lengths / capacity * np.exp(RATE * (missing - average))
         prices[missing == 0] = 0.0
         best = knapsack(lengths, prices, capacity)
-        room = np.minimum(wanted / rounds * 1.25, wanted - covered)  # of this round
+        slack = capacity - int(np.argmax(best >= best[capacity] * (1 - 1e-12)))
+        room = np.minimum(wanted / rounds * 1.25, wanted - covered) if at < rounds else wanted - covered  # of this round
+        before = covered.sum()
         value = prices + best[capacity - lengths]
         least = NEAR * best[capacity]
         for seed in np.argsort(-value, kind="stable"):
@@ -202,7 +207,7 @@ def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY,
                         break
                     taken[i] = taken.get(i, 0) + 1
                     free -= int(lengths[i])
-                if free > SLACK or sum(prices[i] * m for i, m in taken.items()) < least:
+                if free > slack or sum(prices[i] * m for i, m in taken.items()) < least:
                     break  # too little room is left in this round for a near-optimal configuration with this length
                 step = min(room[i] / m for i, m in taken.items())
                 for i, m in taken.items():
@@ -212,6 +217,8 @@ def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY,
                         room[i] = 0.0
                 key = tuple((int(lengths[i]), taken[i]) for i in sorted(taken, reverse=True))
                 amounts[key] += step
+        if at >= rounds and covered.sum() <= before:
+            break
     return amounts
 
 
