@@ -120,3 +120,17 @@ def with_text_columns(docs: DataFrame, fields: str, make: Callable[[], Callable[
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, *new.names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group, without the group's columns, from batches sorted by their first `keys` columns."""
+    last, rows = None, []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if row[:keys] != last:
+                if rows:
+                    yield rows
+                last, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield rows

@@ -7,16 +7,16 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, topk, warc
+from . import decontam, minhash, phrases, simhash, topk, warc
 from .decontam import contamination_digest
 from .langid import language_predictions
 from .packing import pack
 from .quality import quality_scores
 from .sharding import shard_digest
-from .simhash import near_duplicates
 from .topk import top_k_of_embeddings
 from .toxicity import toxicity_scores
 from .warc import archived_pages
+from .whitening import whitened
 from .wrappers import page_texts
 
 
@@ -61,7 +61,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,7 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_minhash": op11_minhash,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {"op6_topk": topk.SQL, "op7_warc": warc.SQL, "op8_decontamination": decontam.SQL}
+ORACLE: dict[str, str] = {
+    "op6_topk": topk.SQL,
+    "op7_warc": warc.SQL,
+    "op8_decontamination": decontam.SQL,
+    "op11_minhash": minhash.SQL,
+    "op13_phrases": phrases.SQL,
+}
