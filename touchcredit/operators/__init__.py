@@ -19,6 +19,8 @@ from .metrics import (
 )
 from .newness import Known, first_appearances, flag_new, known_customers
 from .reshape import metric_rows, source_breakdown, spine_join
+from .rollups import level_metrics, one_level
+from .windows import by_windows, campaign_windows, in_windows
 
 __all__ = [
     "CleaningRules",
@@ -30,7 +32,9 @@ __all__ = [
     "by_click",
     "by_list",
     "by_window",
+    "by_windows",
     "campaign_metrics",
+    "campaign_windows",
     "clean_orders",
     "clean_stages",
     "confirmed_measures",
@@ -39,10 +43,13 @@ __all__ = [
     "first_appearances",
     "flag_new",
     "in_scope",
+    "in_windows",
     "known_customers",
     "latest_touch",
+    "level_metrics",
     "metric_rows",
     "new_customer_list",
+    "one_level",
     "order_cells",
     "quote_measures",
     "revenue_split_measures",

@@ -107,18 +107,8 @@ def order_cells(orders: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def campaign_metrics(
-    labelled: DataFrame,
-    measures: Sequence[Measure],
-    key: str | None = "recent_open",
-    spine: DataFrame | None = None,
-    orders_col: str | None = None,
-) -> DataFrame:
-    """All ``measures`` per ``key`` (or over all rows) in one pass.
-
-    A row is an order, or a cell whose number of orders is in ``orders_col``. With a ``spine`` the result
-    has exactly its rows in its order, nulls where a campaign has no order.
-    """
+def row_values(measures: Sequence[Measure], orders_col: str | None = None) -> list[Column]:
+    """What each measure takes from the rows of one customer: a sum, or for distinct customers whether any row counts."""
     email, amount = F.col("customer_email"), F.col("billing_amount")
     n = F.lit(1).cast("long") if orders_col is None else F.col(orders_col)
 
@@ -130,20 +120,41 @@ def campaign_metrics(
             return F.sum(amount if m.when is None else F.when(m.when, amount).otherwise(0))
         return F.max(F.lit(1) if m.when is None else F.when(m.when, 1).otherwise(0))
 
-    keys = [] if key is None else [key]
-    by_customer = any(m.kind == "customers" for m in measures)
-    step = labelled.groupBy(*keys, "customer_email") if by_customer else labelled.groupBy(*keys)
-    out = step.agg(*[row_value(m).alias(f"m{i}") for i, m in enumerate(measures)])
-    if by_customer:
-        counted_once = "sum(CASE WHEN customer_email IS NOT NULL THEN m{0} ELSE 0 END) AS m{0}"
-        totals = [
-            (counted_once if m.kind == "customers" else "sum(m{0}) AS m{0}").format(i)
-            for i, m in enumerate(measures)
-        ]
-        out = out.groupBy(*keys).agg(*[F.expr(total) for total in totals])
+    return [row_value(m) for m in measures]
+
+
+def _named(out: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) -> DataFrame:
     named = [
         (f"CAST(m{i} AS DOUBLE)" if m.kind == "revenue" else f"coalesce(m{i}, 0)") + f" AS `{m.name}`"
         for i, m in enumerate(measures)
     ]
-    out = out.selectExpr(*[f"`{k}`" for k in keys], *named)
+    return out.selectExpr(*[f"`{k}`" for k in keys], *named)
+
+
+def total_values(per_customer: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) -> DataFrame:
+    """The measures per ``keys`` from rows of one customer each, with values ``m0, m1, ...``."""
+    counted_once = "sum(CASE WHEN customer_email IS NOT NULL THEN m{0} ELSE 0 END) AS m{0}"
+    totals = [
+        (counted_once if m.kind == "customers" else "sum(m{0}) AS m{0}").format(i) for i, m in enumerate(measures)
+    ]
+    return _named(per_customer.groupBy(*keys).agg(*[F.expr(total) for total in totals]), measures, keys)
+
+
+def campaign_metrics(
+    labelled: DataFrame,
+    measures: Sequence[Measure],
+    key: str | None = "recent_open",
+    spine: DataFrame | None = None,
+    orders_col: str | None = None,
+) -> DataFrame:
+    """All ``measures`` per ``key`` (or over all rows) in one pass.
+
+    A row is an order, or a cell whose number of orders is in ``orders_col``. With a ``spine`` the result
+    has exactly its rows in its order, nulls where a campaign has no order.
+    """
+    keys = [] if key is None else [key]
+    by_customer = any(m.kind == "customers" for m in measures)
+    step = labelled.groupBy(*keys, "customer_email") if by_customer else labelled.groupBy(*keys)
+    out = step.agg(*[v.alias(f"m{i}") for i, v in enumerate(row_values(measures, orders_col))])
+    out = total_values(out, measures, keys) if by_customer else _named(out, measures, keys)
     return out if spine is None else spine_join(out, spine, key)

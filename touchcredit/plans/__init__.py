@@ -5,7 +5,7 @@ from .common import Company, Lines
 from .list_campaign import ListCampaign, list_campaign
 from .report import ReportFolder, write_report
 from .touch_campaign import TouchCampaign, touch_campaign
-from .window_campaign import WindowCampaign, window_campaign
+from .window_campaign import WindowCampaign, WindowCampaigns, window_campaign, window_campaigns
 
 __all__ = [
     "Company",
@@ -14,9 +14,11 @@ __all__ = [
     "ListCampaign",
     "TouchCampaign",
     "WindowCampaign",
+    "WindowCampaigns",
     "cleaning_tables",
     "list_campaign",
     "touch_campaign",
     "window_campaign",
+    "window_campaigns",
     "write_report",
 ]

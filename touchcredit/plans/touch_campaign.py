@@ -15,16 +15,22 @@ from ..operators import (
     flag_new,
     known_customers,
     latest_touch,
+    level_metrics,
     new_customer_list,
+    one_level,
     order_cells,
     quote_measures,
     revenue_split_measures,
+    spine_join,
 )
 from ..operators.attribution import credited, weigh_copies
 from ..sources import campaign_groups
 from .common import CELL, FLAGS, Company, Lines, campaign_spine, line_bundle, promo_bundle
 from .report import Keep, lazily
 
+#: Levels of the metrics with their keys.
+LEVELS = {"campaign": "recent_open", "combined": "combined_email", "total": None}
+
 
 @dataclass(frozen=True)
 class TouchCampaign:
@@ -104,11 +110,21 @@ def touch_campaign(
     people = final
     if kept is complete:
         people = add_combined_name(flag_new(labelled.select(*listed).distinct(), known, campaign_table), campaign_table)
+    # Campaigns, roll-ups and the total come from one pass; a single table that is asked for alone counts its own level.
+    levels = level_metrics(cells, bundle, LEVELS, orders_col="orders")
+    by_level = keep("Metrics by Level", levels)
+    if by_level is levels:
+        metrics = campaign_metrics(cells, bundle, spine=spine, orders_col="orders")
+        combined = campaign_metrics(cells, bundle, key="combined_email", spine=groups, orders_col="orders")
+    else:
+        metrics = spine_join(one_level(by_level, "campaign", "recent_open"), spine)
+        combined = spine_join(one_level(by_level, "combined", "combined_email"), groups, "combined_email")
     tables = {
         "Labelled Complete": kept,
         "Labelled": final,
-        "Metrics": campaign_metrics(cells, bundle, spine=spine, orders_col="orders"),
-        "Metrics Combined": campaign_metrics(cells, bundle, key="combined_email", spine=groups, orders_col="orders"),
+        "Metrics by Level": by_level,
+        "Metrics": metrics,
+        "Metrics Combined": combined,
         "New Customers": new_customer_list(people, source, spec.company.name),
     }
     if not spec.by_line:

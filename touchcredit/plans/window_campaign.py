@@ -1,4 +1,4 @@
-"""One list, one send date: orders of its recipients in the days that follow."""
+"""Lists with send dates: orders of their recipients in the days that follow, for one list or for a whole index."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from ..operators import (
     Known,
     acquired_measures,
     by_list,
+    by_windows,
     campaign_metrics,
+    campaign_windows,
     flag_new,
     known_customers,
     metric_rows,
@@ -24,7 +26,7 @@ from ..operators import (
     unique_measure,
 )
 from ..operators.attribution import in_window
-from .common import CUSTOMER_CELL, FLAGS, Company
+from .common import CUSTOMER_CELL, FLAGS, Company, campaign_spine
 from .report import Keep, lazily
 
 
@@ -61,3 +63,48 @@ def window_campaign(
         "Metric Rows": metric_rows(metrics),
         "New Customers": new_customer_list(kept, F.lit(spec.source), spec.company.name),
     }
+
+
+@dataclass(frozen=True)
+class WindowCampaigns:
+    """``scope_column`` is what the campaigns' scopes are lists of: the line, the priority or any other column."""
+
+    scope_column: str = "lob_type"
+    days: int = C.WINDOW_DAYS
+    company: Company = field(default_factory=Company)
+
+
+def window_campaigns(
+    orders: DataFrame,
+    history: DataFrame | Known,
+    touches: DataFrame,
+    campaign_table: DataFrame,
+    scopes: DataFrame | None,
+    spec: WindowCampaigns,
+    keep: Keep = lazily,
+) -> dict[str, DataFrame]:
+    """:func:`window_campaign` for every campaign of the index in one pass, each with its own send date and scope.
+
+    ``scopes`` has ``campaign, value``; a campaign's send date also decides who is new to it.
+    """
+    if isinstance(history, Known):
+        known = history
+    else:
+        known = known_customers(orders, history, before=campaign_table.agg(F.max("sent_date")).scalar())
+    windows = campaign_windows(campaign_table, spec.days, scopes)
+    inside = by_windows(orders, touches, windows, spec.scope_column, spec.days)
+    labelled = flag_new(inside, known, campaign_table)
+    kept = keep("Labelled", labelled)
+    if kept is labelled:
+        cells = flag_new(order_cells(inside, ["recent_open", *CUSTOMER_CELL]), known, campaign_table)
+        listed = ["recent_open", "customer_email", "email_lob", "lob", "user_name", "institution"]
+        people = flag_new(inside.select(*listed).distinct(), known, campaign_table)
+    else:
+        cells, people = order_cells(kept, ["recent_open", *CUSTOMER_CELL, *FLAGS]), kept
+    short = spec.company.short
+    measures = total_measures() + status_measures(short, None) + acquired_measures(short, None) + unique_measure()
+    return {
+        "Labelled": kept,
+        "Metrics": campaign_metrics(cells, measures, spine=campaign_spine(campaign_table), orders_col="orders"),
+        "New Customers": new_customer_list(people, F.col("recent_open"), spec.company.name),
+    }

@@ -205,6 +205,25 @@ class Given:
     def ship_eligibility(self) -> DataFrame:
         return eligibility(self.ship_index, ORDER_TYPES)
 
+    @cached_property
+    def ship_scopes(self) -> DataFrame:
+        """Lines that two of the shipment campaigns are limited to; the third takes all."""
+        return self.spark.sql(
+            "SELECT * FROM VALUES ('camp_n', 'L2'), ('camp_n', 'L3'), ('camp_r', 'L0'), ('camp_r', 'L4') AS t(campaign, value)"
+        )
+
+    @cached_property
+    def event_campaigns(self) -> DataFrame:
+        """The event campaigns with a send date two days after each other."""
+        return self.spark.sql(
+            """
+            SELECT concat(kind, '-w', week) AS campaign,
+              TIMESTAMP_NTZ'2024-01-01 06:00:00' + make_dt_interval(2 * (5 * k + week)) AS sent_date
+            FROM VALUES ('view', 0), ('click', 1), ('signup', 2) AS t(kind, k)
+            LATERAL VIEW explode(sequence(0, 4)) w AS week
+            """
+        )
+
     @cached_property
     def event_eligibility(self) -> DataFrame:
         """Every event campaign is eligible for purchases."""

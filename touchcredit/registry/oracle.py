@@ -117,6 +117,19 @@ labelled AS (
 )"""
 
 
+MANY = f"""{SALES}, {SHIP},
+win(campaign, start, scope) AS (
+  VALUES ('camp_a', TIMESTAMP '1996-01-01', NULL), ('camp_n', TIMESTAMP '1996-07-01', ['L2','L3']),
+         ('camp_r', TIMESTAMP '1997-01-01', ['L0','L4'])
+),
+labelled AS (
+  SELECT s.*, w.campaign AS recent_open FROM sales s
+  JOIN win w ON s.created_date >= w.start AND s.created_date <= w.start + INTERVAL 31 DAY
+    AND (w.scope IS NULL OR list_contains(w.scope, s.lob_type))
+  WHERE EXISTS (SELECT 1 FROM ship t WHERE t.campaign = w.campaign AND t.recipient = s.customer_email)
+)"""
+
+
 def _flags(cutoff: str, source: str = "labelled") -> str:
     """Newness of every order by looking its keys up among history and earlier orders."""
 
@@ -140,6 +153,7 @@ NO_INDEX = "idx(campaign, combined_name) AS (VALUES ('', ''))"
 FLASH_FLAGGED = f"{FLASH}, {NO_INDEX}, {_flags('''TIMESTAMP '1997-01-01' ''')}"
 TOUCH_FLAGGED = f"{TOUCH}, {_flags('i.sent_date')}"
 PROMO_FLAGGED = f"{PROMO}, {_flags('i.sent_date')}"
+MANY_FLAGGED = f"{MANY}, {_flags('i.sent_date')}"
 REGION_FLAGGED = f"{REGION}, {_flags('''TIMESTAMP '1997-07-01' ''')}"
 
 
@@ -210,6 +224,17 @@ SELECT * FROM spine LEFT JOIN agg USING ({key})"""
 SHIP_NAMES = ["camp_a", "camp_n", "camp_r"]
 
 
+def _levels(ctes: str, columns: list[str]) -> str:
+    """One aggregation for every level."""
+    parts = [("campaign", "recent_open"), ("combined", "combined_email"), ("total", None)]
+    rows = [
+        f"SELECT '{level}' AS level, {key or 'CAST(NULL AS VARCHAR)'} AS key, {', '.join(columns)} FROM flagged"
+        + (f" WHERE {key} IS NOT NULL GROUP BY {key}" if key else "")
+        for level, key in parts
+    ]
+    return f"WITH {ctes} {' UNION ALL '.join(rows)}"
+
+
 def _breakdown() -> str:
     parts = []
     for line in ("L0", "L1", "L2", "L3"):
@@ -300,6 +325,11 @@ SELECT order_id, {', '.join(f"(SELECT max(sent_at) FROM ship WHERE recipient = c
 FROM plain""",
     "window_attribution_lob": _window("lob_type IN ('L2','L3')", "lob"),
     "window_attribution_priority": _window("priority IN ('1-URGENT')", "priority"),
+    "windows_of_index": f"WITH {MANY} SELECT order_id, recent_open, created_date, lob FROM labelled",
+    "windows_of_weeks": f"""WITH {EVENT_TOUCHES},
+win AS (SELECT campaign, TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(2 * pos AS INTEGER)) AS start FROM ep)
+SELECT campaign AS recent_open, count(*) AS orders, round(sum(CAST(value AS DECIMAL(18,4))), 4)::DOUBLE AS revenue
+FROM events JOIN win ON ts >= start AND ts <= start + INTERVAL 3 DAY WHERE event_type = 'purchase' GROUP BY campaign""",
     "latest_touch": f"WITH {PLAIN}, {SHIP}, {_ranked('plain', 'ship', SHIP_PAIRS)} "
     "SELECT order_id, recent_open FROM labelled",
     "latest_touch_events": f"WITH {EVENT_TOUCHES}, {_ranked('eo', 'et', 'ep')} "
@@ -359,6 +389,23 @@ flagged0 AS (""",
     ),
     "regional_orders": f"WITH {REGION_FLAGGED} "
     "SELECT order_id, recent_open, new_to_company, new_to_lob FROM flagged WHERE lob_type IN ('L2','L3')",
+    "regions_orders": f"WITH {MANY_FLAGGED} SELECT order_id, recent_open, new_to_company, new_to_lob FROM flagged",
+    "regions_metrics": _report(
+        MANY_FLAGGED,
+        ['count(customer_email) AS "# of Order"', 'round(sum(billing_amount), 4) AS "Revenue"']
+        + _status(ANY_LINE)
+        + _acquired(ANY_LINE)
+        + UNIQUE,
+        SHIP_NAMES,
+    ),
+    "regions_customers": f"""WITH {MANY_FLAGGED}
+SELECT DISTINCT 'New to Company' AS "New Customer Type", customer_email AS "Customer Email",
+  user_name AS "Customer Name", institution AS "Institution", recent_open AS "Campaign Source",
+  lob AS "First Order LoB"
+FROM flagged WHERE new_to_company = 1
+UNION
+SELECT DISTINCT 'New to ' || lob, customer_email, user_name, institution, recent_open, 'N/A'
+FROM flagged WHERE new_to_lob = 1""",
     "regional_metric_rows": f"""WITH {REGION_FLAGGED},
 one AS (
   SELECT count(customer_email) AS "# of Order", round(sum(billing_amount), 4) AS "Revenue",
@@ -372,6 +419,11 @@ FROM rows""",
     "flash_metrics": _report(FLASH_FLAGGED, BUNDLE, ["click", "view", "newsletter"]),
     "research_metrics": _report(TOUCH_FLAGGED, BUNDLE, SHIP_NAMES),
     "combined_metrics": _report(TOUCH_FLAGGED, BUNDLE, ["ship_an", "ship_r"], key="combined_email"),
+    "metrics_by_level": _levels(TOUCH_FLAGGED, BUNDLE),
+    "promo_by_level": _levels(
+        PROMO_FLAGGED.replace("'ship_an'", "'early'").replace("'ship_r'", "'late'"),
+        CONFIRMED_ALL + _status(ANY_LINE) + _acquired(ANY_LINE) + UNIQUE,
+    ),
     "quote_metrics": _report(TOUCH, _quote(["L0", "L1", "L2", "L3"]), SHIP_NAMES, "labelled"),
     "direct_metrics": _report(TOUCH, _direct(), SHIP_NAMES, "labelled"),
     "status_metrics": _report(TOUCH_FLAGGED, _status(LINE_CASES), SHIP_NAMES),

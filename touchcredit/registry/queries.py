@@ -15,12 +15,15 @@ from ..operators import (
     by_click,
     by_list,
     by_window,
+    by_windows,
     campaign_metrics,
+    campaign_windows,
     clean_orders,
     direct_measures,
     enrich_orders,
     flag_new,
     in_scope,
+    in_windows,
     known_customers,
     latest_touch,
     order_cells,
@@ -36,10 +39,12 @@ from ..plans import (
     ListCampaign,
     TouchCampaign,
     WindowCampaign,
+    WindowCampaigns,
     cleaning_tables,
     list_campaign,
     touch_campaign,
     window_campaign,
+    window_campaigns,
 )
 from ..sources import campaigns
 from . import adapters as A
@@ -165,6 +170,19 @@ def window_attribution_priority(g: Given) -> DataFrame:
     return labelled.select("order_id", "recent_open", "created_date", "priority")
 
 
+def windows_of_index(g: Given) -> DataFrame:
+    """Orders of every list of the index in the 31 days after its own send date, in its own scope."""
+    windows = campaign_windows(g.ship_campaigns, scopes=g.ship_scopes)
+    labelled = by_windows(g.sales, g.touches_ship, windows, "lob_type")
+    return labelled.select("order_id", "recent_open", "created_date", "lob")
+
+
+def windows_of_weeks(g: Given) -> DataFrame:
+    """Purchases in the windows of fifteen campaigns of three days each, whoever made them; windows overlap."""
+    labelled = in_windows(g.event_orders, campaign_windows(g.event_campaigns, days=3), days=3)
+    return labelled.groupBy("recent_open").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("billing_amount").cast("decimal(18,4)")).cast("double").alias("revenue"))
+
+
 def latest_touch_query(g: Given) -> DataFrame:
     labelled = latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility)
     return labelled.select("order_id", "recent_open")
@@ -213,6 +231,12 @@ def regional_report(g: Given) -> dict[str, DataFrame]:
     return window_campaign(g.sales, g.known(start), _window_list(g), spec)
 
 
+def regions_report(g: Given) -> dict[str, DataFrame]:
+    """The regional report for all campaigns of the index."""
+    latest = g.known("1997-01-01 00:00:00")
+    return window_campaigns(g.sales, latest, g.touches_ship, g.ship_campaigns, g.ship_scopes, WindowCampaigns())
+
+
 def _table(report: Callable[[Given], dict[str, DataFrame]], title: str, *columns: str) -> Callable[[Given], DataFrame]:
     """A query that returns one table of a report."""
 
@@ -301,6 +325,8 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "touch_matrix": touch_matrix_query,
     "window_attribution_lob": window_attribution_lob,
     "window_attribution_priority": window_attribution_priority,
+    "windows_of_index": windows_of_index,
+    "windows_of_weeks": windows_of_weeks,
     "latest_touch": latest_touch_query,
     "latest_touch_events": latest_touch_events,
     "latest_touch_complete": latest_touch_complete,
@@ -316,6 +342,8 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "research_metrics": _table(research_report, "Metrics"),
     "research_fanout": research_fanout,
     "combined_metrics": _table(research_report, "Metrics Combined"),
+    "metrics_by_level": _table(research_report, "Metrics by Level"),
+    "promo_by_level": _table(promo_report, "Metrics by Level"),
     "quote_metrics": _metrics_of(lambda: quote_measures(A.QUOTE_LABELS)),
     "direct_metrics": _metrics_of(lambda: direct_measures(A.DIRECT_LABELS)),
     "status_metrics": _columns_of(lambda: status_measures(A.COMPANY, A.NEW_LINE_LABELS)),
@@ -329,6 +357,9 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "regional_metrics": _table(regional_report, "Metrics"),
     "regional_metric_rows": _table(regional_report, "Metric Rows"),
     "regional_orders": _table(regional_report, "Labelled", *FLAGS),
+    "regions_metrics": _table(regions_report, "Metrics"),
+    "regions_orders": _table(regions_report, "Labelled", *FLAGS),
+    "regions_customers": _table(regions_report, "New Customers"),
     "revenue_breakdown": _table(flash_report, "Breakdown"),
     "new_customer_list": _table(research_report, "New Customers"),
 }
