@@ -51,7 +51,7 @@ def world(spark, tmp_path_factory):
     }
     clean = run_clean(spark, {"orders": str(root / "raw"), "company": "Acme"})
     paths = write_report(clean, str(root / "clean"))
-    assert set(paths) == {"Raw", "Cleaned", "Ready", "Rejects"}
+    assert set(paths) == {"Raw", "Cleaned", "Ready", "Rejects", "Audit"}
     settings["orders"] = paths["Ready"]
     return root, settings
 

@@ -3,7 +3,7 @@
 from .amounts import is_foreign, is_zero, parse_amount, round4
 from .predicates import contains_word, matches_any, not_in, not_matching
 from .labels import confirmed, customer_key, line_code, quote_based
-from .times import at, minute_number, parse_time
+from .times import at, minute_number, parse_time, unreadable
 
 __all__ = [
     "at",
@@ -21,4 +21,5 @@ __all__ = [
     "parse_time",
     "quote_based",
     "round4",
+    "unreadable",
 ]

@@ -9,10 +9,19 @@ MONTH_FIRST = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 
 def parse_time(text: Column) -> Column:
-    """ISO text or ``M/d/yyyy`` (with or without leading zeros) to a timestamp without zone; else null."""
-    return F.when(
-        text.rlike(MONTH_FIRST), F.to_timestamp_ntz(text, F.lit("M/d/yyyy"))
-    ).otherwise(text.try_cast("timestamp_ntz"))
+    """ISO text or ``M/d/yyyy`` (with or without leading zeros) to a timestamp without zone; else null.
+
+    No text ends the job: day-first dates and other impossible ones are null as well.
+    """
+    month, day, year = (F.element_at(F.split(text, "/"), i).try_cast("int") for i in (1, 2, 3))
+    zero, second = F.lit(0), F.lit(0).cast("decimal(16,6)")
+    month_first = F.try_make_timestamp_ntz(year, month, day, zero, zero, second)
+    return F.when(text.rlike(MONTH_FIRST), month_first).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def unreadable(text: Column) -> Column:
+    """Text that states a time which :func:`parse_time` cannot read; null and blank text state none."""
+    return text.isNotNull() & (F.trim(text) != "") & parse_time(text).isNull()
 
 
 def at(text: str) -> Column:

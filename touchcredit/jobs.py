@@ -16,6 +16,7 @@ from .operators import CleaningRules, enrich_orders, in_scope
 from .plans import (
     Company,
     ListCampaign,
+    Publication,
     ReportFolder,
     TouchCampaign,
     WindowCampaign,
@@ -26,7 +27,18 @@ from .plans import (
     write_report,
 )
 from .plans.report import Keep, lazily
-from .sources import campaigns, eligibility, read_history, read_index, read_open_list, read_orders, read_touches
+from .sources import (
+    campaigns,
+    eligibility,
+    read_history,
+    read_index,
+    read_open_list,
+    read_orders,
+    read_table,
+    read_touches,
+    scan_orders,
+    tidy_checked,
+)
 
 #: Settings of a session that runs reports; what a cluster sets itself is left alone.
 SESSION = {
@@ -66,7 +78,11 @@ def _history(spark: SparkSession, s: dict) -> DataFrame:
 def run_clean(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
     changes = {"converted_rate": s["rate"]} if "rate" in s else {}
     rules = CleaningRules.for_company(s["company"], **changes) if "company" in s else CleaningRules(**changes)
-    return cleaning_tables(read_orders(spark, s["orders"], s.get("format", "parquet")), rules, keep)
+    if "columns" in s:  # an export with declared columns: rows of the wrong shape are rejects
+        raw = scan_orders(spark, s["orders"], s["columns"])
+    else:
+        raw = tidy_checked(read_table(spark, s["orders"], s.get("format", "parquet")))
+    return cleaning_tables(raw, rules, keep)
 
 
 def run_list(spark: SparkSession, s: dict, keep: Keep = lazily) -> dict[str, DataFrame]:
@@ -107,6 +123,10 @@ def main(argv: list[str] | None = None) -> None:
     with open(args.settings, encoding="utf-8") as f:
         settings = checked(args.report, json.load(f))
     spark = SparkSession.builder.appName(f"touchcredit-{args.report}").config(map=SESSION).getOrCreate()
+    if settings.get("publish"):
+        run = Publication(spark, settings["out"], settings.get("out_format", "parquet"))
+        run.publish(REPORTS[args.report](spark, settings, run.keep))
+        return
     folder = ReportFolder(settings["out"], settings.get("out_format", "parquet"))
     tables = REPORTS[args.report](spark, settings, folder.keep)
     write_report(tables, folder.directory, folder.fmt, folder)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -91,16 +91,80 @@ def remap_lines(df: DataFrame, remapped: Mapping[str, str]) -> DataFrame:
     return df.replace(dict(remapped), subset=["lob_type"]) if remapped else df
 
 
+#: What a checked scan adds (:func:`~touchcredit.sources.scan_orders`).
+BAD_ROW, BAD_TIME = "bad_row", "bad_time"
+#: Fates of an order: the first rule that takes it away, one of three reasons to reject it, or kept.
+DROPS = ("status", "territory", "zero amount", "foreign amount", "internal account")
+REASONS = ("row shape", "unreadable amount", "unreadable time")
+KEPT = "kept"
+#: Fates whose amounts are not added up: they are of another currency, or in a row whose fields cannot be told apart.
+UNCOUNTED = (DROPS[3], REASONS[0])
+
+
+def order_fate(columns: list[str], rules: CleaningRules) -> Column:
+    """The fate of a raw order with these columns, in one expression.
+
+    A row of the wrong shape is judged by nothing else. Reasons to reject come after the rules, so that rejects are
+    orders that would have counted.
+    """
+    text = F.col("billing_amount")
+    fate = F.when(F.col(BAD_ROW).isNotNull(), REASONS[0]) if BAD_ROW in columns else F.when(F.lit(False), REASONS[0])
+    foreign = is_foreign(text, rules.foreign_patterns) if rules.foreign_patterns else F.lit(False)
+    dropped = (~status_rule(rules), ~territory_rule(rules), is_zero(text, rules.zero_amount), foreign, ~internal_rule(rules))
+    for name, when in zip(DROPS, dropped, strict=True):
+        fate = fate.when(F.coalesce(when, F.lit(False)), name)
+    fate = fate.when(parse_amount(text, rules.converted_mark, rules.converted_rate).isNull(), REASONS[1])
+    if BAD_TIME in columns:
+        fate = fate.when(F.col(BAD_TIME).isNotNull(), REASONS[2])
+    return fate.otherwise(KEPT)
+
+
 def clean_stages(raw: DataFrame, rules: CleaningRules) -> dict[str, DataFrame]:
-    """``cleaned`` (before the category remap), ``ready`` (after it) and ``rejects``."""
-    kept = raw.where(status_rule(rules)).where(territory_rule(rules))
-    priced, rejects = clean_amounts(kept, rules)
-    cleaned = priced.where(internal_rule(rules))
-    return {
-        "cleaned": cleaned,
-        "ready": remap_lines(cleaned, rules.remapped_lines),
-        "rejects": rejects.where(internal_rule(rules)),
-    }
+    """``cleaned`` (before the category remap), ``ready`` (after it) and ``rejects`` with a ``reason`` for each.
+
+    Rows of a checked scan that have the wrong shape or a time that cannot be read are rejects as well.
+    """
+    added = [c for c in (BAD_ROW, BAD_TIME) if c in raw.columns]
+    sound = raw
+    for c in added:
+        sound = sound.where(F.col(c).isNull())
+    kept = sound.where(status_rule(rules)).where(territory_rule(rules))
+    cleaned = clean_amounts(kept, rules)[0].where(internal_rule(rules)).drop(*added)
+    rejects = raw.withColumn("reason", order_fate(raw.columns, rules)).where(F.col("reason").isin(*REASONS))
+    return {"cleaned": cleaned, "ready": remap_lines(cleaned, rules.remapped_lines), "rejects": rejects}
+
+
+def fate_totals(raw: DataFrame, rules: CleaningRules) -> DataFrame:
+    """``fate, orders, revenue`` of all raw orders; amounts that cannot be read, foreign ones and those of rows of the wrong
+    shape add nothing."""
+    amount = parse_amount(F.col("billing_amount"), rules.converted_mark, rules.converted_rate)
+    judged = raw.select(order_fate(raw.columns, rules).alias("fate"), amount.alias("amount"))
+    home = F.when(~F.col("fate").isin(*UNCOUNTED), F.col("amount"))
+    return judged.groupBy("fate").agg(F.count(F.lit(1)).alias("orders"), F.coalesce(F.sum(home), F.lit(0)).alias("revenue"))
+
+
+def observed(raw: DataFrame, rules: CleaningRules) -> tuple[DataFrame, Observation]:
+    """The raw orders with their fates counted by whatever reads them next, in its own scan.
+
+    The read must be one stage, as writing the cleaned orders is: a stage that is run again after a lost executor, with
+    a shuffle behind it, would count its rows again. Filters cannot pass below what is counted, so an audited run reads
+    every order.
+    """
+    watch = Observation()
+    amount = parse_amount(F.col("billing_amount"), rules.converted_mark, rules.converted_rate)
+    judged = raw.withColumns({"__fate": order_fate(raw.columns, rules), "__amount": amount})
+    counts = []
+    for i, name in enumerate((*DROPS, *REASONS, KEPT)):
+        own = F.col("__fate") == name
+        counts += [F.count_if(own).alias(f"orders{i}"), F.sum(F.when(own, F.col("__amount"))).alias(f"revenue{i}")]
+    return judged.observe(watch, *counts).drop("__fate", "__amount"), watch
+
+
+def observed_totals(watch: Observation) -> list[tuple]:
+    """(fate, orders, revenue) of all fates that occurred, once the orders were read."""
+    found = watch.get
+    rows = [(name, found[f"orders{i}"], found[f"revenue{i}"]) for i, name in enumerate((*DROPS, *REASONS, KEPT))]
+    return [(name, n, None if name in UNCOUNTED else amount) for name, n, amount in rows if n]
 
 
 def clean_orders(raw: DataFrame, rules: CleaningRules) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from .cleaning import cleaning_tables
 from .common import Company, Lines
 from .list_campaign import ListCampaign, list_campaign
+from .publish import Publication, overwrite_months, published
 from .report import ReportFolder, write_report
 from .touch_campaign import TouchCampaign, touch_campaign
 from .window_campaign import WindowCampaign, WindowCampaigns, window_campaign, window_campaigns
@@ -10,6 +11,7 @@ from .window_campaign import WindowCampaign, WindowCampaigns, window_campaign, w
 __all__ = [
     "Company",
     "Lines",
+    "Publication",
     "ReportFolder",
     "ListCampaign",
     "TouchCampaign",
@@ -17,6 +19,8 @@ __all__ = [
     "WindowCampaigns",
     "cleaning_tables",
     "list_campaign",
+    "overwrite_months",
+    "published",
     "touch_campaign",
     "window_campaign",
     "window_campaigns",

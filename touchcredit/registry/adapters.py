@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import at
 from ..operators import CleaningRules, Known, clean_orders, enrich_orders, first_appearances
 from ..plans import Lines
@@ -104,6 +105,17 @@ class Given:
         )
         return tidy_orders(export)
 
+    @cached_property
+    def export(self) -> DataFrame:
+        """The raw export as text, with its own headers. Times of one key in 17 are words, of one in 19 have the day first;
+        one amount in eleven has words, one in thirteen is missing."""
+        key, day = F.col("order_id"), F.date_format("created_date", "yyyy-MM-dd HH:mm:ss")
+        time = F.when(key % 17 == 0, "next week").when(key % 19 == 0, "30/07/2019").otherwise(day)
+        amount = F.when(key % 11 == 0, F.concat("billing_amount", F.lit(" net"))).otherwise(F.col("billing_amount"))
+        spoiled = self.raw_sales.withColumns({"created_date": time, "billing_amount": F.when(key % 13 != 0, amount)})
+        named = spoiled.withColumnsRenamed({own: header for header, own in C.ORDER_COLUMNS.items()})
+        return named.select(*[F.col(c).cast("string").alias(c) for c in named.columns])
+
     @cached_property
     def cleaned(self) -> DataFrame:
         return clean_orders(self.raw_sales, RULES)[0]

@@ -288,6 +288,35 @@ REGIONAL_NAMES = [
     "NewToLoB_Order", "NewToLoB_Revenue", "NewToCompany", "NewToLoB", "# of unique customers",
 ]
 
+def _export(shape: str = "FALSE") -> str:
+    """The spoiled export with the fate of every order; ``shape`` says which rows have the wrong number of fields."""
+    return f"""{RAW},
+export AS (
+  SELECT * REPLACE (CASE WHEN order_id % 13 <> 0 THEN
+      CASE WHEN order_id % 11 = 0 THEN billing_amount || ' net' ELSE billing_amount END END AS billing_amount),
+    CASE WHEN order_id % 17 = 0 THEN 'next week' WHEN order_id % 19 = 0 THEN '30/07/2019' END AS bad_time
+  FROM raw
+),
+fates AS (
+  SELECT *, CASE WHEN {shape} THEN 'row shape' WHEN NOT {STATUS_OK} THEN 'status' WHEN NOT {TERRITORY_OK} THEN 'territory'
+    WHEN billing_amount = '$0.0000' THEN 'zero amount'
+    WHEN contains(billing_amount, 'JPY.') OR contains(billing_amount, '£') OR contains(billing_amount, '€') THEN 'foreign amount'
+    WHEN contains(institution, 'NATION_24') THEN 'internal account'
+    WHEN billing_amount IS NULL OR contains(billing_amount, ' net') THEN 'unreadable amount'
+    WHEN bad_time IS NOT NULL THEN 'unreadable time' ELSE 'kept' END AS fate,
+    CASE WHEN contains(billing_amount, ' net') THEN NULL
+      WHEN contains(billing_amount, 'AU') THEN round_even(TRY_CAST(substr(billing_amount, 4) AS DOUBLE) * 0.69 * 10000, 0) / 10000
+      ELSE round_even(TRY_CAST(substr(billing_amount, 2) AS DOUBLE) * 10000, 0) / 10000 END AS amount
+  FROM export
+)"""
+
+
+def _audit(shape: str = "FALSE") -> str:
+    known = f"NOT ({shape}) AND fate <> 'foreign amount'"
+    return f"""WITH {_export(shape)} SELECT fate, count(*) AS orders,
+  round(coalesce(sum(CASE WHEN {known} THEN amount END), 0), 4) AS revenue FROM fates GROUP BY fate"""
+
+
 ORACLE: dict[str, str] = {
     "clean_status_rules": f"WITH {RAW} SELECT order_id, lob_type, order_status, quotation_number FROM raw "
     f"WHERE {STATUS_OK}",
@@ -359,6 +388,13 @@ SELECT 'Cleaned' AS stage, lob_type, count(*) AS orders, round(sum(billing_amoun
 FROM priced GROUP BY lob_type
 UNION ALL
 SELECT 'Ready', {REMAP}, count(*), round(sum(billing_amount), 4) FROM priced GROUP BY {REMAP}""",
+    "cleaning_audit": _audit(),
+    "rejects_by_reason": f"""WITH {_export()} SELECT order_id, fate AS reason, billing_amount, bad_time FROM fates
+WHERE fate IN ('unreadable amount', 'unreadable time')""",
+    "export_read_back": _audit("order_id % 23 = 0 OR order_id % 29 = 0"),
+    "one_list_read_back": """SELECT 'mine' AS campaign, printf('customer#%09d', user_id) AS recipient,
+  CAST(CAST(ts AS DATE) AS TIMESTAMP) AS sent_at, count(*) AS listings, count(*) FILTER (value > 250) AS clicks
+FROM events WHERE event_type = 'click' GROUP BY ALL""",
     "flash_all_orders": f"WITH {FLASH} "
     "SELECT order_id, lower(promotion_code) AS promotion_code, confirmed, billing_amount FROM flash",
     "flash_clicked": f"""WITH {FLASH}
@@ -466,3 +502,6 @@ UNION
 SELECT DISTINCT 'New to ' || lob, customer_email, user_name, institution, combined_email, 'N/A'
 FROM flagged WHERE new_to_lob = 1""",
 }
+ORACLE["lists_read_back"] = ORACLE["latest_touch"]
+ORACLE["published_complete"] = ORACLE["latest_touch_complete"]
+ORACLE["published_levels"] = ORACLE["metrics_by_level"]

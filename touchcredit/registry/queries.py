@@ -37,16 +37,28 @@ from ..operators.attribution import weigh_copies
 from ..operators.cleaning import clean_amounts, internal_rule, remap_lines, status_rule, territory_rule
 from ..plans import (
     ListCampaign,
+    Publication,
     TouchCampaign,
     WindowCampaign,
     WindowCampaigns,
     cleaning_tables,
     list_campaign,
+    published,
     touch_campaign,
     window_campaign,
     window_campaigns,
 )
-from ..sources import campaigns
+from ..plans.report import Keep, lazily
+from ..sources import (
+    campaigns,
+    eligibility,
+    read_index,
+    read_open_list,
+    read_touches,
+    scan_orders,
+    tidy_checked,
+    work_folder,
+)
 from . import adapters as A
 from .adapters import Given
 
@@ -210,10 +222,10 @@ def flash_report(g: Given) -> dict[str, DataFrame]:
     return list_campaign(g.sales, g.known(A.FLASH_START), g.touches_lists, names, spec)
 
 
-def research_report(g: Given, keep_fanout: bool = False) -> dict[str, DataFrame]:
+def research_report(g: Given, keep_fanout: bool = False, keep: Keep = lazily) -> dict[str, DataFrame]:
     spec = TouchCampaign.research_areas(keep_fanout=keep_fanout, lines=A.REPORT_LINES)
     latest = g.known("1997-01-01 00:00:00")
-    return touch_campaign(g.current, latest, g.touches_ship, g.ship_campaigns, g.ship_eligibility, spec)
+    return touch_campaign(g.current, latest, g.touches_ship, g.ship_campaigns, g.ship_eligibility, spec, keep)
 
 
 def promo_report(g: Given) -> dict[str, DataFrame]:
@@ -291,6 +303,76 @@ def clean_rejects(g: Given) -> DataFrame:
     return tables["Rejects"].select("order_id", "billing_amount")
 
 
+def cleaning_audit(g: Given) -> DataFrame:
+    """What became of every order of a spoiled export, by the first rule that took it away."""
+    return money(cleaning_tables(tidy_checked(g.export), A.RULES)["Audit"])
+
+
+def rejects_by_reason(g: Given) -> DataFrame:
+    rejects = cleaning_tables(tidy_checked(g.export), A.RULES)["Rejects"]
+    return rejects.select(F.col("order_id").cast("bigint").alias("order_id"), "reason", "billing_amount", "bad_time")
+
+
+def export_read_back(g: Given) -> DataFrame:
+    """The export written as a file whose every 23rd row has lost its last field and every 29th has one too many, read with
+    declared columns: every row is kept, dropped by a rule, or a reject with its reason."""
+    path, columns = work_folder(g.spark, "export"), g.export.columns
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in columns]
+    key = F.col("order_id").cast("bigint")
+    short, whole = F.concat_ws(",", *quoted[:-1]), F.concat_ws(",", *quoted)
+    line = F.when(key % 23 == 0, short).when(key % 29 == 0, F.concat(whole, F.lit(',"x"'))).otherwise(whole)
+    g.export.select(line.alias("value")).write.text(path)
+    rows = scan_orders(g.spark, path, columns, header=False)
+    return money(cleaning_tables(rows, A.RULES)["Audit"])
+
+
+def lists_read_back(g: Given) -> DataFrame:
+    """Credits by an index and open lists that were written as files: one list for each campaign, read by its long name."""
+    path = work_folder(g.spark, "lists")
+    names = g.ship_index.select("short_name", "long_name")
+    sent = g.touches_ship.join(names, F.col("campaign") == F.col("short_name")).select(
+        "long_name", F.upper("recipient").alias("Recipient"),
+        F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("Sent At (your time zone)"),
+    )
+    for long_name in ("Camp A", "Camp N", "Camp R"):
+        sent.where(F.col("long_name") == long_name).drop("long_name").write.option("header", True).csv(f"{path}/lists/{long_name}")
+    slashed = g.ship_index.withColumns(
+        {"long_name": F.replace(F.col("long_name"), F.lit(" "), F.lit("/ ")), "sent_date": F.date_format("sent_date", "M/d/yyyy")}
+    )
+    slashed.coalesce(1).write.option("header", True).csv(f"{path}/index")
+    index = read_index(g.spark, f"{path}/index")
+    touches = read_touches(g.spark, f"{path}/lists", campaigns(index))
+    return latest_touch(g.plain_orders, touches, eligibility(index)).select("order_id", "recent_open")
+
+
+def one_list_read_back(g: Given) -> DataFrame:
+    """Members of one list that was written as a file and read under a given name."""
+    path = work_folder(g.spark, "list")
+    rows = g.touches_lists.where("campaign = 'click'").select(
+        F.upper("recipient").alias("Recipient"), F.date_format("sent_at", "M/d/yyyy").alias("Sent At (your time zone)"),
+        F.col("clicked").alias("Clicked"),
+    )
+    rows.write.option("header", True).csv(path)
+    return read_open_list(g.spark, path, "mine").groupBy("campaign", "recipient", "sent_at").agg(
+        F.count(F.lit(1)).alias("listings"), F.count_if("clicked").alias("clicks")
+    )
+
+
+def _published_research(g: Given) -> dict[str, DataFrame]:
+    """The research report published as a whole and read back."""
+    run = Publication(g.spark, work_folder(g.spark, "report"))
+    run.publish(research_report(g, keep=run.keep))
+    return published(g.spark, run.directory)
+
+
+def published_complete(g: Given) -> DataFrame:
+    return _published_research(g)["Labelled Complete"].select("order_id", "order_type", "recent_open")
+
+
+def published_levels(g: Given) -> DataFrame:
+    return money(_published_research(g)["Metrics by Level"])
+
+
 def clean_report(g: Given) -> DataFrame:
     """Orders and revenue by line in the cleaned and the ready table."""
     tables = cleaning_tables(g.raw_sales, A.RULES)
@@ -335,6 +417,13 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "known_by_history": known_by_history,
     "clean_rejects": clean_rejects,
     "clean_report": clean_report,
+    "cleaning_audit": cleaning_audit,
+    "rejects_by_reason": rejects_by_reason,
+    "export_read_back": export_read_back,
+    "lists_read_back": lists_read_back,
+    "one_list_read_back": one_list_read_back,
+    "published_complete": published_complete,
+    "published_levels": published_levels,
     "flash_metrics": _table(flash_report, "Metrics"),
     "flash_all_orders": _table(flash_report, "All Sources", "order_id", "promotion_code", "confirmed", "billing_amount"),
     "flash_clicked": _table(flash_report, "Open and Click", "order_id", "recent_open", "billing_amount"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions import parse_time
+from ..functions import parse_time, unreadable
 from .headers import normalise_headers
 
 
@@ -37,6 +40,31 @@ def read_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return tidy_orders(read_table(spark, path, fmt))
 
 
+#: What a checked scan adds: the text of a row that has not the declared columns, and of a time that cannot be read.
+BAD_ROW, BAD_TIME = "bad_row", "bad_time"
+
+
+def tidy_checked(df: DataFrame) -> DataFrame:
+    """As :func:`tidy_orders`, with the text of a time that cannot be read kept as ``bad_time``."""
+    named = df.withColumnsRenamed(C.ORDER_COLUMNS)
+    text = F.col("created_date").cast("string")
+    return _as_time(named.withColumn(BAD_TIME, F.when(unreadable(text), text)), "created_date")
+
+
+def scan_orders(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+    """An order export as CSV with declared ``columns``; no row of a spoiled file is lost.
+
+    A row with more or fewer fields than declared is kept whole as ``bad_row``, a time that cannot be read as
+    ``bad_time``; :func:`~touchcredit.operators.cleaning.clean_stages` sends both to the rejects. A file whose header
+    is not the declared one is an error; with ``header=False`` files have none. All fields are parsed even where few are asked for, because a row's shape
+    cannot be judged otherwise.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, BAD_ROW)])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_ROW)
+    reader = reader.option("header", header).option("enforceSchema", not header).option("escape", '"').option("columnPruning", False)
+    return tidy_checked(reader.csv(path))
+
+
 def tidy_history(df: DataFrame) -> DataFrame:
     named = normalise_headers(df).withColumnsRenamed(C.HISTORY_COLUMNS)
     return named.select(
