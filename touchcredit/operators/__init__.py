@@ -2,6 +2,7 @@
 
 from .attribution import by_click, by_list, by_window, latest_touch, touch_matrix
 from .cleaning import CleaningRules, clean_orders, clean_stages
+from .customer_sets import customer_sets, merge_sets, number_customers, set_sizes
 from .enrichment import add_combined_name, add_confirmed, enrich_orders, in_scope
 from .lists import new_customer_list
 from .metrics import (
@@ -38,6 +39,7 @@ __all__ = [
     "clean_orders",
     "clean_stages",
     "confirmed_measures",
+    "customer_sets",
     "direct_measures",
     "enrich_orders",
     "first_appearances",
@@ -47,12 +49,15 @@ __all__ = [
     "known_customers",
     "latest_touch",
     "level_metrics",
+    "merge_sets",
     "metric_rows",
     "new_customer_list",
+    "number_customers",
     "one_level",
     "order_cells",
     "quote_measures",
     "revenue_split_measures",
+    "set_sizes",
     "source_breakdown",
     "spine_join",
     "status_measures",

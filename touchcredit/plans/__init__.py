@@ -2,6 +2,7 @@
 
 from .cleaning import cleaning_tables
 from .common import Company, Lines
+from .known_state import KnownState
 from .list_campaign import ListCampaign, list_campaign
 from .publish import Publication, overwrite_months, published
 from .report import ReportFolder, write_report
@@ -13,6 +14,7 @@ __all__ = [
     "Lines",
     "Publication",
     "ReportFolder",
+    "KnownState",
     "ListCampaign",
     "TouchCampaign",
     "WindowCampaign",

@@ -388,6 +388,18 @@ SELECT 'Cleaned' AS stage, lob_type, count(*) AS orders, round(sum(billing_amoun
 FROM priced GROUP BY lob_type
 UNION ALL
 SELECT 'Ready', {REMAP}, count(*), round(sum(billing_amount), 4) FROM priced GROUP BY {REMAP}""",
+    "customers_by_sets": f"""WITH {TOUCH}, named AS (SELECT l.*, combined_name FROM labelled l JOIN idx ON campaign = recent_open)
+SELECT 'campaign' AS level, recent_open AS key, count(DISTINCT customer_email) AS customers,
+  count(DISTINCT CASE WHEN priority = '1-URGENT' THEN customer_email END) AS urgent FROM named GROUP BY recent_open
+UNION ALL SELECT 'combined', combined_name, count(DISTINCT customer_email),
+  count(DISTINCT CASE WHEN priority = '1-URGENT' THEN customer_email END) FROM named GROUP BY combined_name
+UNION ALL SELECT 'total', NULL, count(DISTINCT customer_email),
+  count(DISTINCT CASE WHEN priority = '1-URGENT' THEN customer_email END) FROM named""",
+    "metrics_in_sql": f"""WITH {FLASH_FLAGGED}
+SELECT recent_open, lob_type, count(*) AS orders, round(sum(billing_amount), 4) AS revenue,
+  round(sum(CASE WHEN confirmed = 'confirmed' THEN billing_amount ELSE 0 END), 4) AS confirmed_revenue,
+  count(DISTINCT customer_email) AS customers, count(DISTINCT CASE WHEN new_to_company = 1 THEN customer_email END) AS new_customers
+FROM flagged GROUP BY recent_open, lob_type""",
     "cleaning_audit": _audit(),
     "rejects_by_reason": f"""WITH {_export()} SELECT order_id, fate AS reason, billing_amount, bad_time FROM fates
 WHERE fate IN ('unreadable amount', 'unreadable time')""",
@@ -505,3 +517,4 @@ FROM flagged WHERE new_to_lob = 1""",
 ORACLE["lists_read_back"] = ORACLE["latest_touch"]
 ORACLE["published_complete"] = ORACLE["latest_touch_complete"]
 ORACLE["published_levels"] = ORACLE["metrics_by_level"]
+ORACLE["known_by_batches"] = ORACLE["known_by_history"]

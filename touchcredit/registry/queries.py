@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import at, contains_word, not_in
+from ..functions import at, contains_word, not_in, register_functions
 from ..operators import (
     acquired_measures,
     add_confirmed,
@@ -19,6 +19,7 @@ from ..operators import (
     campaign_metrics,
     campaign_windows,
     clean_orders,
+    customer_sets,
     direct_measures,
     enrich_orders,
     flag_new,
@@ -26,8 +27,10 @@ from ..operators import (
     in_windows,
     known_customers,
     latest_touch,
+    number_customers,
     order_cells,
     quote_measures,
+    set_sizes,
     status_measures,
     total_measures,
     touch_matrix,
@@ -36,6 +39,7 @@ from ..operators import (
 from ..operators.attribution import weigh_copies
 from ..operators.cleaning import clean_amounts, internal_rule, remap_lines, status_rule, territory_rule
 from ..plans import (
+    KnownState,
     ListCampaign,
     Publication,
     TouchCampaign,
@@ -295,6 +299,57 @@ def known_by_history(g: Given) -> DataFrame:
     return flagged.groupBy("recent_open", "new_to_company", "new_to_lob").agg(F.count(F.lit(1)).alias("orders"))
 
 
+def known_by_batches(g: Given) -> DataFrame:
+    """Newness against a state that took in the historical list and the orders of each year, one of them twice."""
+    state = KnownState(g.spark, work_folder(g.spark, "known"))
+    state.merge("history", history=g.history)
+    for year in ("1996", "1997", "1996"):
+        state.merge(year, g.current.where(F.year("created_date") == int(year)))
+    state.merge("later", g.current.where(F.year("created_date") > 1997))
+    flagged = flag_new(_flash_labelled(g, g.sales), state.known(), cutoff=at(A.FLASH_START))
+    return flagged.groupBy("recent_open", "new_to_company", "new_to_lob").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def customers_by_sets(g: Given) -> DataFrame:
+    """Distinct customers of campaigns, roll-ups and all, and of each with urgent orders, from sets of customers.
+
+    The sets are written; every level is counted from them.
+    """
+    orders = latest_touch(g.current, g.touches_ship, g.ship_eligibility)
+    names = {"customers": None, "urgent": F.col("priority") == "1-URGENT"}
+    path = work_folder(g.spark, "sets")
+    numbers = number_customers(g.current)
+    customer_sets(orders, numbers, ["recent_open"], names).write.parquet(path)
+    sets = g.spark.read.parquet(path)
+    groups = g.ship_campaigns.select(F.col("campaign").alias("recent_open"), "combined_name")
+    levels = {"campaign": sets.withColumn("key", F.col("recent_open")), "total": sets.withColumn("key", F.lit(None).cast("string"))}
+    levels["combined"] = sets.join(groups, "recent_open").withColumnRenamed("combined_name", "key")
+    out = [set_sizes(rows, ["key"], list(names)).select(F.lit(level).alias("level"), "*") for level, rows in levels.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+#: As a user would write it.
+USER_SQL = """
+SELECT l.campaign AS recent_open, s.lob_type, count(*) AS orders, CAST(sum(s.billing_amount) AS DOUBLE) AS revenue,
+  CAST(sum(CASE WHEN s.confirmed = 'confirmed' THEN s.billing_amount ELSE 0 END) AS DOUBLE) AS confirmed_revenue,
+  count(DISTINCT s.customer_email) AS customers,
+  count(DISTINCT CASE WHEN is_new(k.first_order, FALSE, CAST(:start AS TIMESTAMP_NTZ)) = 1 THEN s.customer_email END) AS new_customers
+FROM clean_orders() s
+JOIN (SELECT DISTINCT campaign, recipient FROM given_lists) l ON l.recipient = s.customer_email
+LEFT JOIN known_customers(CAST(:start AS TIMESTAMP_NTZ)) k ON k.customer_email = s.customer_email
+WHERE s.created_date >= CAST(:start AS TIMESTAMP_NTZ) AND contains(lower(s.promotion_code), :word)
+GROUP BY l.campaign, s.lob_type
+"""
+
+
+def metrics_in_sql(g: Given) -> DataFrame:
+    """Metrics of the list campaign in SQL, with the rules as SQL functions and the campaign's values as arguments."""
+    g.raw_sales.createOrReplaceTempView("given_orders")
+    g.touches_lists.createOrReplaceTempView("given_lists")
+    register_functions(g.spark, A.RULES, A.CODES, A.QUOTE_LINES, "given_orders")
+    return g.spark.sql(USER_SQL, args={"start": A.FLASH_START, "word": "flash"})
+
+
 def clean_rejects(g: Given) -> DataFrame:
     """Orders whose amount cannot be read: amounts of one key in eleven are spoiled first."""
     spoiled = F.when(F.col("order_id") % 11 == 0, F.concat("billing_amount", F.lit(" net"))).otherwise(F.col("billing_amount"))
@@ -415,6 +470,9 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "new_to_company": _table(flash_report, "Open Email", *FLAGS),
     "new_to_lob": _table(research_report, "Labelled", *FLAGS),
     "known_by_history": known_by_history,
+    "known_by_batches": known_by_batches,
+    "customers_by_sets": customers_by_sets,
+    "metrics_in_sql": metrics_in_sql,
     "clean_rejects": clean_rejects,
     "clean_report": clean_report,
     "cleaning_audit": cleaning_audit,
