@@ -7,22 +7,25 @@ import pytest
 from tokenizers import Tokenizer
 
 from touchcredit.llm.packing import (
+    GAP,
+    RATES,
     TOKENIZER,
     Encoder,
+    Sequences,
     fractional_configurations,
     knapsack,
     pack,
     packed,
+    rounded,
     sequences,
+    size,
     slot_table,
 )
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(TOKENIZER)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def test_encoder_equals_the_tokenizer(tokenizer):
@@ -42,6 +45,15 @@ def test_knapsack():
     assert best[10] == pytest.approx(11.5) and best[1] == 0 and best[6] == pytest.approx(7.0)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_both_ways_of_the_knapsack_agree(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.choice(np.arange(1, 900), 260, replace=False))
+    prices = lengths / 1000 * rng.uniform(0.8, 1.2, len(lengths)) * (rng.random(len(lengths)) < 0.3)
+    used = prices > 0
+    assert np.allclose(knapsack(lengths, prices, 1000), knapsack(lengths[used], prices[used], 1000))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_exactly_the_pieces(seed):
     rng = random.Random(seed)
@@ -62,7 +74,8 @@ def test_plan_holds_exactly_the_pieces(seed):
 
 def test_configurations_are_near_optimal_and_never_cover_too_much():
     counts = {3: 4000, 5: 2000, 9: 500}
-    amounts = fractional_configurations(counts, 20)
+    amounts, bound = fractional_configurations(counts, 20)
+    assert bound >= sum(x * n for x, n in counts.items()) / 20 - 1e-6
     for x, n in counts.items():
         assert sum(a * m for runs, a in amounts.items() for y, m in runs if y == x) <= n + 1e-6
     assert packed({}, 20) == [] and packed({20: 3}, 20) == [(((20, 1),), 3)]
@@ -115,10 +128,73 @@ def test_lengths_that_never_fill_a_sequence():
     n = 500
     counts = {1034: 6 * n, 532: 6 * n, 522: 6 * n, 487: 12 * n}
     covered = Counter()
-    for runs, amount in fractional_configurations(counts).items():
+    for runs, amount in fractional_configurations(counts)[0].items():
         for x, m in runs:
             covered[x] += amount * m
     assert covered == pytest.approx(counts)
     plan = packed(counts)
     assert sum(t for _, t in plan) <= 9 * n + 5
     assert sum(t * m for runs, t in plan for x, m in runs if x == 487) == 12 * n
+
+
+def plain(counts, capacity):
+    held = Sequences(capacity)
+    held.best_fit(counts)
+    return size(held.plan())
+
+
+@pytest.mark.parametrize(
+    "counts",
+    [{1100: 1000, 500: 1000}, {1030: 1000, 600: 1000}, {1030: 1000, 1010: 1, 683: 1000, 340: 1000}, {1300: 500, 700: 500, 650: 500}],
+)
+def test_histograms_of_few_lengths(counts):
+    """No worse than best fit, and the program alone comes within a hundredth of its own bound."""
+    assert size(packed(counts)) <= plain(counts, 2048)
+    plan, bound = rounded(counts, 2048, *RATES[-1])
+    assert bound - 1e-6 <= size(plan) <= bound * 1.015
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_random_histograms_against_best_fit_and_the_bound(seed):
+    rng = random.Random(seed)
+    capacity = 240
+    counts = {rng.randrange(10, capacity): rng.randrange(50, 900) for _ in range(rng.randrange(2, 7))}
+    plan = packed(counts, capacity)
+    held = Counter()
+    for runs, times in plan:
+        assert sum(x * m for x, m in runs) <= capacity
+        for x, m in runs:
+            held[x] += m * times
+    assert held == counts and size(plan) <= plain(counts, capacity)
+    bound = max(rounded(counts, capacity, *step)[1] for step in RATES)
+    assert size(plan) <= bound * (1 + 2 * GAP) + len(counts)
+
+
+def fewest(pieces, capacity):
+    """By trying all placements of a few pieces, largest first."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in sorted(set(rooms)):
+            if room >= pieces[i]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(i + 1, [*rest, room - pieces[i]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_small_cases_against_the_fewest_sequences(seed):
+    rng = random.Random(100 + seed)
+    pieces = sorted((rng.randrange(3, 20) for _ in range(rng.randrange(2, 11))), reverse=True)
+    found, want = size(packed(dict(Counter(pieces)), 20)), fewest(pieces, 20)
+    assert want <= found <= want + 1

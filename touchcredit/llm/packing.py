@@ -1,11 +1,15 @@
 """Best-fit packing of tokenised documents by a configuration linear program over the histogram of lengths.
 
 A configuration is a multiset of lengths that fits a sequence. The program covers every length's count by as few
-configurations as possible. Multiplicative weights price the lengths: what is covered already gets cheaper. A knapsack
-dynamic program finds the dearest configurations at these prices; near-optimal ones found in the same table are used
-as well. The fractional solution is rounded down to whole sequences, the program is solved again for what is left, and
-the rest is best-fitted into the space of the sequences and into new ones. All this sees lengths only, at most as many as a sequence has tokens, whatever the
-number of documents; the pieces then find their places by their rank among pieces of equal length.
+configurations as possible. Multiplicative weights price the lengths: a length's price falls exponentially with what is
+covered of it. A knapsack dynamic program finds the dearest configurations at these prices; near-optimal ones found in the
+same table are used as well. Any prices give a bound that no packing can pass, the worth of all pieces over the dearest
+configuration. The program is solved with slow prices first, which suits lengths that fill sequences exactly, and with
+faster and faster ones while the result is over a hundredth above the bound. Each fractional solution is rounded down to
+whole sequences, the program is solved again for what is left, and the rest is best-fitted into the room of the sequences
+and into new ones. The plan with the fewest sequences is taken, and plain best fit, largest first, is among the plans. All
+this sees lengths only, at most as many as a sequence has tokens, whatever the number of documents; the pieces then find
+their places by their rank among pieces of equal length.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ from .common import settled
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Rounds of multiplicative weights, each for a like share of every length's count, and how often the program is solved.
-ROUNDS, PASSES = 8, 3
+#: How strongly the logarithm of a length's price follows what is missing of it, and in how many rounds a length can be
+#: covered at the earliest: one after the other while the result is more than GAP above the bound.
+RATES = ((0.005, 8), (1.0, 20), (4.0, 60), (16.0, 200))
+GAP = 0.01
+#: How often the program is solved for what rounding leaves.
+PASSES = 3
 #: A configuration is used if its price is this near to the best.
 NEAR = 0.998
-#: How strongly a length's price follows what is missing of it.
-RATE = 0.005
 #: Pieces ranked in one group on average.
 RANK_ROWS = 20_000
 #: Chunks whose ids a worker remembers, twice over.
@@ -81,7 +87,7 @@ class Encoder:
     """The ids of whole texts by the tokenizer's own splitting and model, chunk by chunk.
 
     The splitting never joins characters across a space that is followed by other than white space, nor across a
-    single line end between two such characters. Special tokens' strings in a text are ordinary text.
+    single line end between two such characters. A special token's string in a text is that token, as the tokenizer has it.
     """
 
     def __init__(self, path: str):
@@ -89,15 +95,24 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.first, self.spaced = ChunkIds(tokenizer), ChunkIds(tokenizer, " ")
+        self.special = {t.content: struct.pack("<I", i) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit numbers, the separator last."""
         end = SEPARATOR.to_bytes(4, "little")
         if not text:
             return end
+        if any(s in text for s in self.special):
+            return b"".join(self.special.get(part) or self.ids(part) for part in self.at_special.split(text)) + end
+        return self.ids(text) + end
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
         flat = text.replace("\n", " ")
         if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":
-            return b"".join(map(self.first.__getitem__, BEFORE_SPACE.split(text))) + end
+            return b"".join(map(self.first.__getitem__, BEFORE_SPACE.split(text)))
         out: list[bytes] = []
         for line in text.split("\n"):
             if out:
@@ -105,7 +120,7 @@ class Encoder:
             head, *rest = line.split(" ")
             out.append(self.first[head])
             out += map(self.spaced.__getitem__, rest)
-        return b"".join(out) + end
+        return b"".join(out)
 
 
 @cache
@@ -158,6 +173,15 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
     """The dearest content of every capacity up to the given one; `lengths` ascend, each may be taken again."""
+    if len(lengths) <= 256:  # one length after the other, all capacities at once
+        best = np.zeros(capacity + 1)
+        for x, price in zip(lengths.tolist(), prices.tolist(), strict=True):
+            if price > 0 and x <= capacity:
+                rows = -(-(capacity + 1) // x)
+                often = np.arange(rows)[:, None] * price
+                table = np.concatenate((best, np.zeros(rows * x - capacity - 1))).reshape(rows, x)
+                best = (np.maximum.accumulate(table - often, axis=0) + often).ravel()[: capacity + 1]
+        return np.maximum.accumulate(best)
     best = np.zeros(capacity + 1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -167,28 +191,35 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarr
     return best
 
 
-def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[Runs, float]:
-    """Configurations with the amounts that cover `counts`, by multiplicative weights.
+def fractional_configurations(
+    counts: dict[int, int], capacity: int = CAPACITY, rate: float = RATES[0][0], rounds: int = RATES[0][1]
+) -> tuple[dict[Runs, float], float]:
+    """Configurations with the amounts that cover `counts`, by multiplicative weights, and the bound of their prices.
 
-    A configuration may leave as much room as the dearest one does: none where lengths fill a sequence exactly. After the
-    given rounds more follow, for all that is missing, until every length is covered.
+    In a round, configurations near the best are used until each of their lengths has got its share of the round, so a
+    length that is dear in no configuration waits while its price rises against the others'. A configuration may leave as
+    much room as the dearest one does: none where lengths fill a sequence exactly.
     """
     lengths = np.array(sorted(counts), np.int64)
     wanted = np.array([counts[x] for x in lengths], float)
+    tokens = wanted * lengths
     covered = np.zeros(len(lengths))
     amounts: dict[Runs, float] = defaultdict(float)
-    for at in range(rounds + len(lengths)):
+    bound = 0.0
+    for at in range(8 * rounds + 2 * len(lengths)):
         missing = np.maximum(0.0, 1.0 - covered / wanted)
         missing[missing < 1e-9] = 0.0
         if not missing.any():
             break
         # A length's weight falls with what is covered of it, against the average.
-        average = float((missing * wanted * lengths).sum() / (wanted * lengths).sum())
-        prices = lengths / capacity * np.exp(RATE * (missing - average))
+        prices = lengths / capacity * np.exp(rate * (missing - float((missing * tokens).sum() / tokens.sum())))
         prices[missing == 0] = 0.0
         best = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(prices @ wanted) / best[capacity])
         slack = capacity - int(np.argmax(best >= best[capacity] * (1 - 1e-12)))
-        room = np.minimum(wanted / rounds * 1.25, wanted - covered) if at < rounds else wanted - covered  # of this round
+        # Towards the end the shares are what is left, so that every length is covered.
+        share = wanted / rounds * 1.25 if at < 4 * rounds else wanted
+        room = np.minimum(share, wanted - covered)
         before = covered.sum()
         value = prices + best[capacity - lengths]
         least = NEAR * best[capacity]
@@ -217,57 +248,90 @@ def fractional_configurations(counts: dict[int, int], capacity: int = CAPACITY,
                         room[i] = 0.0
                 key = tuple((int(lengths[i]), taken[i]) for i in sorted(taken, reverse=True))
                 amounts[key] += step
-        if at >= rounds and covered.sum() <= before:
+        if at >= 4 * rounds and covered.sum() <= before:
             break
-    return amounts
+    return amounts, bound
 
 
-def packed(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Runs, int]]:
-    """Configurations and how many sequences have each; together they hold exactly `counts`."""
-    left = {x: n for x, n in counts.items() if n > 0}
-    if not left:
-        return []
-    open_: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)  # by free space
-    done: list[tuple[dict[int, int], int]] = []
+class Sequences:
+    """Sequences with equal contents as one row, and how many there are of each; open ones are found by their room."""
 
-    def put(runs: dict[int, int], times: int, free: int) -> None:
-        if times:
-            (open_[free] if free else done).append((runs, times))
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.open: dict[int, list[tuple[dict[int, int], int]]] = defaultdict(list)  # by free space
+        self.done: list[tuple[dict[int, int], int]] = []
 
-    for _ in range(PASSES):
+    def put(self, runs: dict[int, int], times: int, free: int) -> None:
+        if times:
+            (self.open[free] if free else self.done).append((runs, times))
+
+    def best_fit(self, counts: dict[int, int]) -> None:
+        """Pieces, largest first, into the sequences with the least room that takes them, and into new ones."""
+        for x in sorted(counts, reverse=True):
+            rest = counts[x]
+            for free in range(x, self.capacity):
+                while rest and self.open.get(free):
+                    runs, times = self.open[free].pop()
+                    each = min(free // x, rest)
+                    use = min(times, rest // each)
+                    self.put(runs, times - use, free)
+                    self.put({**runs, x: runs.get(x, 0) + each}, use, free - each * x)
+                    rest -= use * each
+                if not rest:
+                    break
+            each = self.capacity // x
+            self.put({x: each}, rest // each, self.capacity - each * x)
+            if rest % each:
+                self.put({x: rest % each}, 1, self.capacity - rest % each * x)
+
+    def plan(self) -> list[tuple[Runs, int]]:
+        total: dict[Runs, int] = defaultdict(int)
+        for runs, times in [*self.done, *(row for rows in self.open.values() for row in rows)]:
+            total[tuple(sorted(runs.items(), reverse=True))] += times
+        return sorted(total.items())
+
+
+def rounded(counts: dict[int, int], capacity: int, rate: float, rounds: int) -> tuple[list[tuple[Runs, int]], float]:
+    """The plan from the program at one rate, and the bound of its prices."""
+    left, held, bound = dict(counts), Sequences(capacity), 0.0
+    for at in range(PASSES):
         # Whole sequences of the fractional solution; the program is then solved again for what is left.
-        amounts = fractional_configurations(left, capacity, rounds)
+        amounts, own = fractional_configurations(left, capacity, rate, rounds)
+        bound = own if not at else bound
         for runs, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
             times = min(int(amount + 1e-6), *(left.get(x, 0) // m for x, m in runs))
             if times > 0:
                 for x, m in runs:
                     left[x] -= times * m
-                put(dict(runs), times, capacity - sum(x * m for x, m in runs))
+                held.put(dict(runs), times, capacity - sum(x * m for x, m in runs))
         left = {x: n for x, n in left.items() if n}
         if not left:
             break
-    for x in sorted(left, reverse=True):
-        rest = left[x]
-        for free in range(x, capacity):
-            while rest and open_.get(free):
-                runs, times = open_[free].pop()
-                each = min(free // x, rest)
-                use = min(times, rest // each)
-                put(runs, times - use, free)
-                put({**runs, x: runs.get(x, 0) + each}, use, free - each * x)
-                rest -= use * each
-            if not rest:
-                break
-        each = capacity // x
-        put({x: each}, rest // each, capacity - each * x)
-        if rest % each:
-            put({x: rest % each}, 1, capacity - rest % each * x)
-    for groups in open_.values():
-        done += groups
-    total: dict[Runs, int] = defaultdict(int)
-    for runs, times in done:
-        total[tuple(sorted(runs.items(), reverse=True))] += times
-    return sorted(total.items())
+    held.best_fit(left)
+    return held.plan(), bound
+
+
+def size(plan: list[tuple[Runs, int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def packed(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Runs, int]]:
+    """Configurations and how many sequences have each; together they hold exactly `counts`."""
+    wanted = {x: n for x, n in counts.items() if n > 0}
+    if not wanted:
+        return []
+    bound = -(-sum(x * n for x, n in wanted.items()) // capacity)
+    plans = []
+    for rate, rounds in RATES:
+        plan, own = rounded(wanted, capacity, rate, rounds)
+        plans.append(plan)
+        bound = max(bound, int(np.ceil(own - 1e-6)))
+        if size(plan) <= bound * (1 + GAP):
+            break
+    plain = Sequences(capacity)
+    plain.best_fit(wanted)
+    # The program's plan counts first where both need as many.
+    return min([*plans, plain.plan()], key=size)
 
 
 def slot_table(plan: list[tuple[Runs, int]]) -> dict[int, np.ndarray]:
@@ -302,11 +366,11 @@ def ranked_by_length(pieces: DataFrame, total: int) -> DataFrame:
     )
 
 
-def placed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (doc_id, piece, length, ids_crc32 and whatever else) with sequence_id and offset; an empty table stays
     empty. Which of several pieces of equal length gets which place depends on their values alone."""
     counts = {int(x): int(n) for x, n in pieces.groupBy("length").count().collect()}
-    plan = packed(counts, capacity, rounds)
+    plan = packed(counts, capacity)
     table = pieces.sparkSession.sparkContext.broadcast(slot_table(plan))
     ranked = ranked_by_length(pieces, sum(counts.values()))
     names = [c for c in ranked.columns if c != "rank"]
