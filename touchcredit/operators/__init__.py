@@ -19,6 +19,7 @@ from .metrics import (
     unique_measure,
 )
 from .newness import Known, first_appearances, flag_new, known_customers
+from .prefilter import likely_members
 from .reshape import metric_rows, source_breakdown, spine_join
 from .rollups import level_metrics, one_level
 from .windows import by_windows, campaign_windows, in_windows
@@ -49,6 +50,7 @@ __all__ = [
     "known_customers",
     "latest_touch",
     "level_metrics",
+    "likely_members",
     "merge_sets",
     "metric_rows",
     "new_customer_list",

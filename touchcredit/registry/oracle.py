@@ -518,3 +518,4 @@ ORACLE["lists_read_back"] = ORACLE["latest_touch"]
 ORACLE["published_complete"] = ORACLE["latest_touch_complete"]
 ORACLE["published_levels"] = ORACLE["metrics_by_level"]
 ORACLE["known_by_batches"] = ORACLE["known_by_history"]
+ORACLE["list_attribution_prefiltered"] = ORACLE["list_attribution"]

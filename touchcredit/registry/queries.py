@@ -27,6 +27,7 @@ from ..operators import (
     in_windows,
     known_customers,
     latest_touch,
+    likely_members,
     number_customers,
     order_cells,
     quote_measures,
@@ -150,6 +151,12 @@ def list_attribution(g: Given) -> DataFrame:
     return money(_flash_labelled(g, g.sales).select("order_id", "recent_open", "confirmed", "billing_amount"))
 
 
+def list_attribution_prefiltered(g: Given) -> DataFrame:
+    """As list_attribution, with a filter of the recipients before the shuffle of the orders."""
+    labelled = by_list(likely_members(_flash_orders(g.sales), g.touches_lists), g.touches_lists)
+    return money(labelled.select("order_id", "recent_open", "confirmed", "billing_amount"))
+
+
 def list_attribution_fanout(g: Given) -> DataFrame:
     """Duplicate list entries kept as weights: orders and revenue as if every copy were a row."""
     cells = order_cells(_flash_orders(g.sales), ["customer_email"])
@@ -457,6 +464,7 @@ _ON_GIVEN: dict[str, Callable[[Given], DataFrame]] = {
     "scope_filter": scope_filter,
     "eligibility_unpivot": eligibility_unpivot,
     "list_attribution": list_attribution,
+    "list_attribution_prefiltered": list_attribution_prefiltered,
     "list_attribution_fanout": list_attribution_fanout,
     "click_attribution": click_attribution,
     "touch_matrix": touch_matrix_query,
