@@ -57,3 +57,20 @@ def test_digest_of_odd_rows(spark, rows):
     assert len(got) == rows and all(r.law == "rows" and r.grown_shard is None for r in got)
     assert sorted(r.size for r in got) == sorted(len((t or "").encode()) + 1 for _, t in texts)
     assert max(Counter(r.shard for r in got).values(), default=1) == 1
+
+
+def test_matrix_as_a_tree(spark, monkeypatch):
+    """Counts of a group's buckets are drawn from the group's: sizes stay exact, places uniform."""
+    import touchcredit.llm.sharding as sharding
+
+    monkeypatch.setattr(sharding, "GROUP", 3)
+    df = spark.range(1003).selectExpr("id")
+    rows = shuffle_into_shards(df, 16, bucket_rows=50).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert [sizes[s] for s in range(16)] == even_sizes(1003, 16)
+    assert {(r.shard, r.slot) for r in rows} == {(s, k) for s, n in sizes.items() for k in range(n)}
+    assert sorted(rows) == sorted(shuffle_into_shards(df.repartition(5), 16, bucket_rows=50).collect())
+    shards = Counter()
+    for seed in range(10):
+        shards.update((r.id % 2, r.shard) for r in shuffle_into_shards(spark.range(40).selectExpr("id"), 4, seed, bucket_rows=5).collect())
+    assert all(25 < n < 75 for n in shards.values())

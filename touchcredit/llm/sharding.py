@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows a source bucket, or a part of a shard, holds on average.
 BUCKET_ROWS = 20_000
+#: Buckets whose counts are drawn in one task, from those of their group; the groups' are drawn on the driver.
+GROUP = 1024
 #: numpy draws hypergeometric numbers below this many items.
 NUMPY_ITEMS = 10**9
 
@@ -37,7 +40,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return first + int(np.searchsorted(mass, rng.random() * mass[-1], side="right"))
 
 
-def communication_matrix(counts: list[int], targets: list[int], seed: int) -> np.ndarray:
+def communication_matrix(counts: list[int], targets: list[int], seed: int | list[int]) -> np.ndarray:
     """Rows of each bucket that go to each shard: row sums are `counts`, column sums `targets`."""
     rng = np.random.Generator(np.random.PCG64(seed))
     left = list(targets)
@@ -61,7 +64,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 16, seed: int = 17, bucke
 
     Places depend on the rows' values and the seed alone, so a task that is run again gives the same. Equal rows are
     interchangeable; they share a bucket. Columns of the input named shard or slot are replaced; nulls are values
-    like any other. The driver holds one row of counts for each bucket of `bucket_rows` rows.
+    like any other. The communication matrix is drawn as a tree: on the driver for groups of GROUP buckets, a row of counts
+    for each twenty million rows, and in tasks for the buckets of a group, from the group's own counts for every shard.
     """
     rows = rows.drop("shard", "slot")
     names = rows.columns
@@ -69,11 +73,19 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 16, seed: int = 17, bucke
     total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
     own = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int"))
-    counts = dict(own.groupBy("__bucket").count().collect())
-    matrix = communication_matrix([counts.get(b, 0) for b in range(buckets)], even_sizes(total, shards), seed)
-    ends = rows.sparkSession.createDataFrame(
-        [(b, line) for b, line in enumerate(np.cumsum(matrix, axis=1).tolist())], "__bucket int, __ends array<bigint>"
+    counts = own.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / GROUP).cast("int"))
+    groups = sorted((r["__group"], r["n"]) for r in counts.groupBy("__group").agg(F.sum("__n").alias("n")).collect())
+    matrix = communication_matrix([n for _, n in groups], even_sizes(total, shards), seed)
+    of_group = rows.sparkSession.createDataFrame(
+        [(g, line) for (g, _), line in zip(groups, matrix.tolist(), strict=True)], "__group int, __to array<bigint>"
     )
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__bucket")
+        own = communication_matrix(frame["__n"].tolist(), list(frame["__to"].iloc[0]), [seed, int(frame["__group"].iloc[0])])
+        return pd.DataFrame({"__bucket": frame["__bucket"], "__ends": np.cumsum(own, axis=1).tolist()})
+
+    ends = counts.join(of_group, "__group").groupBy("__group").applyInPandas(draw, "__bucket int, __ends array<bigint>")
     first = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), key)
     dealt = (
         own.withColumn("__at", F.row_number().over(first) - 1)
