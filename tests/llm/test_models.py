@@ -162,3 +162,52 @@ def test_doubled_letters(restorer, token, word):
 def test_punctuation_around_spaced_words(restorer, text):
     _, spaced = toxicity.tokens_of(text)
     assert [restorer.decode(s, True).split() for s in spaced] == [["idiot"]]
+
+
+def all_paths(restorer, token, spaced):
+    """(score, text) of every way through a token's lattice."""
+    runs, at = [], 0
+    while at < len(token):
+        n = 1
+        while at + n < len(token) and token[at + n] == token[at] and not spaced:
+            n += 1
+        runs.append((token[at], n))
+        at += n
+    paths = [(0.0, toxicity.BOUNDARY, toxicity.BOUNDARY, "")]
+    for place, (c, n) in enumerate(runs):
+        further = []
+        for score, a, b, text in paths:
+            for letters, cost in restorer.options(c, n):
+                p, x, y = score + cost, a, b
+                for letter in letters:
+                    code = toxicity.CODES.get(letter, toxicity.OTHER if letter != " " else toxicity.BOUNDARY)
+                    p, x, y = p + restorer.logs[x][y][code], y, code
+                further.append((p, x, y, text + letters))
+                if spaced and place + 1 < len(runs):
+                    further.append((p + toxicity.BREAK + restorer.logs[x][y][toxicity.BOUNDARY], y, toxicity.BOUNDARY, text + letters + " "))
+        paths = further
+    return [(p + restorer.logs[a][b][toxicity.BOUNDARY], text) for p, a, b, text in paths]
+
+
+@pytest.mark.parametrize("token", ["1d10t", "st*p1d", "m00r0n", "$tuup!", "a-b--c", "i11", "w0rr$e", "xx@@yy", "é3ß", "!!", "0"])
+@pytest.mark.parametrize("spaced", [False, True])
+def test_decoding_is_the_best_of_all_paths(restorer, token, spaced):
+    paths = all_paths(restorer, token, spaced)
+    text = restorer.decode(token, spaced)
+    best = max(p for p, _ in paths)
+    assert max(p for p, t in paths if t == text) == pytest.approx(best, abs=1e-9) and len(paths) >= 1
+
+
+def test_very_long_tokens_take_time_by_their_length(restorer):
+    import time
+
+    rng = random.Random(8)
+    token = "".join(rng.choice("abc1030$t") for _ in range(200_000))
+
+    def seconds(n):
+        start = time.process_time()
+        assert restorer.decode(token[:n])
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 14 * seconds(20_000) + 0.5

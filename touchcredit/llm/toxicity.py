@@ -107,7 +107,8 @@ class Restorer:
 
     def decode(self, token: str, spaced: bool = False) -> str:
         """The likeliest text behind a lower-case token; `spaced`: single characters with spaces taken out between them."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(BOUNDARY, BOUNDARY): (0.0, "")}
+        # A state knows its last letters and the state before it, so a long token's text is put together once.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
         at = 0
         while at < len(token):
             c, n = token[at], 1
@@ -116,7 +117,12 @@ class Restorer:
             at += n
             states = self.step(states, self.options(c, n), spaced and at < len(token))
         logs = self.logs
-        return max((score + logs[a][b][BOUNDARY], text) for (a, b), (score, text) in states.items())[1]
+        _, _, last = max((score + logs[a][b][BOUNDARY], (a, b), last) for (a, b), (score, last) in states.items())
+        letters: list[str] = []
+        while last is not None:
+            last, own = last
+            letters.append(own)
+        return "".join(reversed(letters))
 
     @staticmethod
     def options(c: str, n: int) -> list[tuple[str, float]]:
@@ -134,18 +140,18 @@ class Restorer:
 
     def step(self, states, options, may_break: bool):
         logs, after = self.logs, {}
-        for (a, b), (score, text) in states.items():
+        for (a, b), (score, last) in states.items():
             for letters, cost in options:
                 p, x, y = score + cost, a, b
                 for letter in letters:
                     code = CODES.get(letter, OTHER if letter != " " else BOUNDARY)
                     p, x, y = p + logs[x][y][code], y, code
-                ways = [(p, x, y, text + letters)]
+                ways = [(p, x, y, letters)]
                 if may_break:
-                    ways.append((p + BREAK + logs[x][y][BOUNDARY], y, BOUNDARY, text + letters + " "))
-                for p, x, y, t in ways:
+                    ways.append((p + BREAK + logs[x][y][BOUNDARY], y, BOUNDARY, letters + " "))
+                for p, x, y, own in ways:
                     if (x, y) not in after or p > after[x, y][0]:
-                        after[x, y] = (p, t)
+                        after[x, y] = (p, (last, own))
         if len(after) > BEAM:
             after = dict(sorted(after.items(), key=lambda s: -s[1][0])[:BEAM])
         return after
