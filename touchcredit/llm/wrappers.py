@@ -3,14 +3,17 @@
 A page is a stream of block tags and text slots. Inside a page, neighbouring parts of one shape are folded into a
 repeated group. The streams of a host are aligned one after the other with the wrapper so far: what matches is kept, a
 part that only one side has becomes an optional group, parts that repeat become a repeated group, and texts become
-slots. The slots of a wrapper that hold the article are then read from every page of the host.
+slots. What the texts of an aligned position have in common decides about it: a position with one text on all pages is the
+template's, and of the others those in the article's element hold the article. Every stream is told which of its slots
+those are, and they are read from every page.
 
 Equal streams are counted before they are aligned, so a host's wrapper costs as many alignments as the host has shapes
-of pages, not pages.
+of pages, not pages. Streams of a large host are aligned in parts, and the parts' wrappers with each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -22,7 +25,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -71,9 +74,7 @@ SLOT = "#"
 DEEPEST = 60
 #: Distinct streams that are aligned in one group; a host with more is aligned in parts, and the parts with each other.
 STREAMS = 2_000
-#: Pages of a large host that are read in one part.
-PART_PAGES = 2_000
-#: Slot paths of all hosts up to this size are broadcast to the pages; larger ones meet them by a shuffle.
+#: The streams' slots of all hosts up to this size are broadcast to the pages; larger tables meet them by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: A text is a template's if it is the same on more distinct pages than this. Copies of a page count once.
 COPIES = 2
@@ -81,11 +82,15 @@ COPIES = 2
 
 @dataclass
 class Part:
-    """A slot, an element or a group of parts (no name), and how often it occurs: "", "?", "+" or "*"."""
+    """A slot, an element or a group of parts (no name), and how often it occurs: "", "?", "+" or "*".
+
+    A slot knows whose texts it stands for: a page's blocks by number, or the slots that were aligned to it.
+    """
 
     name: str
     often: str = ""
     parts: list[Part] = field(default_factory=list)
+    texts: list = field(default_factory=list)
 
     def packed(self) -> list:
         return [self.name, self.often, [p.packed() for p in self.parts]]
@@ -104,11 +109,11 @@ class Part:
 
 
 def optional(p: Part) -> Part:
-    return Part(p.name, {"": "?", "+": "*"}.get(p.often, p.often), p.parts)
+    return Part(p.name, {"": "?", "+": "*"}.get(p.often, p.often), p.parts, p.texts)
 
 
 def repeated(p: Part) -> Part:
-    return Part(p.name, {"": "+", "?": "*"}.get(p.often, p.often), p.parts)
+    return Part(p.name, {"": "+", "?": "*"}.get(p.often, p.often), p.parts, p.texts)
 
 
 def merged(a: Part, b: Part) -> Part:
@@ -117,7 +122,7 @@ def merged(a: Part, b: Part) -> Part:
     often = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[
         "?" in marks or "*" in marks, "+" in marks or "*" in marks
     ]
-    return Part(a.name, often, aligned(a.parts, b.parts))
+    return Part(a.name, often, aligned(a.parts, b.parts), a.texts + b.texts)
 
 
 def aligned(xs: list[Part], ys: list[Part]) -> list[Part]:
@@ -207,7 +212,7 @@ def parsed(html: str | None) -> tuple[Part, list[Block]]:
             buffer.clear()
             if text:
                 blocks.append(Block("/".join(names), text, min(linked, len(text))))
-                stack[-1][1].parts.append(Part(SLOT))
+                stack[-1][1].parts.append(Part(SLOT, texts=[len(blocks) - 1]))
             linked = 0
 
     def close(depth: int) -> None:
@@ -282,16 +287,34 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def slots_of(tree: Part, path: tuple[str, ...] = ()) -> Iterator[tuple[str, Part]]:
+    """A tree's slots with their paths, in order."""
+    for p in tree.parts:
+        if p.name == SLOT:
+            yield "/".join(path), p
+        else:
+            yield from slots_of(p, (*path, p.name) if p.name else path)
+
+
+def stream_of(tree: Part) -> tuple[str, str]:
+    """A page's stream and the short name that it goes by."""
+    stream = json.dumps(tree.packed(), separators=(",", ":"))
+    return stream, hashlib.blake2b(stream.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+COUNTS = ["n", "chars", "linked", "low", "high", "differing"]
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """(host, kind, key, n, chars, linked, low, high, differing): a host's streams with their numbers of pages, and its
-    slots' paths with their texts' numbers, lengths, linked parts, smallest and greatest hashes, and the number of pages
-    with other texts than each other, counted up to `COPIES` + 1 at least. Tasks sum what they have read."""
+    """(host, kind, name, slot, stream, n, chars, linked, low, high, differing): a host's streams with their numbers of pages,
+    and their slots by number with their texts' numbers, lengths, linked parts, smallest and greatest hashes, and the
+    number of pages with other texts than each other, counted up to `COPIES` + 1 at least. Tasks sum what they have read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, str], list[int]] = {}
-        pages_of: dict[tuple[str, str, str], set[int]] = {}
+        held: dict[tuple, list[int]] = {}
+        pages_of: dict[tuple, set[int]] = {}
 
-        def add(key: tuple[str, str, str], chars: int, linked: int, code: int, page: int) -> None:
+        def add(key: tuple, chars: int, linked: int, code: int, page: int) -> None:
             own = held.get(key)
             if own is None:
                 held[key] = [1, chars, linked, code, code]
@@ -305,41 +328,35 @@ def streams(pages: DataFrame) -> DataFrame:
                 own[3], own[4] = min(own[3], code), max(own[4], code)
 
         def out() -> pa.RecordBatch:
-            texts = zip(*held, strict=True) if held else ([], [], [])
-            counts = zip(*held.values(), strict=True) if held else ([], [], [], [], [])
-            arrays = [pa.array(x, pa.string()) for x in texts] + [pa.array(x, pa.int64()) for x in counts]
+            host, kind, name, slot, stream = zip(*held, strict=True) if held else ([],) * 5
+            counts = zip(*held.values(), strict=True) if held else ([],) * 5
+            arrays = [*(pa.array(x, pa.string()) for x in (host, kind, name)), pa.array(slot, pa.int32()), pa.array(stream, pa.string())]
+            arrays += [pa.array(x, pa.int64()) for x in counts]
             arrays.append(pa.array([sorted(x) for x in pages_of.values()], pa.list_(pa.int64())))
-            return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "key", "n", "chars", "linked", "low", "high", "pages"])
+            return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "name", "slot", "stream", *COUNTS[:5], "pages"])
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tree, blocks = parsed(html.as_py())
-                add((host, "stream", json.dumps(tree.packed(), separators=(",", ":"))), 0, 0, 0, 0)
-                blocks = [b for b in blocks if not discarded(b.path)]
-                codes = [zlib.crc32(b.text.encode("utf-8", "surrogatepass")) for b in blocks]
+                stream, name = stream_of(tree)
+                add((host, "stream", name, -1, stream), 0, 0, 0, 0)
+                own = [(k, path, [blocks[i] for i in slot.texts]) for k, (path, slot) in enumerate(slots_of(tree)) if not discarded(path)]
+                codes = [zlib.crc32("\n".join(b.text for b in found).encode("utf-8", "surrogatepass")) for _, _, found in own]
                 # What is marked as no article, such as an ad, may differ between copies.
-                page = hash(tuple(c for b, c in zip(blocks, codes, strict=True) if "!" not in b.path) or tuple(codes))
-                for b, code in zip(blocks, codes, strict=True):
-                    add((host, "slot", b.path), len(b.text), b.linked, code, page)
+                page = hash(tuple(c for (_, path, _), c in zip(own, codes, strict=True) if "!" not in path) or tuple(codes))
+                for (k, _, found), code in zip(own, codes, strict=True):
+                    add((host, "slot", name, k, None), sum(len(b.text) for b in found), sum(b.linked for b in found), code, page)
             if len(held) > 50_000:
                 yield out()
                 held.clear()
                 pages_of.clear()
         yield out()
 
-    schema = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint, pages array<bigint>"
+    schema = "host string, kind string, name string, slot int, stream string, n bigint, chars bigint, linked bigint, low bigint, high bigint, pages array<bigint>"
     sums = [F.sum(c).alias(c) for c in ("n", "chars", "linked")] + [F.min("low").alias("low"), F.max("high").alias("high")]
     sums.append(F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).cast("bigint").alias("differing"))
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema).groupBy("host", "kind", "key").agg(*sums)
-
-
-def slots_of(wrapper: Part, path: tuple[str, ...] = ()) -> Iterator[str]:
-    """The paths of a wrapper's slots."""
-    for p in wrapper.parts:
-        if p.name == SLOT:
-            yield "/".join(path)
-        else:
-            yield from slots_of(p, (*path, p.name) if p.name else path)
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema)
+    return rows.groupBy("host", "kind", "name", "slot", "stream").agg(*sums)
 
 
 def marked_elements(path: str) -> Iterator[str]:
@@ -367,18 +384,32 @@ def kept_elements(sizes: dict[str, int]) -> set[str]:
     return {e for e, n in inside.items() if 2 * n > total}
 
 
-def article_slots(wrapper: Part, slots: pd.DataFrame) -> tuple[list[str], list[str]]:
-    """The paths that hold the article where its element is marked, and where it is not: in the element with most of the
-    text that neither is linked nor the same on all pages."""
-    paths = set(slots_of(wrapper))
-    own = slots[slots["key"].isin(paths)]
-    fixed = (own["low"] == own["high"]) & (own["differing"] > COPIES)
-    varying = own[~fixed & (2 * own["linked"] <= own["chars"])]
-    kept = kept_elements(dict(zip(varying["key"], varying["chars"], strict=True)))
-    own, varying = (x[x["key"].map(lambda k: not dropped(k, kept)).astype(bool)] for x in (own, varying))
-    marked = sorted(k for k in own["key"] if any(x.endswith("*") for x in k.split("/")))
-    rest = varying[~varying["key"].isin(marked)]
-    size = {tuple(k.split("/")): c for k, c in zip(rest["key"], rest["chars"], strict=True)}
+def article_slots(wrapper: Part, counts: dict) -> tuple[list, list]:
+    """What stands behind the slots that hold the article where its element is marked, and where it is not: in the element
+    with most of the text that neither is linked nor the same on all pages.
+
+    `counts` has the COUNTS of what stands behind the wrapper's slots; they are put together by aligned position. A
+    position with one text on all of more than COPIES different pages is the template's, inside a marked article as well.
+    """
+    positions = []
+    for path, slot in slots_of(wrapper):
+        known = [counts[x] for x in slot.texts if x in counts]
+        if known:
+            n, chars, linked, low, high, differing = zip(*known, strict=True)
+            fixed = min(low) == max(high) and sum(differing) > COPIES
+            positions.append((path, slot.texts, sum(chars), fixed, not fixed and 2 * sum(linked) <= sum(chars)))
+
+    sizes: dict[str, int] = {}
+    for path, _, chars, _, varying in positions:
+        if varying:
+            sizes[path] = sizes.get(path, 0) + chars
+    kept = kept_elements(sizes)
+    positions = [p for p in positions if not dropped(p[0], kept)]
+    marked = [p for p in positions if any(x.endswith("*") for x in p[0].split("/"))]
+    rest = [p for p in positions if p[4] and p not in marked]
+    size: dict[tuple[str, ...], int] = {}
+    for path, _, chars, _, _ in rest:
+        size[tuple(path.split("/"))] = size.get(tuple(path.split("/")), 0) + chars
     inside: tuple[str, ...] = ()
     while size:
         below: dict[str, int] = {}
@@ -389,58 +420,102 @@ def article_slots(wrapper: Part, slots: pd.DataFrame) -> tuple[list[str], list[s
         if name is None or below[name] < 0.6 * sum(size.values()):
             break
         inside = (*inside, name)
-    return marked, sorted("/".join(k) for k in size if k[: len(inside)] == inside)
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, wrapper, article, plain): each host's expression and the slot paths that hold its articles.
+    article = [x for _, texts, _, fixed, _ in marked if not fixed for x in texts]
+    plain = [x for path, texts, _, _, _ in rest if tuple(path.split("/"))[: len(inside)] == inside for x in texts]
+    return article, plain
+
+
+def aligned_streams(frame: pd.DataFrame, trees: list[Part]) -> Part:
+    """One wrapper of trees in the frame's order: the most frequent first, so that the streams alone fix the order."""
+    order = frame.sort_values(["n", "name"], ascending=[False, True]).index
+    wrapper = trees[order[0]]
+    for i in order[1:]:
+        wrapper = Part("", "", aligned(wrapper.parts, trees[i].parts))
+    return wrapper
+
+
+#: A partial wrapper, its slots' counts, and which stream's slot became which of them; a whole wrapper, and the slots to read.
+PARTIAL = "host string, kind string, name string, slot int, own int, stream string, place int, " + ", ".join(f"{c} bigint" for c in COUNTS)
+WHOLE = "host string, kind string, own int, place int, pages bigint, wrapper string"
+
+
+def _partial(frame: pd.DataFrame) -> pd.DataFrame:
+    """The wrapper of one part of a host's streams. Its slots are numbered, and stand for the streams' slots from here on."""
+    is_stream = frame["kind"] == "stream"
+    rows = frame[is_stream].reset_index(drop=True)
+    trees = []
+    for name, stream in zip(rows["name"], rows["stream"], strict=True):
+        tree = Part.unpacked(json.loads(stream))
+        for k, (_, slot) in enumerate(slots_of(tree)):
+            slot.texts = [(name, k)]
+        trees.append(tree)
+    wrapper = aligned_streams(rows, trees)
+    counts = {(r.name_, r.slot): r for r in frame[~is_stream].rename(columns={"name": "name_"}).itertuples()}
+    host, own = frame["host"].iloc[0], int(frame["own"].iloc[0])
+    empty = [0] * len(COUNTS)
+    out = [(host, "wrapper", f"{own:09d}", -1, own, json.dumps(wrapper.packed(), separators=(",", ":")), -1, int(rows["n"].sum()), *empty[1:])]
+    for place, (_, slot) in enumerate(slots_of(wrapper)):
+        known = [counts[x] for x in slot.texts if x in counts]
+        if known:
+            sums = [sum(getattr(r, c) for r in known) for c in ("n", "chars", "linked")]
+            low, high = min(r.low for r in known), max(r.high for r in known)
+            out.append((host, "slot", "", -1, own, None, place, *sums, low, high, sum(r.differing for r in known)))
+        out += [(host, "map", name, k, own, None, place, *empty) for name, k in slot.texts]
+    return pd.DataFrame(out, columns=["host", "kind", "name", "slot", "own", "stream", "place", *COUNTS])
+
+
+def _whole(frame: pd.DataFrame) -> pd.DataFrame:
+    """A host's wrapper, and the partial wrappers' slots that hold its article."""
+    is_wrapper = frame["kind"] == "wrapper"
+    rows = frame[is_wrapper].reset_index(drop=True)
+    trees = []
+    for own, stream in zip(rows["own"], rows["stream"], strict=True):
+        tree = Part.unpacked(json.loads(stream))
+        for place, (_, slot) in enumerate(slots_of(tree)):
+            slot.texts = [(int(own), place)]
+        trees.append(tree)
+    wrapper = aligned_streams(rows, trees)
+    counts = {(r.own, r.place): tuple(getattr(r, c) for c in COUNTS) for r in frame[~is_wrapper].itertuples()}
+    article, plain = article_slots(wrapper, counts)
+    host = frame["host"].iloc[0]
+    out = [(host, "wrapper", -1, -1, int(rows["n"].sum()), str(wrapper))]
+    out += [(host, kind, own, place, 0, None) for kind, found in (("article", article), ("plain", plain)) for own, place in found]
+    return pd.DataFrame(out, columns=["host", "kind", "own", "place", "pages", "wrapper"])
+
+
+def inferred(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each host's wrapper (host, pages, wrapper), and for its streams (host, name) the numbers of the slots that hold the
+    article where its element is marked, and where it is not (article, plain).
 
     Pages without a host, null urls included, share one wrapper under the host "".
     """
     found = settled(streams(pages))  # pages are parsed once for it, though streams and slots are read apart
-    parts = F.when(F.col("kind") == "stream", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("host", "kind")) / STREAMS)).otherwise(1)
-    own = F.when(F.col("kind") == "stream", F.pmod(F.xxhash64("key"), parts)).otherwise(0).cast("int")
-    kept = "host string, kind string, key string, n bigint, chars bigint, linked bigint, low bigint, high bigint, differing bigint"
-
-    def infer(frame: pd.DataFrame) -> str:
-        # The most frequent stream first; the order of alignments is fixed by the streams alone.
-        keys = frame.sort_values(["n", "key"], ascending=[False, True])["key"]
-        trees = [Part.unpacked(json.loads(k)) for k in keys]
-        wrapper = trees[0]
-        for t in trees[1:]:
-            wrapper = Part("", "", aligned(wrapper.parts, t.parts))
-        return json.dumps(wrapper.packed(), separators=(",", ":"))
-
-    def partial(frame: pd.DataFrame) -> pd.DataFrame:
-        made = frame.iloc[:1].assign(key=infer(frame), n=frame["n"].sum())
-        return made[["host", "kind", "key", "n", "chars", "linked", "low", "high", "differing"]]
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        is_stream = frame["kind"] == "stream"
-        wrapper = Part.unpacked(json.loads(infer(frame[is_stream])))
-        article, plain = article_slots(wrapper, frame[~is_stream])
-        return pd.DataFrame(
-            {"host": [frame["host"].iloc[0]], "pages": [frame.loc[is_stream, "n"].sum()], "wrapper": [str(wrapper)], "article": [article], "plain": [plain]}
-        )
-
-    shaped = found.where(F.col("kind") == "stream").withColumn("__own", own)
-    aligned_parts = shaped.groupBy("host", "__own").applyInPandas(partial, kept)
-    rows = aligned_parts.unionByName(found.where(F.col("kind") == "slot"))
-    return rows.groupBy("host").applyInPandas(
-        whole, "host string, pages bigint, wrapper string, article array<string>, plain array<string>"
-    )
-
-
-def joined_in_parts(placed: DataFrame, known: DataFrame, total: int) -> DataFrame:
-    """Pages with their hosts' wrappers by a shuffle. Hosts with over a thousandth of all pages, of which there are less than
-    a thousand, meet their wrapper in parts."""
-    large = known.where(F.col("pages") > max(2 * PART_PAGES, total / 1000)).select("__host", F.ceil(F.col("pages") / PART_PAGES))
-    parts = F.lit(1).cast("long")
-    if found := large.collect():
-        by_host = F.create_map(*(F.lit(x) for host, n in found for x in (host, int(n))))
-        parts = F.coalesce(F.element_at(by_host, F.col("__host")), parts)
-    known = known.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return placed.withColumn("__part", F.pmod(F.xxhash64("url", "html"), parts)).join(known, ["__host", "__part"], "left")
+    parts = found.where(F.col("kind") == "stream").groupBy("host").agg(F.ceil(F.count(F.lit(1)) / STREAMS).alias("parts"))
+    dealt = found.join(parts, "host").withColumn("own", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).drop("parts")
+    partial = settled(dealt.groupBy("host", "own").applyInPandas(_partial, PARTIAL))
+    whole = settled(partial.where(F.col("kind") != "map").groupBy("host").applyInPandas(_whole, WHOLE))
+    chosen = whole.where(F.col("kind") != "wrapper").select("host", "own", "place", F.col("kind").alias("part_of"))
+    mapped = partial.where(F.col("kind") == "map").select("host", "own", "place", "name", "slot").join(chosen, ["host", "own", "place"])
+
+    def numbers(kind: str):
+        return F.array_sort(F.collect_list(F.when(F.col("part_of") == kind, F.col("slot")))).alias(kind)
+
+    slots = mapped.groupBy("host", "name").agg(numbers("article"), numbers("plain"))
+    return whole.where(F.col("kind") == "wrapper").select("host", "pages", "wrapper"), slots
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, pages, wrapper): each host's expression."""
+    return inferred(pages)[0]
+
+
+def read_slots(blocks: list[Block], slots: list[Part], article: list[int], plain: list[int]) -> str:
+    """The texts of the article's slots in page order; of the plain ones where the page has none of the others."""
+    for numbers in (article, plain):
+        held = [blocks[i].text for i in sorted(i for k in numbers for i in slots[k].texts)]
+        if held:
+            return "\n\n".join(held)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -449,35 +524,39 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages have an empty text. Columns of `pages` with these names are replaced. Pages keep their rows
     whatever else they hold; url is read for the host alone.
     """
+    spark = pages.sparkSession
     pages = pages.drop("text", "n_chars")
     names = pages.columns
-    known = settled(wrappers(pages).select(F.col("host").alias("__host"), "pages", F.col("article").alias("__article"), F.col("plain").alias("__plain")))
-    slots = F.concat(F.col("__article"), F.col("__plain"))
-    held = F.octet_length(F.col("__host")) + F.aggregate(slots, F.lit(0), lambda n, p: n + F.octet_length(p) + 64) + 128
-    total, size = known.agg(F.sum("pages"), F.sum(held)).first()
+    known = settled(inferred(pages)[1])
+    size = known.agg(F.sum(F.octet_length("host") + 8 * (F.size("article") + F.size("plain")) + 128)).first()[0]
     placed = pages.withColumn("__host", host_of(F.col("url")))
-    if (size or 0) <= BROADCAST_BYTES:
-        joined = placed.join(F.broadcast(known), "__host", "left")
-    else:
-        joined = joined_in_parts(placed, known, total)
-    joined = joined.select(*names, "__article", "__plain")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    small = (size or 0) <= BROADCAST_BYTES
+    table = spark.sparkContext.broadcast({(r.host, r.name): (r.article, r.plain) for r in known.collect()} if small else None)
+
+    def name_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [stream_of(parsed(html.as_py())[0])[1] for html in batch.column("html")]
+            yield batch.append_column("__name", pa.array(own, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, article, plain in zip(*(batch.column(c) for c in ("html", "__article", "__plain")), strict=True):
-                _, blocks = parsed(html.as_py())
-                wanted = set(article.as_py() or ())
-                held = [b.text for b in blocks if b.path in wanted]
-                if not held:
-                    wanted = set(plain.as_py() or ())
-                    held = [b.text for b in blocks if b.path in wanted]
-                texts.append("\n\n".join(held))
+            hosts = batch.column("__host").to_pylist()
+            given = None if small else [batch.column(c).to_pylist() for c in ("__article", "__plain")]
+            for i, html in enumerate(batch.column("html")):
+                tree, blocks = parsed(html.as_py())
+                slots = [slot for _, slot in slots_of(tree)]
+                found = table.value.get((hosts[i], stream_of(tree)[1]), ((), ())) if small else (given[0][i] or (), given[1][i] or ())
+                texts.append(read_slots(blocks, slots, *found))
             made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return joined.mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    if not small:
+        named = placed.mapInArrow(name_streams, f"{fields}, __host string, __name string")
+        read = known.select(F.col("host").alias("__host"), F.col("name").alias("__name"), F.col("article").alias("__article"), F.col("plain").alias("__plain"))
+        placed = named.join(read, ["__host", "__name"], "left").drop("__name")
+    return placed.mapInArrow(run, f"{fields}, text string, n_chars bigint")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
