@@ -34,7 +34,7 @@ def newest(spark: SparkSession, directory: str):
 
 
 def published(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The tables of the newest published report; a table with other rows than its manifest says is an error."""
+    """The tables of the newest published report."""
     row = newest(spark, directory)
     if row is None:
         raise FileNotFoundError(f"no report was published in {directory}")
