@@ -28,9 +28,13 @@ UNKNOWN = "und"
 #: No byte of UTF-8 text; stands between pieces.
 CUT = b"\xff"
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + PIECE_ENDS, b"abcdefghijklmnopqrstuvwxyz" + CUT * len(PIECE_ENDS))
-#: Documents of the sample that shows which nodes are crowded, the share of all grams that makes one so, and the number of
-#: parts that its edges are dealt to. Only where rows are placed depends on these.
+#: Documents of the sample that shows the usual words and which nodes are crowded, the share of all grams that makes a node
+#: so, and the number of parts that its edges are dealt to. Only the size and the place of rows depends on these.
 SAMPLE, CROWDED, PARTS = 4_000, 1 / 50_000, 64
+#: A usual word is moved as one character of two or three bytes; there are so many of them.
+CHARACTERS = [*range(0x80, 0xD800), *range(0xE000, 0x10000)]
+#: Begins words that are moved as they are; no word has it, because pieces end there.
+PLAIN = "."
 
 
 def words_of(text: str) -> list[bytes]:
@@ -38,10 +42,30 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).replace(CUT, b" \xff ").split()
 
 
-def _counted(words: list[bytes], longest: int, starts: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+def short_words(usual: list[str]) -> dict[str, str]:
+    """Usual words, the most frequent first, with the character that each is moved as."""
+    return {w: chr(c) for w, c in zip(usual, CHARACTERS, strict=False)}
+
+
+def spelled_out(counts: DataFrame, short: dict[str, str]) -> DataFrame:
+    """Phrases with their words in full again."""
+    words = {c: w for w, c in short.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("phrase")
+            full = [" ".join(words.get(w) or w[1:] for w in p.split(" ")) if p else p for p in batch.column(place).to_pylist()]
+            yield batch.set_column(place, "phrase", pa.array(full, pa.string()))
+
+    return counts.mapInArrow(run, counts.schema)
+
+
+def _counted(words: list[bytes], longest: int, starts: int, short: dict[str, str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """The node, the word after it and the count of the longest grams that begin at the first `starts` words."""
     coded = pa.array([*words, CUT], pa.binary()).dictionary_encode()
-    codes, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    codes = coded.indices.to_numpy().astype(np.int64)
+    full = [b"" if w == CUT else w for w in coded.dictionary.to_pylist()]
+    known = pa.array([short.get(w) or PLAIN + w for w in map(bytes.decode, full)], pa.string())
     base, cut = len(known), int(codes[-1])
     # Past the end of its piece a gram has only CUTs.
     key, within = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
@@ -55,29 +79,32 @@ def _counted(words: list[bytes], longest: int, starts: int) -> tuple[pa.Array, p
         key, place = np.divmod(key, base)
         places.append(known.take(pa.array(place, mask=place == cut)))
     after, *node = places
-    joined = pc.binary_join_element_wise(*reversed(node), b" ", null_handling="skip")
-    return joined.cast(pa.string()), after.cast(pa.string()), counts
+    return pc.binary_join_element_wise(*reversed(node), " ", null_handling="skip"), after, counts
 
 
-def longest_grams(docs: DataFrame, longest: int = 3, crowded: dict[str, list[str]] | None = None) -> DataFrame:
-    """(lang, node, after, part, f): counts of the longest gram that begins at each word, as its first words and the last.
+def longest_grams(
+    docs: DataFrame, longest: int = 3, short: dict[str, str] | None = None, crowded: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """(place, after, f): counts of the longest gram that begins at each word, as the place of its first words and the last.
 
-    `after` is null where the piece ends with the node. Counts are those of up to a million words each and still to be added
-    up. Edges of the `crowded` nodes of a lang are dealt to parts by their last word.
+    A place is the node, a part and the lang, with tabs between them, in one string, because rows are many and every
+    column costs. `after` is null where the piece ends with the node. Words are moved by the `short` ones or behind PLAIN.
+    Counts are those of up to a million words each and still to be added up. Edges of the `crowded` nodes of a lang are
+    dealt to parts by their last word; others have an empty part.
     """
+    short = short or {}
     if not 2 <= longest <= 8:
         raise ValueError("phrases have 2 to 8 words")
     window = min(1 << 20, int(2 ** (62 / longest)) - 2)
 
     def emit(lang: str, words: list[bytes], starts: int) -> pa.RecordBatch:
-        node, after, counts = _counted(words, longest, starts)
-        part = np.full(len(counts), -1, np.int32)
+        node, after, counts = _counted(words, longest, starts, short)
+        place = pc.binary_join_element_wise(node, "\t" + lang, "\t")
         if crowded and lang in crowded:
-            full = pc.is_in(node, pa.array(crowded[lang], pa.string())).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(full):
-                part[i] = sum((after[i].as_py() or "").encode()) % PARTS
-        columns = [pa.array([lang] * len(counts), pa.string()), node, after, pa.array(part), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "node", "after", "part", "f"])
+            full = pc.is_in(node, pa.array(crowded[lang], pa.string()))
+            parts = [f"{n}\t{sum((w or '').encode()) % PARTS}\t{lang}" for n, w in zip(node.filter(full).to_pylist(), after.filter(full).to_pylist(), strict=True)]
+            place = pc.replace_with_mask(place, full, pa.array(parts, pa.string()))
+        return pa.RecordBatch.from_arrays([place, after, pa.array(counts, pa.int64())], names=["place", "after", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -98,19 +125,27 @@ def longest_grams(docs: DataFrame, longest: int = 3, crowded: dict[str, list[str
         yield from (emit(k, words, len(words)) for k, words in held.items())
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
-    return texts.mapInArrow(run, "lang string, node string, after string, part int, f bigint")
+    return texts.mapInArrow(run, "place string, after string, f bigint")
+
 
+def _at_place(i: int) -> Column:
+    return F.split("place", "\t", 3)[i]
 
-def crowded_nodes(docs: DataFrame, longest: int = 3) -> dict[str, list[str]]:
-    """Nodes with more than a share of CROWDED of all grams, by a sample of about SAMPLE documents; at most 1 / CROWDED."""
+
+def usual_words(docs: DataFrame, longest: int = 3) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """From about SAMPLE documents: short forms of the most frequent words, and the nodes, in these forms, with more than a
+    share of CROWDED of all grams. There are at most as many as characters and 1 / CROWDED of them."""
     rows = docs.count()
-    grams = longest_grams(docs.where(unit_hash(F.col("text"), seed=13) < SAMPLE / max(rows, 1)), longest)
-    nodes = grams.groupBy("lang", "node").agg(F.sum("f").alias("f"))
+    sample = longest_grams(docs.where(unit_hash(F.col("text"), seed=13) < SAMPLE / max(rows, 1)), longest)
+    nodes = sample.groupBy("place").agg(F.sum("f").alias("f"))
+    grams = settled(nodes.select(_at_place(0).alias("node"), _at_place(2).alias("lang"), "f"))
+    words = grams.groupBy(F.substring(F.substring_index("node", " ", 1), 2, 1 << 30).alias("word")).agg(F.sum("f").alias("f"))
+    short = short_words([r.word for r in words.orderBy(F.desc("f"), "word").limit(len(CHARACTERS)).collect()])
     least = CROWDED * (grams.agg(F.sum("f")).first()[0] or 0)
-    found: dict[str, list[str]] = {}
-    for lang, node in nodes.where(F.col("f") > max(least, 8)).select("lang", "node").collect():
-        found.setdefault(lang, []).append(node)
-    return found
+    crowded: dict[str, list[str]] = {}
+    for lang, node in grams.where(F.col("f") > max(least, 8)).select("lang", "node").collect():
+        crowded.setdefault(lang, []).append(" ".join(short.get(w[1:], w) for w in node.split(" ")))
+    return short, crowded
 
 
 def number_of_words(phrase: Column) -> Column:
@@ -120,20 +155,21 @@ def number_of_words(phrase: Column) -> Column:
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of up to `longest` words that occur at least `least` times, and the number of
     all words of each lang as the phrase of 0 words. Words are joined by one space."""
-    place = ["lang", "node", "part"]
-    dealt = longest_grams(docs, longest, crowded_nodes(docs, longest)).repartition(*place)
-    edges = dealt.groupBy(*place, "after").agg(F.sum("f").alias("f"))
+    short, crowded = usual_words(docs, longest)
+    dealt = longest_grams(docs, longest, short, crowded).repartition("place")
+    edges = dealt.groupBy("place", "after").agg(F.sum("f").alias("f"))
     out = F.struct(F.lit(None).cast("string").alias("after"), F.lit(False).alias("edge"), "f")
     frequent = F.col("after").isNotNull() & (F.col("f") >= least)
     made = F.when(frequent, F.array(out, F.struct("after", F.lit(True).alias("edge"), "f"))).otherwise(F.array(out))
     # Where the edges are, their nodes' flows and ends are added up: no shuffle but that of the edges.
-    graph = edges.select(*place, F.inline(made)).groupBy(*place, "edge", "after").agg(F.sum("f").alias("f"))
+    graph = edges.select("place", F.inline(made)).groupBy("place", "edge", "after").agg(F.sum("f").alias("f"))
+    node = _at_place(0)
     rows = graph.select(
-        "lang",
-        F.concat_ws(" ", "node", "after").alias("phrase"),
-        F.when(F.col("edge"), F.lit(longest)).otherwise(number_of_words(F.col("node"))).alias("words"),
+        _at_place(2).alias("lang"),
+        F.concat_ws(" ", node, "after").alias("phrase"),
+        F.when(F.col("edge"), F.lit(longest)).otherwise(number_of_words(node)).alias("words"),
         "f",
-        (F.col("part") >= 0).alias("partial"),
+        (_at_place(1) != "").alias("partial"),
     )
     for k in range(longest - 1, 0, -1):
         shorter = F.substring_index("phrase", " ", k - 1) if k > 1 else F.lit("")
@@ -143,7 +179,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10) -> DataFra
         made = F.when(F.col("words") == k, passed).otherwise(F.array(own))
         rows = rows.select("lang", F.inline(made)).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
         rows = rows.withColumn("partial", F.lit(False))
-    return rows.where((F.col("words") == 0) | (F.col("f") >= least)).drop("partial")
+    return spelled_out(rows.where((F.col("words") == 0) | (F.col("f") >= least)).drop("partial"), short)
 
 
 def compact_paths(counts: DataFrame, longest: int = 3) -> DataFrame:
