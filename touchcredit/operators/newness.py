@@ -28,7 +28,9 @@ def first_appearances(seen: DataFrame) -> Known:
     )
 
     def per(key: str) -> DataFrame:
-        return pairs.where(F.col(key).isNotNull()).groupBy(key).agg(*first)
+        # Behind a generator, what a join knows of its key is not pushed below the pairs: their shuffle stays one for both.
+        rows = pairs.select(F.inline(F.array(F.struct(F.col(key).alias(key), "created_date", "listed"))))
+        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*first)
 
     return Known(per("customer_email"), per("email_lob"))
 
