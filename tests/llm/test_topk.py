@@ -16,8 +16,11 @@ def brute(rows, queries, k):
             continue
         own.append((i, [math.floor(256 * float(np.float32(c))) for c in x]))
     out = []
-    for q, a in [r for r in own if r[0] in queries]:
-        scores = sorted(((-sum(s * t for s, t in zip(a, b, strict=True)), i) for i, b in own if i != q and len(a) == len(b)))
+    for at, (q, a) in enumerate(own):
+        if q not in queries:
+            continue
+        others = [(i, b) for other, (i, b) in enumerate(own) if other != at and len(a) == len(b)]
+        scores = sorted((-sum(s * t for s, t in zip(a, b, strict=True)), i) for i, b in others)
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -59,6 +62,18 @@ def test_odd_vectors(spark):
 
 
 def test_repeated_ids(spark):
-    frame = spark.createDataFrame([(0, [1.0], "l", 1), (0, [2.0], "l", 1), (1, [1.0], "l", 1), (1, [1.0], "l", 1)], SCHEMA)
+    """Every query row has an answer, and rows that share its id are candidates."""
+    rows = [(0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [1.0]), (50, [3.0]), (50, [3.0])]
+    frame = spark.createDataFrame([(i, x, "l", 1) for i, x in rows], SCHEMA)
     got = top_k_of_embeddings(frame, 3).select("query_id", "rank", "vec_id", "score").collect()
-    assert [tuple(r) for r in sorted(got)] == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 1, 65536)]
+    assert sorted(tuple(r) for r in got) == brute(rows, {0, 50}, 3)
+
+
+def test_candidates_are_moved_once(spark):
+    """No row is repeated for the queries' sake while these are one block."""
+    frame = spark.createDataFrame([(i, x, "l", 1) for i, x in make(6, 120, 4, 0.5)], SCHEMA)
+    own = quantised(frame)
+    plan = top_k(own, own.where("vec_id % 2 = 0"), 5, bucket_rows=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2  # the queries' buckets and their parts
+    many = top_k(own, own.where("vec_id % 2 = 0"), 5, bucket_rows=16, query_rows=7)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, top_k(own, own.where("vec_id % 2 = 0"), 5).collect()))
