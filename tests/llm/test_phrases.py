@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from touchcredit.llm import phrases
@@ -115,7 +116,7 @@ def test_paths_are_maximal_and_of_one_count(spark):
 def test_a_text_beyond_the_window(spark, monkeypatch):
     rng = random.Random(4)
     text = " ".join(rng.choice("abcde") for _ in range(3000))
-    counted = phrases._counted(words_of(text), 3, 3000, {})
+    counted = phrases._counted(pa.array(words_of(text), pa.binary()), 3, 3000, {})
     assert counted[2].sum() == 3000
     rows = [(text, "en", 1), (text[:1001], "en", 1)]
     got = sorted(tuple(r) for r in collocations(spark.createDataFrame(rows, DOCS), longest=6, least=2, most=50).collect())

@@ -60,9 +60,9 @@ def spelled_out(counts: DataFrame, short: dict[str, str]) -> DataFrame:
     return counts.mapInArrow(run, counts.schema)
 
 
-def _counted(words: list[bytes], longest: int, starts: int, short: dict[str, str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+def _counted(words: pa.Array, longest: int, starts: int, short: dict[str, str]) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """The node, the word after it and the count of the longest grams that begin at the first `starts` words."""
-    coded = pa.array([*words, CUT], pa.binary()).dictionary_encode()
+    coded = pa.concat_arrays([words, pa.array([CUT], pa.binary())]).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     full = [b"" if w == CUT else w for w in coded.dictionary.to_pylist()]
     known = pa.array([short.get(w) or PLAIN + w for w in map(bytes.decode, full)], pa.string())
@@ -97,7 +97,7 @@ def longest_grams(
         raise ValueError("phrases have 2 to 8 words")
     window = min(1 << 20, int(2 ** (62 / longest)) - 2)
 
-    def emit(lang: str, words: list[bytes], starts: int) -> pa.RecordBatch:
+    def emit(lang: str, words: pa.Array, starts: int) -> pa.RecordBatch:
         node, after, counts = _counted(words, longest, starts, short)
         place = pc.binary_join_element_wise(node, "\t" + lang, "\t")
         if crowded and lang in crowded:
@@ -107,22 +107,27 @@ def longest_grams(
         return pa.RecordBatch.from_arrays([place, after, pa.array(counts, pa.int64())], names=["place", "after", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
+        held: dict[str, list[pa.Array]] = {}
         total = 0
+
+        def all_held() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                words = pa.concat_arrays(parts)
+                yield emit(lang, words, len(words))
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words_of(text)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = pa.array([*words_of(text.as_py()), CUT], pa.binary())
                 # A text beyond the window is counted in parts that see the words after them.
-                while len(found) >= window:
-                    yield emit(lang, found[:window], window - longest + 1)
-                    found = found[window - longest + 1 :]
-                if total + len(found) >= window:
-                    yield from (emit(k, words, len(words)) for k, words in held.items())
+                while len(words) > window:
+                    yield emit(lang, words[:window], window - longest + 1)
+                    words = words[window - longest + 1 :]
+                if total + len(words) > window:
+                    yield from all_held()
                     held, total = {}, 0
-                held.setdefault(lang, []).extend(found)
-                held[lang].append(CUT)
-                total += len(found) + 1
-        yield from (emit(k, words, len(words)) for k, words in held.items())
+                held.setdefault(lang, []).append(words)
+                total += len(words)
+        yield from all_held()
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text is not null")
     return texts.mapInArrow(run, "place string, after string, f bigint")
