@@ -97,11 +97,10 @@ def test_bounds_never_lose_a_link():
             assert bound is not None and bound <= len(own ^ other)
 
 
-def test_forest_joins_components_only():
-    bits = parity_bitmap(hashes(range(50)))
-    rows = [(f"n{i}", "r" if i < 5 else f"n{i}", 50, bits) for i in range(8)]
-    links = block_forest(rows, 85)
-    assert len(links) == 3
+def test_forest_is_a_tree():
+    bits, other = parity_bitmap(hashes(range(50))), parity_bitmap(hashes(range(100, 150)))
+    links = block_forest([(f"n{i}", 50, bits if i < 6 else other, 3) for i in range(9)], 85)
+    assert len(links) == 5 + 2 and {band for _, _, band in links} == {3}
 
 
 @pytest.mark.parametrize("block", [256, 16])
@@ -112,16 +111,15 @@ def test_equals_brute_force(spark, block, monkeypatch):
 
 
 def test_partners_are_asked_for_until_none_is_left(spark, monkeypatch):
-    """With the waves' proposals taken away, the strays alone find every link."""
-    monkeypatch.setattr(minhash, "block_forest", lambda rows, percent: [])
+    """With the blocks' proposals taken away, the strays alone find every link."""
     monkeypatch.setattr(minhash._Search, "run", only_strays)
     check(spark, corpus(random.Random(5), copies=15))
 
 
 def only_strays(self):
-    most, more, new = 1, True, True
-    while new or more:
-        new, more = self.check(self.proposed_by_strays(most))
+    most, more, linked = 1, True, True
+    while linked or more:
+        linked, more = self.propose_strays(most)
         most *= 4
     return self.roots
 

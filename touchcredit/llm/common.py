@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files, broadcasts and checkpoints of tables that are no longer needed. It does so when the
+    driver collects its garbage, which a search of many small jobs would leave undone for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(doc_id, label) of about `rows` labelled training rows, chosen by a hash of the id, all of them if there are no more.
 
@@ -64,9 +72,12 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     return known.where(unit_hash(F.col("doc_id"), seed=11) < rows / total)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, apart: bool = False) -> DataFrame:
     """(node, root) for the nodes of undirected `edges` (a, b); root is the smallest node that can be reached.
 
+    With `apart`, minima are shuffled once more before they are joined back, so that the join stands alone in its stage
+    and Spark can split the edges of a node that has very many.
+
     Alternating large-star and small-star rounds. Minima are aggregated before they are joined back, so a node with
     many neighbours is no single group, and every round is cut off by a checkpoint.
     """
@@ -74,6 +85,10 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
+    def own(least: DataFrame) -> DataFrame:
+        # Under an expression's name the rows count as not yet placed by their key.
+        return least.select(F.greatest("a", "a").alias("a"), "m") if apart else least
+
     # Every edge points from its greater to its smaller end.
     edges = settled(
         edges.where(F.col("a") != F.col("b"))
@@ -83,10 +98,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = own(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = settled(large.distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = own(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("m").alias("b")).union(
             joined.where(F.col("b") != F.col("m")).select(F.col("b"), F.col("m"))

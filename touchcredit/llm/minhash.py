@@ -5,14 +5,15 @@ gives all K coordinates of a signature. Bands of coordinates make buckets. Copie
 
 In a bucket, two bounds that lose nothing come before the texts are compared: the sizes, and the differing bits of two
 parity bitmaps, which never exceed the sets' symmetric difference. Buckets are worked on in blocks: each block proposes a
-spanning forest, nearest pairs first, of what the bounds allow between different components, and the proposals are checked
-on the full sets. After two waves of bands, rows that are still outside their bucket's largest component are held against
+spanning forest, nearest pairs first, of what the bounds allow, and the proposals are checked on the full sets, those of a
+few bands first and of the others only what these have not connected. Then rows that are still outside their bucket's largest component are held against
 the whole bucket, block by block, until no pair that the bounds allow between two components is left unchecked. So links
 are missed only by banding (seven in ten million at the very threshold), and no group's pairs are ever all produced.
 """
 
 from __future__ import annotations
 
+from base64 import b85encode
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -22,17 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settled, sorted_groups, with_text_columns
+from .common import components, new_folder, settled, sorted_groups, tidy, with_text_columns
 
 BANDS, ROWS = 30, 6
-#: Bands of the first wave; the second takes the others, without the buckets that have become one component.
-FIRST_WAVE = 5
+#: Proposals of so many bands are checked first; of the others, those between components that are left.
+FIRST_WAVE = 3
 #: Rows of a bucket that are compared with each other in one group, and stray rows held against such a block at a time.
 BLOCK, STRAYS = 256, 64
 #: Partners that a stray row may propose in a block: first, and by how much more in every further round.
 PARTNERS, MORE = 2, 16
 
-LINKS = "a string, b string"
 
 
 def shingles(text: str | None, words: int = 3) -> set[bytes]:
@@ -86,7 +86,7 @@ def prints(docs: DataFrame, words: int = 3) -> DataFrame:
     set has a null one."""
 
     def make():
-        digest, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_hexdigest
+        digest, whole = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
 
         def compute(texts: list, _: dict) -> list[list]:
             counts, nodes, bitmaps, signatures = [], [], [], []
@@ -94,7 +94,7 @@ def prints(docs: DataFrame, words: int = 3) -> DataFrame:
                 found = shingles(text, words)
                 hashes = np.unique(np.fromiter((digest(s) for s in found), np.uint64, len(found)))
                 counts.append(len(found))
-                nodes.append(whole(hashes.tobytes()) if found else None)
+                nodes.append(b85encode(whole(hashes.tobytes())).decode() if found else None)
                 bitmaps.append(parity_bitmap(hashes) if found else None)
                 signatures.append(signature(hashes))
             keys = band_keys(np.array(signatures)).tolist() if texts else []
@@ -125,8 +125,8 @@ def _sketch(n: int, bits: bytes) -> tuple[int, int, int]:
     return n, int.from_bytes(bits, "little"), 8 * len(bits)
 
 
-def block_forest(rows: list[tuple], percent: int) -> list[tuple[str, str]]:
-    """Nearest-first spanning forest of the pairs that may link, over rows (node, root, n, bits); a root is one already."""
+def block_forest(rows: list[tuple], percent: int) -> list[tuple[str, str, int]]:
+    """Nearest-first spanning forest (a, b, band) of the pairs that may link, over a band's rows (node, n, bits, band)."""
     parent: dict[str, str] = {}
 
     def top(x: str) -> str:
@@ -135,21 +135,21 @@ def block_forest(rows: list[tuple], percent: int) -> list[tuple[str, str]]:
             x = parent[x]
         return x
 
-    kept = [(node, root, _sketch(n, bits)) for node, root, n, bits in rows]
+    kept = [(node, _sketch(n, bits)) for node, n, bits, _ in rows]
     pairs = []
-    for i, (node, root, sketch) in enumerate(kept):
-        for other, its, its_sketch in kept[:i]:
-            if root != its and (apart := may_link(sketch, its_sketch, percent)) is not None:
-                pairs.append((apart / (sketch[0] + its_sketch[0]), min(node, other), max(node, other), root, its))
+    for i, (node, sketch) in enumerate(kept):
+        for other, its_sketch in kept[:i]:
+            if (apart := may_link(sketch, its_sketch, percent)) is not None:
+                pairs.append((apart / (sketch[0] + its_sketch[0]), min(node, other), max(node, other)))
     links = []
-    for _, a, b, root, its in sorted(pairs):
-        if (x := top(root)) != (y := top(its)):
+    for _, a, b in sorted(pairs):
+        if (x := top(a)) != (y := top(b)):
             parent[x] = y
-            links.append((a, b))
+            links.append((a, b, rows[0][3]))
     return links
 
 
-def stray_partners(rows: list[tuple], percent: int, most: int) -> Iterator[tuple[str | None, str | None]]:
+def stray_partners(rows: list[tuple], percent: int, most: int) -> Iterator[tuple[str | None, str | None, int]]:
     """For each stray of rows (node, root, n, bits, side) its nearest `most` partners of other components that may link.
 
     Side 0 is the bucket's block, side 1 its strays. A pair of nulls says that a stray had more of them.
@@ -161,25 +161,27 @@ def stray_partners(rows: list[tuple], percent: int, most: int) -> Iterator[tuple
             near = sorted(
                 (apart, other) for other, its, sketch in block if its != root and (apart := may_link(own, sketch, percent)) is not None
             )
-            yield from ((min(node, other), max(node, other)) for _, other in near[:most])
+            yield from ((min(node, other), max(node, other), 0) for _, other in near[:most])
             if len(near) > most:
-                yield None, None
+                yield None, None, 0
 
 
 def _by_group(df: DataFrame, keys: list[str], fields: list[str], work) -> DataFrame:
-    """Links that `work` makes of every group's rows. Groups are dealt out by a shuffle and read one after the other."""
+    """Pairs (a, b, band) that `work` makes of every group's rows. Groups are dealt out by a shuffle and read one by one."""
+    kinds = pa.schema([("a", pa.string()), ("b", pa.string()), ("band", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for rows in sorted_groups(batches, len(keys)):
             found += work(rows)
             if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
                 found = []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found, strict=True)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], schema=kinds)
 
-    return df.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINKS)
+    dealt = df.select(*keys, *fields).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a string, b string, band int").groupBy("a", "b").agg(F.min("band").alias("band"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -197,7 +199,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, LINKS)
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    return joined.mapInArrow(run, "a string, b string")
 
 
 class _Search:
@@ -213,30 +216,30 @@ class _Search:
         keyed = self.sets.select("node", F.posexplode("bands").alias("band", "key"))
         many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         self.buckets = settled(keyed.join(many, "key"))
+        tidy(docs.sparkSession)
+        self.texts: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.roots: DataFrame | None = None
 
-    def open_rows(self, bands: Column) -> DataFrame:
-        """(key, members, node, root) of buckets that hold more than one component."""
-        rows = self.buckets.where(bands)
+    def rooted(self, rows: DataFrame, node: str, root: str) -> DataFrame:
+        """`rows` with the root of a node's component, the node itself while it has no link."""
         if self.roots is None:
-            return rows.withColumn("root", F.col("node"))
-        rows = rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        return rows.join(mixed.select("key"), "key", "left_semi")
-
-    def proposed_in_blocks(self, bands: Column) -> DataFrame:
-        blocks = F.ceil(F.col("members") / BLOCK)
-        rows = self.open_rows(bands).withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks))
+            return rows.withColumn(root, F.col(node))
+        its = self.roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return rows.join(its, node, "left").withColumn(root, F.coalesce(root, node))
+
+    def proposed_in_blocks(self) -> DataFrame:
+        rows = self.buckets.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("members") / BLOCK)))
         rows = rows.join(self.sets.select("node", "n_shingles", "bits"), "node")
         percent = self.percent
-        return _by_group(rows, ["key", "block"], ["node", "root", "n_shingles", "bits"], lambda group: block_forest(group, percent))
+        return _by_group(rows, ["key", "block"], ["node", "n_shingles", "bits", "band"], lambda group: block_forest(group, percent))
 
     def proposed_by_strays(self, most: int) -> DataFrame:
-        rows = settled(self.open_rows(F.lit(True)))
+        """Pairs of buckets that hold more than one component, between a row outside the largest one and any other row."""
+        rows = self.rooted(self.buckets, "node", "root")
         sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
         host = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("host"), (F.sum("size") - F.max("size")).alias("outside"))
-        rows = rows.join(host, "key").join(self.sets.select("node", "n_shingles", "bits"), "node")
+        rows = settled(rows.join(host.where("outside > 0"), "key").join(self.sets.select("node", "n_shingles", "bits"), "node"))
         blocks, parts = F.ceil(F.col("members") / BLOCK).cast("int"), F.ceil(F.col("outside") / STRAYS).cast("int")
         spread = F.xxhash64("node", "key")
         block = rows.withColumns({"side": F.lit(0), "block": F.pmod(spread, blocks).cast("int"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
@@ -247,34 +250,67 @@ class _Search:
         both = block.select("key", "block", "part", *fields).union(stray.select("key", "block", "part", *fields))
         return _by_group(both, ["key", "block", "part"], fields, lambda group: list(stray_partners(group, percent, most)))
 
-    def check(self, proposed: DataFrame) -> tuple[bool, bool]:
-        """Checks new pairs on full sets; whether there were new ones, and whether a stray had more to propose."""
-        found = settled(proposed.distinct())
+    def fetch(self, pairs: DataFrame) -> None:
+        """One text of every node of `pairs` is kept at hand; texts are looked up in the documents once, by their hashes."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.texts is not None:
+            nodes = settled(nodes.join(self.texts, "node", "left_anti"))
+            if nodes.isEmpty():
+                return
+        needed = self.sets.join(nodes, "node").select("node", F.col("source.text_hash").alias("__hash"), F.col("source.text_bytes").alias("__bytes"))
+        same = (F.xxhash64("text") == F.col("__hash")) & (F.octet_length("text") == F.col("__bytes"))
+        found = self.docs.select("text").join(needed, same).select("node", "text").dropDuplicates(["node"])
+        folder = new_folder(self.docs.sparkSession, "texts")
+        found.write.parquet(folder)
+        found = self.docs.sparkSession.read.schema("node string, text string").parquet(folder)
+        self.texts = found if self.texts is None else self.texts.union(found)
+
+    def check(self, pairs: DataFrame) -> bool:
+        """Checks pairs between different components on their full sets, and merges what links; whether any did."""
+        rows = self.rooted(self.rooted(pairs, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
+        links = settled(confirmed(rows, self.texts, self.percent, self.words))
+        tidy(self.docs.sparkSession)
+        if links.isEmpty():
+            return False
+        ends = self.rooted(self.rooted(links, "a", "root_a"), "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        merged = components(ends, apart=True).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        tidy(self.docs.sparkSession)
+        if self.roots is None:
+            self.roots = settled(merged.toDF("node", "root"))
+            return True
+        # A component keeps its rows; its root is looked up. Nodes that had no link yet are among the new roots' nodes.
+        moved = self.roots.join(merged, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        fresh = merged.toDF("node", "root").join(self.roots.select("node"), "node", "left_anti")
+        self.roots = settled(moved.union(fresh))
+        return True
+
+    def propose_strays(self, most: int) -> tuple[bool, bool]:
+        """Checks what strays newly propose; whether anything linked, and whether they had more to propose."""
+        found = settled(self.proposed_by_strays(most))
         more = not found.where("a is null").isEmpty()
-        new = found.where("a is not null")
+        new = found.where("a is not null").select("a", "b")
         if self.tested is not None:
             new = settled(new.join(self.tested, ["a", "b"], "left_anti"))
         if new.isEmpty():
             return False, more
-        nodes = new.select(F.col("a").alias("node")).union(new.select("b")).distinct()
-        needed = self.sets.join(nodes, "node").select("node", F.col("source.text_hash").alias("__hash"), F.col("source.text_bytes").alias("__bytes"))
-        same = (F.xxhash64("text") == F.col("__hash")) & (F.octet_length("text") == F.col("__bytes"))
-        texts = self.docs.select("text").join(needed, same).select("node", "text").dropDuplicates(["node"])
-        links = settled(confirmed(new, texts, self.percent, self.words))
-        if self.roots is not None:
-            links = links.union(self.roots.select("node", "root"))
+        self.fetch(new)
         self.tested = new if self.tested is None else self.tested.union(new)
-        self.roots = settled(components(links))
-        return True, more
+        return self.check(new), more
 
     def run(self) -> DataFrame | None:
         """(node, root) of the linked nodes."""
-        self.check(self.proposed_in_blocks(F.col("band") < FIRST_WAVE))
-        self.check(self.proposed_in_blocks(F.col("band") >= FIRST_WAVE))
-        most, open_still = PARTNERS, self.tested is not None
+        proposed = settled(self.proposed_in_blocks())
+        if proposed.isEmpty():
+            return None
+        self.fetch(proposed)
+        self.check(proposed.where(F.col("band") < FIRST_WAVE))
+        self.check(proposed.where(F.col("band") >= FIRST_WAVE))
+        self.tested = proposed.select("a", "b")
+        # While nothing links, strays propose what they did before, and more only if they had more.
+        most, open_still = PARTNERS, True
         while open_still:
-            new, more = self.check(self.proposed_by_strays(most))
-            open_still, most = new or more, most * MORE
+            linked, more = self.propose_strays(most)
+            open_still, most = linked or more, most * MORE
         return self.roots
 
 
