@@ -100,3 +100,14 @@ def test_metrics_on_cells_shuffle_no_whole_orders(spark, plain_plans):
     assert all("user_name" not in s and "institution" not in s for s in scans)
     # rows leave the join on the email already placed for the count of distinct customers
     assert not re.search(r"Exchange hashpartitioning\(recent_open#\d+, customer_email", plan.split("partial_sum")[0])
+
+
+def test_as_of_lookup_sorts_no_columns_of_orders_with_the_touches(spark, plain_plans):
+    g = Given(spark, SF)
+    plan = plan_of(latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility))
+    assert plan.count("Window [") == 2 and not re.search(r"null AS (order_id|o_orderkey)#", plan)
+
+
+def test_cleaning_works_out_a_derived_amount_once(spark, plain_plans):
+    plan = plan_of(Given(spark, SF).cleaned)
+    assert len(re.findall(r"o_totalprice#\d+ as decimal\(18,4\)", plan)) == 1

@@ -136,16 +136,36 @@ def _slice(ts: Column, seconds: int) -> Column:
 
 
 def _eligible_types(eligible: DataFrame) -> tuple[Column, Column]:
-    """Per campaign its eligible order types with its place in the index, and all tracked types, as two values.
+    """What the index says of campaigns and order types, and all tracked types, as two values.
+
+    Campaigns that are eligible for the same types are one *class*: the latest touch of a class is the same for all its
+    types, so a touch is one row however many types it is eligible for, and an order looks into the few classes of its
+    type. Of touches at one time the greatest *rank* wins: the first place in the index, then the last name. Fields of
+    the first value: ``ranks`` (campaign to its ranks, one for each place it has), ``classes`` (type to its classes),
+    ``class_of`` and ``names`` (a rank's class and campaign).
 
     The index has a row for each mailed campaign, so both are read as scalar subqueries: no order or touch is
     ever placed by its campaign or type, of which there are few.
     """
     place = F.min("pos").cast("long").alias("pos")
-    per_type = eligible.where("eligible = 1").groupBy("campaign", "order_type").agg(place)
+    per_type = eligible.where("eligible = 1 AND order_type IS NOT NULL").groupBy("campaign", "order_type").agg(place)
     types = per_type.groupBy("campaign").agg(F.collect_list(F.struct("order_type", "pos")).alias("types"))
-    as_map = types.agg(F.map_from_entries(F.collect_list(F.struct("campaign", "types")))).scalar()
-    return as_map, eligible.agg(F.collect_set("order_type")).scalar()
+    at_places = F.expr(
+        "transform(array_distinct(types.pos), p -> struct(-p AS place, campaign AS campaign,"
+        " array_sort(filter(types, t -> t.pos <=> p).order_type) AS of))"
+    )
+    ranked = F.array_sort(F.flatten(F.collect_list(at_places)))
+    index = types.agg(ranked.alias("ranked"), F.collect_set("campaign").alias("campaigns")).withColumn(
+        "sets", F.expr("array_distinct(ranked.of)")
+    )
+    as_value = index.selectExpr(
+        """struct(
+          map_from_entries(transform(campaigns, c -> struct(c, transform(filter(transform(ranked, (r, i) -> struct(r.campaign AS campaign, i + 1 AS rank)), r -> r.campaign = c), r -> r.rank)))) AS ranks,
+          map_from_entries(transform(array_distinct(flatten(sets)), t -> struct(t, transform(filter(transform(sets, (s, i) -> struct(s AS of, i + 1 AS class)), s -> array_contains(s.of, t)), s -> s.class)))) AS classes,
+          transform(ranked, r -> cast(array_position(sets, r.of) AS int)) AS class_of,
+          ranked.campaign AS names)"""
+    )
+    return as_value.scalar(), eligible.agg(F.collect_set("order_type")).scalar()
 
 
 def latest_touch(
@@ -168,19 +188,20 @@ def latest_touch(
     One way for customers of any size. Orders and touches are shuffled once each, by customer and slice of
     time, so a task is bounded by the clock and not by the customer:
 
-    1. inside a slice, touches are spread over their eligible order types and a running window gives the last
-       touch before every order;
-    2. the last touch of each slice and type, found where the touches already are, is carried over a
-       customer's slices by a second window, and comes back as one small map for each slice with orders.
+    1. inside a slice, a running window gives the last touch before every order;
+    2. the last touch of each slice and campaign, found where the touches already are, is carried over a
+       customer's slices by a second window, up to the first order of each slice.
+
+    What the windows sort are narrow rows, one for a touch however many types it is eligible for. The orders themselves
+    meet only what was found for their customer, time and type.
     """
-    by_campaign, tracked = _eligible_types(eligible)
+    index, tracked = _eligible_types(eligible)
     sent = touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL").select(
         "campaign", F.col("recipient").alias("__customer"), F.col("sent_at").alias("__ts")
     )
+    copies = ["__copies"] if keep_fanout else []
     if keep_fanout:
         sent = sent.groupBy("campaign", "__customer", "__ts").agg(F.count(F.lit(1)).alias("__copies"))
-    else:
-        sent = sent.withColumn("__copies", F.lit(1).cast("long"))
     columns = orders.columns
     inside = orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
     is_tracked = F.coalesce(F.array_contains(tracked, F.col("order_type")), F.lit(False))
@@ -190,62 +211,58 @@ def latest_touch(
     else:
         inside = inside.where(is_tracked)
 
-    slot = ["__customer", "__slice"]
-    asks = inside.withColumns(
-        {
-            "__customer": F.col("customer_email"),
-            "__ts": F.col("created_date"),
-            "__slice": _slice(F.col("created_date"), slice_seconds),
-        }
-    )
-    marks = (
-        sent.withColumn("__slice", _slice(F.col("__ts"), slice_seconds))
-        .repartition(*slot)  # read twice below, shuffled once
-        .select(*slot, "__ts", "campaign", "__copies", F.inline(F.element_at(by_campaign, F.col("campaign"))))
-        .select(*slot, "__ts", "order_type", "pos", F.struct("campaign", "__copies").alias("__touch"))
-    )
+    # A hash of the customer goes first in what is sorted: keys of text often begin alike, and a number is compared at once.
+    customer = ["__place", "__customer"]
+    slot = [*customer, "__slice"]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        named = rows.withColumns({"__place": F.xxhash64("__customer"), "__slice": _slice(F.col("__ts"), slice_seconds)})
+        return named.where(" AND ".join(f"{c} IS NOT NULL" for c in slot))
+
+    ranks = F.element_at(index["ranks"], F.col("campaign"))
+    marks = placed(sent.select("__customer", "__ts", *copies, F.explode(ranks).alias("__rank"))).repartition(*slot)
+    times = inside.select(
+        F.col("customer_email").alias("__customer"), F.col("created_date").alias("__ts"), "order_type",
+        F.explode(F.element_at(index["classes"], F.col("order_type"))).alias("__class"),
+    )
+    asked = placed(times).repartition(*slot).distinct()  # read twice below, shuffled once, as the touches are
+    of_class = F.element_at(index["class_of"], F.col("__rank")).alias("__class")
+    touch = F.struct("__ts", "__rank", *copies).alias("__touch")
+
+    def looked_up(touched: DataFrame, asking: DataFrame, keys: list[str]) -> DataFrame:
+        # At equal times an order, which has no touch, comes before the touches: a touch must be strictly earlier.
+        key = Window.partitionBy(*keys, "__class").orderBy("__ts", "__touch")
+        so_far = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = touched.select(*slot, "__ts", of_class, touch).unionByName(asking, allowMissingColumns=True)
+        return both.withColumn("__found", F.last("__touch", ignorenulls=True).over(so_far)).where("order_type IS NOT NULL")
 
-    # At equal times the order comes before the touches, so a touch must be strictly earlier; of touches at
-    # one time the first in the index comes last.
-    so_far = (
-        Window.partitionBy(*slot, "order_type")
-        .orderBy("__ts", "__kind", F.desc("pos"), "__touch")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     near = (
-        asks.repartition(*slot)
-        .withColumn("__kind", F.lit(0))
-        .unionByName(marks.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
-        .withColumn("__near", F.last("__touch", ignorenulls=True).over(so_far))
-        .where("__kind = 0")
-    )
-
-    last = F.max(F.struct("__ts", -F.col("pos"), "__touch"))["__touch"].alias("__touch")
-    earlier = (
-        Window.partitionBy("__customer", "order_type")
-        .orderBy("__slice")
-        .rangeBetween(Window.unboundedPreceding, -1)
+        looked_up(marks, asked, slot)
+        .groupBy(*slot, "order_type", "__ts")
+        .agg(F.max("__found").alias("__near"))
     )
+    latest = [F.max("__ts").alias("__ts"), *(F.max_by(c, "__ts").alias(c) for c in copies)]
+    first = asked.groupBy(*slot, "order_type", "__class").agg(F.min("__ts").alias("__ts"))
     far = (
-        marks.groupBy(*slot, "order_type")
-        .agg(last)
-        .withColumn("__asked", F.lit(False))
-        .unionByName(
-            asks.select(*slot, "order_type").distinct().withColumn("__asked", F.lit(True)),
-            allowMissingColumns=True,
-        )
-        .withColumn("__far", F.last("__touch", ignorenulls=True).over(earlier))
-        .where("__asked AND __far IS NOT NULL AND order_type IS NOT NULL")
+        looked_up(marks.groupBy(*slot, "__rank").agg(*latest), first, customer)
+        .where("__found IS NOT NULL")
+        .repartition(*slot)
         .groupBy(*slot)
-        .agg(F.map_from_entries(F.collect_list(F.struct("order_type", "__far"))).alias("__far"))
+        .agg(F.collect_list(F.struct("order_type", "__found")).alias("__far"))
+    )
+    own = F.filter("__far", lambda f: f["order_type"] == F.col("order_type"))["__found"]
+    credit = near.join(far, slot, "left").select(
+        "__customer", "__ts", F.col("order_type").alias("__type"), F.coalesce("__near", F.array_max(own)).alias("__found")
+    )
+    same = (
+        (F.col("customer_email") == F.col("__customer"))
+        & (F.col("created_date") == F.col("__ts"))
+        & (F.col("order_type") == F.col("__type"))
     )
-    touch = F.coalesce("__near", F.when(F.col("order_type").isNotNull(), F.element_at("__far", F.col("order_type"))))
-    found = near.join(far, slot, "left").withColumn("__found", touch)
-    label = F.col("__found.campaign")
+    found = inside.join(credit.where("__found IS NOT NULL"), same, "left" if complete else "inner")
+    label = F.element_at(index["names"], F.col("__found.__rank"))
     if complete:
         label = F.when(is_tracked, F.coalesce(label, F.lit(C.NONE_OPEN)))
-    else:
-        found = found.where("__found IS NOT NULL")
     weight = [F.coalesce("__found.__copies", F.lit(1).cast("long")).alias("copies")] if keep_fanout else []
     return found.select(*columns, label.alias("recent_open"), *weight)
 
