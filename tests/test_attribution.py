@@ -207,3 +207,22 @@ def test_empty_inputs(spark):
     assert ids(latest_touch(orders, lists.limit(0), el)) == []
     assert ids(latest_touch(orders, lists, el.limit(0))) == []
     assert ids(latest_touch(orders, lists, el.limit(0), complete=True), "recent_open") == [(1, None)]
+
+
+@pytest.mark.parametrize("large", [0, 100, 10**6])
+@pytest.mark.parametrize("slice_seconds", [60, 86400])
+def test_customers_sorted_whole_and_in_slices_agree(spark, large, slice_seconds):
+    """All customers cut into slices, the large one alone, and none."""
+    rows, lists = make_skewed(5, timedelta(minutes=7))
+    lists += [("unknown", "only@x.org", day(1), None), *lists[:30]]
+    rows.append(raw_order(900, customer_email="only@x.org", order_type="t1"))
+    orders, sent, el = priced(spark, rows), touches(spark, lists), eligible(spark, ELIGIBLE)
+    got = latest_touch(orders, sent, el, slice_seconds=slice_seconds, large=large)
+    assert ids(got, "recent_open") == brute(rows, lists, ELIGIBLE)
+    complete = latest_touch(orders, sent, el, complete=True, slice_seconds=slice_seconds, keep_fanout=True, large=large)
+    assert ids(credited(complete), "recent_open") == brute(rows, lists, ELIGIBLE)
+    assert (900, "none_open", 1) in ids(complete, "recent_open", "copies")
+    assert {n for *_, n in ids(complete, "recent_open", "copies")} >= {1, 2}
+    assert ids(complete, "recent_open", "copies") == ids(
+        latest_touch(orders, sent, el, complete=True, keep_fanout=True), "recent_open", "copies"
+    )

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import minute_number
 
-SLICE_SECONDS = 3600  # a customer's orders and touches of so long a time are sorted by one task
+SLICE_SECONDS = 3600  # a large customer's orders and touches of so long a time are sorted by one task
+#: Customers are counted in so many buckets by hash; those of a bucket with more rows than this are large.
+BUCKETS, LARGE = 1 << 16, 1 << 17
 
 
 def list_members(touches: DataFrame, keep_fanout: bool = False) -> DataFrame:
@@ -168,6 +170,18 @@ def _eligible_types(eligible: DataFrame) -> tuple[Column, Column]:
     return as_value.scalar(), eligible.agg(F.collect_set("order_type")).scalar()
 
 
+def _bucket(place: Column) -> Column:
+    return F.pmod(place, F.lit(BUCKETS)).cast("int")
+
+
+def _crowded(customers: DataFrame, large: int) -> Column:
+    """Whether each bucket holds more than ``large`` of the rows of ``customers``, as one array."""
+    counts = customers.groupBy(_bucket(F.xxhash64("__customer")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") > large).agg(F.collect_set("bucket").alias("found"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.array_contains("found", b))
+    return found.select(every).scalar()
+
+
 def latest_touch(
     orders: DataFrame,
     touches: DataFrame,
@@ -175,6 +189,7 @@ def latest_touch(
     complete: bool = False,
     slice_seconds: int = SLICE_SECONDS,
     keep_fanout: bool = False,
+    large: int = LARGE,
 ) -> DataFrame:
     """Credit each order to the latest touch strictly before it, as ``recent_open``.
 
@@ -185,56 +200,68 @@ def latest_touch(
     not track). With ``keep_fanout`` the rows that the credited touch had (one recipient listed several times
     at one time) are kept as the weight ``copies``; the repeated rows are never produced.
 
-    One way for customers of any size. Orders and touches are shuffled once each, by customer and slice of
-    time, so a task is bounded by the clock and not by the customer:
+    Orders and touches are first counted in buckets of customers. A customer of a bucket with at most ``large`` rows is
+    sorted whole; the time of others is cut into slices, so a task is bounded by that number and by the clock:
 
-    1. inside a slice, a running window gives the last touch before every order;
-    2. the last touch of each slice and campaign, found where the touches already are, is carried over a
-       customer's slices by a second window, up to the first order of each slice.
+    1. inside a slice (or a whole customer), a running window gives the last touch before every order;
+    2. of the customers cut into slices, the last touch of each slice and campaign, found where the touches already are,
+       is carried over the slices by a second window, up to the first order of each slice.
 
     What the windows sort are narrow rows, one for a touch however many types it is eligible for. The orders themselves
     meet only what was found for their customer, time and type.
     """
     index, tracked = _eligible_types(eligible)
-    sent = touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL").select(
-        "campaign", F.col("recipient").alias("__customer"), F.col("sent_at").alias("__ts")
-    )
+    # Touches and asked times are dealt out by all they hold, so that one shuffle of each serves the counts and the lookup.
+    each = F.explode_outer if complete else F.explode
+    sent = (
+        touches.where("sent_at IS NOT NULL AND recipient IS NOT NULL")
+        .select(
+            F.col("recipient").alias("__customer"), F.col("sent_at").alias("__ts"),
+            each(F.element_at(index["ranks"], F.col("campaign"))).alias("__rank"),
+        )
+        .repartition("__customer", "__ts", "__rank")
+    )
     copies = ["__copies"] if keep_fanout else []
-    if keep_fanout:
-        sent = sent.groupBy("campaign", "__customer", "__ts").agg(F.count(F.lit(1)).alias("__copies"))
     columns = orders.columns
     inside = orders.where("customer_email IS NOT NULL AND created_date IS NOT NULL")
     is_tracked = F.coalesce(F.array_contains(tracked, F.col("order_type")), F.lit(False))
+    times = inside.where(is_tracked).select(
+        F.col("customer_email").alias("__customer"), F.col("created_date").alias("__ts"), "order_type",
+        F.explode(F.element_at(index["classes"], F.col("order_type"))).alias("__class"),
+    ).distinct()
+    crowded = _crowded(sent.select("__customer").union(times.select("__customer")), large)
     if complete:
         touched = sent.select(F.col("__customer").alias("__touched")).distinct()
         inside = inside.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")
     else:
         inside = inside.where(is_tracked)
+    if keep_fanout:
+        sent = sent.groupBy("__customer", "__ts", "__rank").agg(F.count(F.lit(1)).alias("__copies"))
 
     # A hash of the customer goes first in what is sorted: keys of text often begin alike, and a number is compared at once.
     customer = ["__place", "__customer"]
     slot = [*customer, "__slice"]
 
     def placed(rows: DataFrame) -> DataFrame:
-        named = rows.withColumns({"__place": F.xxhash64("__customer"), "__slice": _slice(F.col("__ts"), slice_seconds)})
-        return named.where(" AND ".join(f"{c} IS NOT NULL" for c in slot))
+        # A customer that is sorted whole has no slices.
+        named = rows.withColumn("__place", F.xxhash64("__customer"))
+        cut = F.when(F.get(crowded, _bucket(F.col("__place"))), _slice(F.col("__ts"), slice_seconds))
+        return named.withColumn("__slice", cut).repartition(*slot)
 
-    ranks = F.element_at(index["ranks"], F.col("campaign"))
-    marks = placed(sent.select("__customer", "__ts", *copies, F.explode(ranks).alias("__rank"))).repartition(*slot)
-    times = inside.select(
-        F.col("customer_email").alias("__customer"), F.col("created_date").alias("__ts"), "order_type",
-        F.explode(F.element_at(index["classes"], F.col("order_type"))).alias("__class"),
-    )
-    asked = placed(times).repartition(*slot).distinct()  # read twice below, shuffled once, as the touches are
+    def in_slices(rows: DataFrame) -> DataFrame:
+        # Behind a generator the condition stays above the shuffle, which both lookups read.
+        return rows.select(F.inline(F.array(F.struct(*rows.columns)))).where("__slice IS NOT NULL")
+
+    marks, asked = placed(sent), placed(times)
     of_class = F.element_at(index["class_of"], F.col("__rank")).alias("__class")
-    touch = F.struct("__ts", "__rank", *copies).alias("__touch")
 
     def looked_up(touched: DataFrame, asking: DataFrame, keys: list[str]) -> DataFrame:
         # At equal times an order, which has no touch, comes before the touches: a touch must be strictly earlier.
-        key = Window.partitionBy(*keys, "__class").orderBy("__ts", "__touch")
+        key = Window.partitionBy(keys[0], "__class", *keys[1:]).orderBy("__ts", "__rank")
         so_far = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = touched.select(*slot, "__ts", of_class, touch).unionByName(asking, allowMissingColumns=True)
-        return both.withColumn("__found", F.last("__touch", ignorenulls=True).over(so_far)).where("order_type IS NOT NULL")
+        both = touched.select(*slot, "__ts", "__rank", *copies, of_class).unionByName(asking, allowMissingColumns=True)
+        touch = F.when(F.col("__rank").isNotNull(), F.struct("__ts", "__rank", *copies))
+        return both.withColumn("__found", F.last(touch, ignorenulls=True).over(so_far)).where("order_type IS NOT NULL")
 
     near = (
         looked_up(marks, asked, slot)
@@ -242,9 +269,9 @@ def latest_touch(
         .agg(F.max("__found").alias("__near"))
     )
     latest = [F.max("__ts").alias("__ts"), *(F.max_by(c, "__ts").alias(c) for c in copies)]
-    first = asked.groupBy(*slot, "order_type", "__class").agg(F.min("__ts").alias("__ts"))
+    first = in_slices(asked).groupBy(*slot, "order_type", "__class").agg(F.min("__ts").alias("__ts"))
     far = (
-        looked_up(marks.groupBy(*slot, "__rank").agg(*latest), first, customer)
+        looked_up(in_slices(marks).groupBy(*slot, "__rank").agg(*latest), first, customer)
         .where("__found IS NOT NULL")
         .repartition(*slot)
         .groupBy(*slot)
