@@ -111,3 +111,11 @@ def test_as_of_lookup_sorts_no_columns_of_orders_with_the_touches(spark, plain_p
 def test_cleaning_works_out_a_derived_amount_once(spark, plain_plans):
     plan = plan_of(Given(spark, SF).cleaned)
     assert len(re.findall(r"o_totalprice#\d+ as decimal\(18,4\)", plan)) == 1
+
+
+def test_customers_are_counted_by_marks_and_not_by_one_sum_for_each_measure(spark, plain_plans):
+    g = Given(spark, SF)
+    labelled = g.sales.withColumns({"recent_open": F.col("order_type"), "confirmed": F.lit("confirmed"), "new_to_company": F.lit(0), "new_to_lob": F.lit(0)})
+    plan = plan_of(campaign_metrics(labelled, line_bundle(Company())))
+    per_customer = [line for line in plan.splitlines() if "HashAggregate(keys=[" in line and re.search(r"customer_email|__email", line.split("functions=")[0])]
+    assert per_customer and all(len(re.findall(r"(?:sum|max)\(", line.split("output=")[0])) <= 2 for line in per_customer)

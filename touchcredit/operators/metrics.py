@@ -1,13 +1,16 @@
 """Counts, revenue and distinct customers per campaign.
 
-A report is a list of measures computed in one pass. Distinct customers are counted in two steps (per
-campaign and customer, then per campaign), which needs neither an ``Expand`` nor one task per campaign.
+A report is a list of measures computed in one pass. Every row is marked with the conditions it meets, a bit for
+each; rows are added up by their marks, and a customer's marks are put together before customers are counted by them.
+So work on a row or a customer does not grow with the number of measures, which are taken from the few sums by marks.
+There is neither an ``Expand`` nor one task per campaign.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,10 @@ from .. import constants as C
 from .reshape import spine_join
 
 
+#: Marks in one number.
+WORD = 62
+
+
 @dataclass(frozen=True)
 class Measure:
     """``kind`` is ``orders`` (count of orders with an email), ``revenue`` or ``customers`` (distinct)."""
@@ -107,22 +114,6 @@ def order_cells(orders: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def row_values(measures: Sequence[Measure], orders_col: str | None = None) -> list[Column]:
-    """What each measure takes from the rows of one customer: a sum, or for distinct customers whether any row counts."""
-    email, amount = F.col("customer_email"), F.col("billing_amount")
-    n = F.lit(1).cast("long") if orders_col is None else F.col(orders_col)
-
-    def row_value(m: Measure) -> Column:
-        if m.kind == "orders":
-            counted = email.isNotNull() if m.when is None else m.when & email.isNotNull()
-            return F.sum(F.when(counted, n).otherwise(0))
-        if m.kind == "revenue":
-            return F.sum(amount if m.when is None else F.when(m.when, amount).otherwise(0))
-        return F.max(F.lit(1) if m.when is None else F.when(m.when, 1).otherwise(0))
-
-    return [row_value(m) for m in measures]
-
-
 def _named(out: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) -> DataFrame:
     named = [
         (f"CAST(m{i} AS DOUBLE)" if m.kind == "revenue" else f"coalesce(m{i}, 0)") + f" AS `{m.name}`"
@@ -131,13 +122,64 @@ def _named(out: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) ->
     return out.selectExpr(*[f"`{k}`" for k in keys], *named)
 
 
-def total_values(per_customer: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) -> DataFrame:
-    """The measures per ``keys`` from rows of one customer each, with values ``m0, m1, ...``."""
-    counted_once = "sum(CASE WHEN customer_email IS NOT NULL THEN m{0} ELSE 0 END) AS m{0}"
-    totals = [
-        (counted_once if m.kind == "customers" else "sum(m{0}) AS m{0}").format(i) for i, m in enumerate(measures)
-    ]
-    return _named(per_customer.groupBy(*keys).agg(*[F.expr(total) for total in totals]), measures, keys)
+def measured(
+    rows: DataFrame,
+    measures: Sequence[Measure],
+    groups: Sequence[Mapping[str, Column]],
+    orders_col: str | None = None,
+) -> DataFrame:
+    """The measures per group. A row counts once in each of ``groups``, which name the same keys."""
+    keys = list(groups[0])
+    conditions = list({id(m.when): m.when for m in measures if m.when is not None}.values())
+    place = {id(when): i for i, when in enumerate(conditions)}
+    words = [conditions[i : i + WORD] for i in range(0, len(conditions), WORD)]
+    marks = {
+        f"__mark{w}": reduce(Column.bitwiseOR, [F.when(c, F.lit(1 << b).cast("long")).otherwise(0) for b, c in enumerate(word)])
+        for w, word in enumerate(words)
+    }
+    n = F.lit(1) if orders_col is None else F.col(orders_col)
+    own = {f"__key{i}_{j}": column for i, group in enumerate(groups) for j, column in enumerate(group.values())}
+    values = {"__email": F.col("customer_email"), "__n": n.cast("long"), "__amount": F.col("billing_amount")}
+    marked = rows.select(*[c.alias(name) for name, c in (own | values | marks).items()])
+    nothing, email = F.lit(0).cast("long"), F.col("__email")
+
+    def entry(i: int, customer: bool) -> Column:
+        """A row's part in the sums, or the marks it gives its customer."""
+        return F.struct(
+            *[F.col(f"__key{i}_{j}").alias(key) for j, key in enumerate(keys)],
+            F.lit(customer).alias("__customer"),
+            email.isNotNull().alias("__known"),
+            F.when(F.lit(customer), email).alias("__email"),
+            *[(nothing if customer else F.col(name)).alias(name) for name in marks],
+            *[(F.col(name) if customer else nothing).alias(f"{name}_given") for name in marks],
+            (nothing if customer else F.col("__n")).alias("__n"),
+            F.when(F.lit(not customer), F.col("__amount")).alias("__amount"),
+        )
+
+    kinds = (False, True) if any(m.kind == "customers" for m in measures) else (False,)
+    entries = marked.select(F.inline(F.array(*[entry(i, kind) for i in range(len(groups)) for kind in kinds])))
+    sums = [F.sum("__n").alias("__n"), F.sum("__amount").alias("__amount")]
+    by = [*keys, "__customer", "__known"]
+    given = [F.bit_or(f"{name}_given").alias(f"{name}_given") for name in marks]
+    once = entries.groupBy(*by, "__email", *marks).agg(*sums, *given)
+    # A part has its marks, a customer those its rows gave it: one of the two is empty.
+    all_marks = [F.col(name).bitwiseOR(F.col(f"{name}_given")).alias(name) for name in marks]
+    by_marks = once.select(*by, "__n", "__amount", *all_marks).groupBy(*by, *marks).agg(*sums, F.count(F.lit(1)).alias("__customers"))
+
+    def value(m: Measure) -> Column:
+        met = F.lit(True)
+        if m.when is not None:
+            w, b = divmod(place[id(m.when)], WORD)
+            met = F.col(f"__mark{w}").bitwiseAND(F.lit(1 << b).cast("long")) != 0
+        part, known = ~F.col("__customer"), F.col("__known")
+        if m.kind == "orders":
+            return F.sum(F.when(part & known & met, F.col("__n")).otherwise(0))
+        if m.kind == "revenue":
+            return F.sum(F.when(part, F.col("__amount") if m.when is None else F.when(met, F.col("__amount")).otherwise(0)))
+        return F.sum(F.when(F.col("__customer") & known & met, F.col("__customers")).otherwise(0))
+
+    out = by_marks.groupBy(*keys).agg(*[value(m).alias(f"m{i}") for i, m in enumerate(measures)])
+    return _named(out, measures, keys)
 
 
 def campaign_metrics(
@@ -152,9 +194,5 @@ def campaign_metrics(
     A row is an order, or a cell whose number of orders is in ``orders_col``. With a ``spine`` the result
     has exactly its rows in its order, nulls where a campaign has no order.
     """
-    keys = [] if key is None else [key]
-    by_customer = any(m.kind == "customers" for m in measures)
-    step = labelled.groupBy(*keys, "customer_email") if by_customer else labelled.groupBy(*keys)
-    out = step.agg(*[v.alias(f"m{i}") for i, v in enumerate(row_values(measures, orders_col))])
-    out = total_values(out, measures, keys) if by_customer else _named(out, measures, keys)
+    out = measured(labelled, measures, [{} if key is None else {key: F.col(key)}], orders_col)
     return out if spine is None else spine_join(out, spine, key)

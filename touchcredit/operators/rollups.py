@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import Measure, row_values, total_values
+from .metrics import Measure, measured
 
 #: Name of the level over all rows; its key is null.
 TOTAL = "total"
@@ -18,28 +18,15 @@ def level_metrics(
 ) -> DataFrame:
     """``level, key`` and all ``measures`` for every level, whose key is a column, or None for the total.
 
-    Distinct customers of a roll-up are no sum of its campaigns'. Rows are reduced once, to a row for each customer and
-    combination of keys; those few rows are repeated for every level and counted in two steps at each. So labelling,
-    flagging and the pass over the orders are paid once for all levels. Rows with a null key are in no group of that
-    level, but in the total.
+    Distinct customers of a roll-up are no sum of its campaigns'. So every row counts once at each level; rows meet only as
+    marks and sums. Labelling, flagging and the pass over the orders are paid once for all levels. Rows with a null key are
+    in no group of that level, but in the total.
     """
-    keys = [k for k in levels.values() if k is not None]
-    values = row_values(measures, orders_col)
-    once = labelled.groupBy(*keys, "customer_email").agg(*[v.alias(f"m{i}") for i, v in enumerate(values)])
-    rows = [
-        F.struct(F.lit(level).alias("level"), (F.lit(None) if k is None else F.col(k)).cast("string").alias("key"))
-        for level, k in levels.items()
+    groups = [
+        {"level": F.lit(level), "key": (F.lit(None) if k is None else F.col(k)).cast("string")} for level, k in levels.items()
     ]
-    names = [f"m{i}" for i in range(len(measures))]
-    spread = once.select("customer_email", *names, F.inline(F.array(*rows))).where(
-        F.col("key").isNotNull() | F.col("level").isin([level for level, k in levels.items() if k is None])
-    )
-
-    def again(i: int, m: Measure) -> Column:
-        return (F.max if m.kind == "customers" else F.sum)(f"m{i}").alias(f"m{i}")
-
-    per_customer = spread.groupBy("level", "key", "customer_email").agg(*[again(i, m) for i, m in enumerate(measures)])
-    return total_values(per_customer, measures, ["level", "key"])
+    out = measured(labelled, measures, groups, orders_col)
+    return out.where(F.col("key").isNotNull() | F.col("level").isin([level for level, k in levels.items() if k is None]))
 
 
 def one_level(metrics: DataFrame, level: str, key: str | None) -> DataFrame:
