@@ -122,3 +122,15 @@ def test_a_missing_list_is_an_error(spark, folder):
     index = spark.createDataFrame([("Second", "second"), ("Lost", "lost")], "long_name string, campaign string")
     with pytest.raises(FileNotFoundError, match="Lost"):
         read_touches(spark, str(folder / "lists"), index)
+
+
+def test_a_list_of_many_files_is_named_once(spark, tmp_path):
+    """Rows find their campaign by the list's name: what is looked up does not grow with the files, and a time is read once."""
+    index = spark.createDataFrame([("A +b%", "a"), ("c", "c")], "long_name string, campaign string")
+    (tmp_path / "A +b%").mkdir()
+    for name in ("A +b%/part-1.csv", "A +b%/part-2.csv", "A +b%/c.csv", "c.csv"):
+        (tmp_path / name).write_text("Recipient,Sent At (your time zone)\nX@x.org,7/1/2019\n")
+    rows = read_touches(spark, str(tmp_path), index).where("sent_at IS NOT NULL")
+    assert sorted(r.campaign for r in rows.collect()) == ["a", "a", "a", "c"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "part-1" not in plan and plan.count("try_make_timestamp_ntz") + plan.count("RLIKE") <= 2
