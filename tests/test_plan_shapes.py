@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchcredit.functions import at
 from touchcredit.operators import CleaningRules, by_window, campaign_metrics, clean_orders, flag_new, latest_touch
 from touchcredit.operators import known_customers, order_cells
+from touchcredit.operators.attribution import BUCKETS, _crowded
 from touchcredit.plans.common import Company, line_bundle
 from touchcredit.registry.adapters import Given
 from touchcredit.registry.queries import QUERIES
@@ -119,3 +120,18 @@ def test_customers_are_counted_by_marks_and_not_by_one_sum_for_each_measure(spar
     plan = plan_of(campaign_metrics(labelled, line_bundle(Company())))
     per_customer = [line for line in plan.splitlines() if "HashAggregate(keys=[" in line and re.search(r"customer_email|__email", line.split("functions=")[0])]
     assert per_customer and all(len(re.findall(r"(?:sum|max)\(", line.split("output=")[0])) <= 2 for line in per_customer)
+
+
+def test_customers_of_each_side_are_counted_apart(spark, plain_plans):
+    """In one stage with the touches, adaptive execution left all asked times to one task."""
+    touched, asked = (spark.createDataFrame([(c,) for c in rows], "__customer string") for rows in ("aab", "ab"))
+    found = spark.range(1).select(_crowded([touched, asked], 2).alias("crowded"), F.pmod(F.xxhash64(F.lit("a")), F.lit(BUCKETS)).alias("a"))
+    assert found.select(F.expr("size(filter(crowded, c -> c))"), F.expr("get(crowded, cast(a AS int))")).first() == (1, True)
+    lines = plan_of(found).splitlines()
+    union = next(i for i, line in enumerate(lines) if line.strip(" :+-").startswith("Union"))
+    assert "HashAggregate" in lines[union + 1] and "count(1)" in lines[union + 1]
+
+
+def test_lines_are_looked_up_in_their_orders_and_not_sorted(spark, plain_plans):
+    plan = plan_of(Given(spark, SF).touches_ship)
+    assert "ShuffledHashJoin" in plan and "Sort [" not in plan

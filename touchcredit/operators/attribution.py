@@ -10,6 +10,7 @@ Customer keys are expected in lower case on both sides; readers and `enrich_orde
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,10 +175,15 @@ def _bucket(place: Column) -> Column:
     return F.pmod(place, F.lit(BUCKETS)).cast("int")
 
 
-def _crowded(customers: DataFrame, large: int) -> Column:
-    """Whether each bucket holds more than ``large`` of the rows of ``customers``, as one array."""
-    counts = customers.groupBy(_bucket(F.xxhash64("__customer")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") > large).agg(F.collect_set("bucket").alias("found"))
+def _crowded(customers: Sequence[DataFrame], large: int) -> Column:
+    """Whether each bucket holds more than ``large`` of the rows of all ``customers``, as one array.
+
+    Each frame is counted by itself and only the counts are put together: in one stage with a larger frame, adaptive
+    execution leaves a smaller one a task or two, however much it holds there.
+    """
+    bucket = _bucket(F.xxhash64("__customer")).alias("bucket")
+    counts = reduce(DataFrame.union, [c.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")) for c in customers])
+    found = counts.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > large).agg(F.collect_set("bucket").alias("found"))
     every = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.array_contains("found", b))
     return found.select(every).scalar()
 
@@ -229,7 +235,7 @@ def latest_touch(
         F.col("customer_email").alias("__customer"), F.col("created_date").alias("__ts"), "order_type",
         F.explode(F.element_at(index["classes"], F.col("order_type"))).alias("__class"),
     ).distinct()
-    crowded = _crowded(sent.select("__customer").union(times.select("__customer")), large)
+    crowded = _crowded([sent, times], large)
     if complete:
         touched = sent.select(F.col("__customer").alias("__touched")).distinct()
         inside = inside.join(touched, F.col("customer_email") == F.col("__touched"), "left_semi")

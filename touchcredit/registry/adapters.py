@@ -155,9 +155,12 @@ class Given:
 
     @cached_property
     def touches_ship(self) -> DataFrame:
-        """Three campaigns from shipments, at day grain, so that ties occur."""
+        """Three campaigns from shipments, at day grain, so that ties occur.
+
+        Lines are looked up in their orders by hash: a task holds its share of the orders, a fourth of the lines, and sorts none.
+        """
         lines = self._table("lineitem")
-        return lines.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        return lines.join(self.orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.concat(F.lit("camp_"), F.lower("l_returnflag")).alias("campaign"),
             _recipient(F.col("o_custkey")).alias("recipient"),
             F.col("l_shipdate").alias("sent_at"),
