@@ -135,3 +135,9 @@ def test_customers_of_each_side_are_counted_apart(spark, plain_plans):
 def test_lines_are_looked_up_in_their_orders_and_not_sorted(spark, plain_plans):
     plan = plan_of(Given(spark, SF).touches_ship)
     assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+
+
+def test_as_of_lookup_moves_no_hash_of_the_customer(spark, plain_plans):
+    g = Given(spark, SF)
+    plan = plan_of(latest_touch(g.plain_orders, g.touches_ship, g.ship_eligibility))
+    assert not re.search(r"hashpartitioning\([^)]*__place", plan)

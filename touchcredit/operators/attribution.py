@@ -244,15 +244,15 @@ def latest_touch(
     if keep_fanout:
         sent = sent.groupBy("__customer", "__ts", "__rank").agg(F.count(F.lit(1)).alias("__copies"))
 
-    # A hash of the customer goes first in what is sorted: keys of text often begin alike, and a number is compared at once.
-    customer = ["__place", "__customer"]
-    slot = [*customer, "__slice"]
+    slot = ["__customer", "__slice"]
+    # A hash goes first in what is sorted: keys of text often begin alike, and a number is compared at once. It is worked out
+    # after the shuffle, where it would be as large as all that the touch holds.
+    place = F.xxhash64("__customer").alias("__place")
 
     def placed(rows: DataFrame) -> DataFrame:
         # A customer that is sorted whole has no slices.
-        named = rows.withColumn("__place", F.xxhash64("__customer"))
-        cut = F.when(F.get(crowded, _bucket(F.col("__place"))), _slice(F.col("__ts"), slice_seconds))
-        return named.withColumn("__slice", cut).repartition(*slot)
+        cut = F.when(F.get(crowded, _bucket(F.xxhash64("__customer"))), _slice(F.col("__ts"), slice_seconds))
+        return rows.withColumn("__slice", cut).repartition(*slot)
 
     def in_slices(rows: DataFrame) -> DataFrame:
         # Behind a generator the condition stays above the shuffle, which both lookups read.
@@ -263,21 +263,25 @@ def latest_touch(
 
     def looked_up(touched: DataFrame, asking: DataFrame, keys: list[str]) -> DataFrame:
         # At equal times an order, which has no touch, comes before the touches: a touch must be strictly earlier.
-        key = Window.partitionBy(keys[0], "__class", *keys[1:]).orderBy("__ts", "__rank")
+        key = Window.partitionBy("__sorted", "__class", *keys).orderBy("__ts", "__rank")
         so_far = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         both = touched.select(*slot, "__ts", "__rank", *copies, of_class).unionByName(asking, allowMissingColumns=True)
-        touch = F.when(F.col("__rank").isNotNull(), F.struct("__ts", "__rank", *copies))
-        return both.withColumn("__found", F.last(touch, ignorenulls=True).over(so_far)).where("order_type IS NOT NULL")
+        # Plain columns are carried, and made a value for the orders alone: rank and copies are set wherever there is a touch.
+        touch = {"__ts": F.when(F.col("__rank").isNotNull(), F.col("__ts")), **{c: F.col(c) for c in ("__rank", *copies)}}
+        last = {f"__last{c}": F.last(value, ignorenulls=True).over(so_far) for c, value in touch.items()}
+        rows = both.withColumn("__sorted", F.xxhash64("__class", *keys)).withColumns(last).where("order_type IS NOT NULL")
+        found = F.struct(*[F.col(f"__last{c}").alias(c) for c in touch])
+        return rows.withColumn("__found", F.when(F.col("__last__rank").isNotNull(), found))
 
     near = (
         looked_up(marks, asked, slot)
-        .groupBy(*slot, "order_type", "__ts")
+        .groupBy(place, *slot, "order_type", "__ts")
         .agg(F.max("__found").alias("__near"))
     )
     latest = [F.max("__ts").alias("__ts"), *(F.max_by(c, "__ts").alias(c) for c in copies)]
     first = in_slices(asked).groupBy(*slot, "order_type", "__class").agg(F.min("__ts").alias("__ts"))
     far = (
-        looked_up(in_slices(marks).groupBy(*slot, "__rank").agg(*latest), first, customer)
+        looked_up(in_slices(marks).groupBy(*slot, "__rank").agg(*latest), first, ["__customer"])
         .where("__found IS NOT NULL")
         .repartition(*slot)
         .groupBy(*slot)
